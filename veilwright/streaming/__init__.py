@@ -1,0 +1 @@
+"""Intentionally empty: the work covered by this library is batch only."""
