@@ -80,16 +80,21 @@ def redact_sql(text: str, ratio: float) -> str:
     )
 
 
-def right_bin_sql(x: str, low: str, high: str, bins: str) -> str:
-    """1-based bin of (e[i-1], e[i]] by comparing x with the exact edges around a first guess."""
-    step = f"(({high} - {low}) / {bins})"
-    guess = f"least(greatest(CAST(ceil(({x} - {low}) / {step}) AS BIGINT), 1), {bins})"
+def right_bin_sql(rows: str) -> str:
+    """Adds ``i``, the 1-based bin of x in (e[i-1], e[i]], to rows with x, lo, hi and b.
+
+    A first guess is compared with the exact edges around it.
+    """
+    guess = "least(greatest(CAST(ceil((x - lo) / ((hi - lo) / b)) AS BIGINT), 1), b)"
     return (
-        f"(SELECT CASE WHEN g > 1 AND {x} <= e0 THEN g - 1 WHEN g < {bins} AND {x} > e1 THEN g + 1 ELSE g END "
-        f"FROM (SELECT g, {edge_sql('(g - 1)', low, high, bins)} AS e0, {edge_sql('g', low, high, bins)} AS e1 "
-        f"FROM (SELECT {guess} AS g)))"
+        "SELECT *, CASE WHEN g > 1 AND x <= e0 THEN g - 1 WHEN g < b AND x > e1 THEN g + 1 ELSE g END AS i "
+        f"FROM (SELECT *, {edge_sql('(g - 1)')} AS e0, {edge_sql('g')} AS e1 "
+        f"FROM (SELECT *, {guess} AS g FROM ({rows})))"
     )
 
 
-def edge_sql(i: str, low: str, high: str, bins: str) -> str:
-    return f"(CASE WHEN {i} >= {bins} THEN {high} ELSE {i}::DOUBLE * (({high} - {low}) / {bins}) + {low} END)"
+def edge_sql(i: str) -> str:
+    return f"(CASE WHEN {i} >= b THEN hi ELSE {i}::DOUBLE * ((hi - lo) / b) + lo END)"
+
+
+INTERVAL_LABEL = f"printf('%.1f', {edge_sql('(i - 1)')}) || '-' || printf('%.1f', {edge_sql('i')})"

@@ -22,11 +22,9 @@ def fixed_point_1(value: Column) -> Column:
     odd = (digit * 2 + 1).cast("double")
     side = (fraction * 16.0 - odd) + fraction * 4.0
     up = (side > 0) | ((side == 0) & (digit % 2 == 1))
-    rounded = digit + up.cast("bigint")
-    carried = whole + (rounded >= 10).cast("bigint")
-    last = F.when(rounded >= 10, F.lit(0).cast("bigint")).otherwise(rounded)
+    tenths = whole * 10 + digit + up.cast("bigint")
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(value.isNotNull(), F.concat(sign, carried.cast("string"), F.lit("."), last.cast("string")))
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def bin_edge(index: Column, low: float, high: float, bins: int) -> Column:
@@ -35,22 +33,35 @@ def bin_edge(index: Column, low: float, high: float, bins: int) -> Column:
     return F.when(index >= bins, F.lit(high)).otherwise(index.cast("double") * F.lit(step) + F.lit(low))
 
 
-def right_closed_bin(value: Column, low: float, high: float, bins: int) -> Column:
-    """1-based bin of (e[i-1], e[i]], the lowest value included in bin 1."""
-    step = (high - low) / bins
-    guess = F.ceil((value - F.lit(low)) / F.lit(step))
-    guess = F.least(F.greatest(guess, F.lit(1).cast("bigint")), F.lit(bins).cast("bigint"))
-    lower = F.when((guess > 1) & (value <= bin_edge(guess - 1, low, high, bins)), guess - 1).otherwise(guess)
-    return F.when((lower < bins) & (value > bin_edge(lower, low, high, bins)), lower + 1).otherwise(lower)
+def _clipped(guess: Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(guess, F.lit(low).cast("bigint")), F.lit(high).cast("bigint"))
+
+
+def _moved(guess: Column, down: Column, up: Column) -> Column:
+    return guess - down.cast("bigint") + up.cast("bigint")
+
+
+def right_closed_guess(value: Column, low: float, high: float, bins: int) -> Column:
+    """1-based bin up to rounding; see ``right_closed_bin``."""
+    return _clipped(F.ceil((value - F.lit(low)) / F.lit((high - low) / bins)), 1, bins)
+
+
+def right_closed_bin(value: Column, guess: Column, low: float, high: float, bins: int) -> Column:
+    """1-based bin of (e[i-1], e[i]], the lowest value included in bin 1.
+
+    The guess is off by at most one, which the exact edges around it tell.
+    """
+    down = (guess > 1) & (value <= bin_edge(guess - 1, low, high, bins))
+    up = (guess < bins) & (value > bin_edge(guess, low, high, bins))
+    return _moved(guess, down, up)
 
 
 def left_closed_bin(value: Column, low: float, high: float, bins: int) -> Column:
     """0-based bin of [e[i], e[i+1]), the highest value included in the last bin."""
-    step = (high - low) / bins
-    last = F.lit(bins - 1).cast("bigint")
-    guess = F.least(F.greatest(F.floor((value - F.lit(low)) / F.lit(step)), F.lit(0).cast("bigint")), last)
-    lower = F.when((guess > 0) & (value < bin_edge(guess, low, high, bins)), guess - 1).otherwise(guess)
-    return F.when((lower < last) & (value >= bin_edge(lower + 1, low, high, bins)), lower + 1).otherwise(lower)
+    guess = _clipped(F.floor((value - F.lit(low)) / F.lit((high - low) / bins)), 0, bins - 1)
+    down = (guess > 0) & (value < bin_edge(guess, low, high, bins))
+    up = (guess < bins - 1) & (value >= bin_edge(guess + 1, low, high, bins))
+    return _moved(guess, down, up)
 
 
 def keyed_uniform(secret: str, purpose: str, row_key: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions.columns import as_number, data_type, is_numeric, melt, ref
 from ..functions.numbers import keyed_uniform, laplace
 from ..functions.text import redact_words
 from .ordered import with_position
-from .privacy import OTHER, bin_labels, value_ranges
+from .privacy import OTHER, value_ranges, with_interval_labels
 
 SUPPRESSED = "SUPPRESSED"  # fixed value
 FREQUENT_IN_MEMORY = 10_000
@@ -56,19 +56,12 @@ def redact_text(df: DataFrame, columns: Sequence[str], keep_ratio: float = 0.5)
 # --- bins ------------------------------------------------------------------
 
 
-def numeric_bin_columns(df: DataFrame, columns: Sequence[str], bins: int = 5) -> dict[str, Column]:
-    numeric = [c for c in columns if is_numeric(data_type(df, c))]
-    ranges = value_ranges(df, numeric)
-    return {
-        c: bin_labels(as_number(df, c), r.low, r.high, bins)
-        for c in numeric
-        if (r := ranges.get(c)) and r.low != r.high
-    }
-
-
 def generalize_numeric(df: DataFrame, columns: Sequence[str], bins: int = 5) -> DataFrame:
     """Equal-width interval labels; constant or empty columns stay as they are."""
-    return df.withColumns(numeric_bin_columns(df, columns, bins))
+    numeric = [c for c in columns if is_numeric(data_type(df, c))]
+    ranges = value_ranges(df, numeric)
+    varying = {c: (r, bins) for c in numeric if (r := ranges.get(c)) and r.low != r.high}
+    return with_interval_labels(df, varying) if varying else df
 
 
 # --- categories ------------------------------------------------------------

@@ -10,13 +10,13 @@ group, unless ``null_as_group``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
-from ..functions.numbers import bin_edge, fixed_point_1, right_closed_bin
+from ..functions.numbers import bin_edge, fixed_point_1, right_closed_bin, right_closed_guess
 from ..functions.text import as_text, group_token
 
 OTHER = "Other"  # fixed value: the label rare values are merged under
@@ -225,30 +225,45 @@ def value_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Range]:
     return {r["column_name"]: Range(r["low"], r["high"], r["n"]) for r in rows}
 
 
-def bin_labels(value: Column, low: float, high: float, bins: int) -> Column:
-    """``"lo-hi"`` of the right-closed equal-width bin, one decimal each.
+def with_interval_labels(df: DataFrame, bins: Mapping[str, tuple[Range, int]]) -> DataFrame:
+    """Replace values by the ``"lo-hi"`` label of their right-closed equal-width bin.
 
-    Bins narrower than a tenth can share a label; equal labels simply merge.
+    One decimal per edge. Bins narrower than a tenth can share a label; equal
+    labels simply merge. Built in steps, so that each step reads the one before
+    as a column instead of repeating its expression.
     """
-    index = right_closed_bin(value, low, high, bins)
-    if bins <= LABEL_TABLE:
-        step = (high - low) / bins
-        edges = [low + i * step for i in range(bins)] + [high]
-        labels = F.array(*[F.lit(f"{a:.1f}-{b:.1f}") for a, b in zip(edges, edges[1:])])
-        return F.when(value.isNotNull(), F.element_at(labels, index.cast("int")))
-    lower, upper = bin_edge(index - 1, low, high, bins), bin_edge(index, low, high, bins)
-    return F.concat(fixed_point_1(lower), F.lit("-"), fixed_point_1(upper))
+    original = df.columns
+    value = {c: as_number(df, c) for c in bins}
+    span = {c: (r.low, r.high, n) for c, (r, n) in bins.items()}
+    slot = {c: i for i, c in enumerate(bins)}
+    guess = {c: F.col(f"bin_guess_{slot[c]}") for c in bins}
+    index = {c: F.col(f"bin_index_{slot[c]}") for c in bins}
+    df = df.withColumns({f"bin_guess_{slot[c]}": right_closed_guess(value[c], *span[c]) for c in bins})
+    df = df.withColumns({f"bin_index_{slot[c]}": right_closed_bin(value[c], guess[c], *span[c]) for c in bins})
+    labels = {}
+    edges = {}
+    for c, (low, high, n) in span.items():
+        if n <= LABEL_TABLE:
+            step = (high - low) / n
+            cuts = [low + i * step for i in range(n)] + [high]
+            names = F.array(*[F.lit(f"{a:.1f}-{b:.1f}") for a, b in zip(cuts, cuts[1:])])
+            labels[c] = F.element_at(names, index[c].cast("int"))
+        else:
+            lower, upper = f"bin_lower_{slot[c]}", f"bin_upper_{slot[c]}"
+            edges[lower] = bin_edge(index[c] - 1, low, high, n)
+            edges[upper] = bin_edge(index[c], low, high, n)
+            labels[c] = F.concat(fixed_point_1(F.col(lower)), F.lit("-"), fixed_point_1(F.col(upper)))
+        labels[c] = F.when(index[c].isNotNull(), labels[c])
+    if edges:
+        df = df.withColumns(edges)
+    return df.withColumns(labels).select(*[ref(c) for c in original])
 
 
 def enforce_k_numeric(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     """Equal-width bins sized for about 2k values each; constants stay as they are."""
     ranges = value_ranges(df, columns)
-    changed = {}
-    for name in columns:
-        r = ranges.get(name)
-        if r and r.low != r.high:
-            changed[name] = bin_labels(as_number(df, name), r.low, r.high, max(2, r.count // (2 * k)))
-    return df.withColumns(changed) if changed else df
+    bins = {c: (r, max(2, r.count // (2 * k))) for c in columns if (r := ranges.get(c)) and r.low != r.high}
+    return with_interval_labels(df, bins) if bins else df
 
 
 KEPT_IN_MEMORY = 10_000

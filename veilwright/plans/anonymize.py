@@ -11,14 +11,15 @@ from ..functions.columns import data_type, is_numeric, ref
 from ..functions.text import redact_words
 from ..operators.classify import NAME_COLUMN, tier_column
 from ..operators.generalize import (
+    generalize_numeric,
     laplace_column,
     microaggregate,
-    numeric_bin_columns,
     top_category_columns,
 )
 from ..operators.ordered import with_scan_position
 from ..operators.pca import PcaModel, fit_pca, reconstruct
 from ..operators.privacy import enforce_k_anonymity, group_sizes, k_anonymity, privacy_status, suppress_groups
+from ..session import stage
 from .policy import Policy
 
 ROW_KEY = "veilwright_row_key"
@@ -119,9 +120,15 @@ class AnonymizedTable:
         return self.df.sparkSession.createDataFrame(rows, "column_name string, tier string, technique string")
 
     def status(self) -> DataFrame:
-        """The four privacy models on the result."""
+        """The four privacy models on the result.
+
+        They read the table several times, so the columns concerned are written
+        once beforehand instead of being anonymized again for every check.
+        """
         p = self.policy
-        return privacy_status(self.df, self.quasi, self.sensitive, p.k, p.l, p.t, p.delta, p.population)
+        checked = list(dict.fromkeys(self.quasi + self.sensitive))
+        narrow = stage(self.df.select(*[ref(c) for c in checked]), "status") if checked else self.df
+        return privacy_status(narrow, self.quasi, self.sensitive, p.k, p.l, p.t, p.delta, p.population)
 
 
 def transform_columns(df: DataFrame, rules: list[ColumnRule], policy: Policy, row_key: str) -> DataFrame:
@@ -136,9 +143,9 @@ def transform_columns(df: DataFrame, rules: list[ColumnRule], policy: Policy, ro
             values[r.column] = redact_words(ref(r.column).cast("string"), r.amount)
         elif r.action == "noise":
             values[r.column] = laplace_column(df, r.column, row_key, policy.secret, r.amount, policy.epsilon)
-    values |= numeric_bin_columns(df, named("bins"), BINS) if named("bins") else {}
     values |= top_category_columns(df, named("categories"), CATEGORIES) if named("categories") else {}
-    changed = df.withColumns(values) if values else df
+    changed = generalize_numeric(df, named("bins"), BINS) if named("bins") else df
+    changed = changed.withColumns(values) if values else changed
     clusters = named("clusters")
     return microaggregate(changed, clusters, row_key, policy.k) if clusters else changed
 
@@ -167,6 +174,10 @@ def anonymize_table(
     else:
         keyed = df.withColumn(ROW_KEY, ref(row_key))
     out = transform_columns(keyed, rules, policy, ROW_KEY)
+    if any(r.action == "clusters" for r in rules):
+        # Sorting and joining are behind these columns; the PCA fit, the checks
+        # and the result all read them again.
+        out = stage(out, "transformed")
     result = AnonymizedTable(out, rules, policy, quasi, sensitive)
 
     modelled = quasi + [r.column for r in rules if r.level == "Tier 3"]
