@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("profiling", "privacy", "transforms", "quality")
+AREAS = ("profiling", "privacy", "transforms", "quality", "provenance")
 
 
 def load():

@@ -16,7 +16,13 @@ NA_TOKENS = (
 )
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
-CSV_OPTIONS = {"quote": '"', "escape": '"'}
+# Quotes double inside quotes, and blanks at the ends of a value are kept.
+CSV_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -46,12 +46,14 @@ def read_watermarked(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
-    na_tokens=NA_TOKENS,
+    na_tokens: Sequence[str] = NA_TOKENS,
+    multiline: bool = False,
 ) -> DataFrame:
     """The data rows of watermarked (or plain) CSV files.
 
     Only the watermark line and the header lines are removed. A "comment"
-    option would also lose data lines that start with "#".
+    option would also lose data lines that start with "#". ``multiline`` allows
+    line breaks inside quotes, but such files cannot be split.
     """
     if schema is None:
         header = spark.read.options(header=True, comment="#", **CSV_OPTIONS).csv(path)
@@ -60,7 +62,7 @@ def read_watermarked(
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         names = schema.fieldNames()
     texts = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    rows = spark.read.options(header=False, **CSV_OPTIONS).schema(texts).csv(path).select(
+    rows = spark.read.options(header=False, multiLine=multiline, **CSV_OPTIONS).schema(texts).csv(path).select(
         "*", F.col("_metadata.file_block_start").alias("block_start")
     )
     is_header = F.lit(True)
