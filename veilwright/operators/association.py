@@ -8,50 +8,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_number, melt, numeric_columns
+from ..functions.columns import as_number, numeric_columns
+from .ranges import ColumnRange, column_ranges
 
-# Above this many aggregate expressions one wide aggregate no longer compiles
-# well, and per-batch matrix products take over.
-MAX_AGGREGATES = 400
+# Above this many aggregate expressions the generated aggregation method grows
+# past what the JVM compiles, and per-batch matrix products are faster (measured).
+MAX_AGGREGATES = 24
 # A variance this small relative to the mean square is rounding noise.
 CONSTANT_RATIO = 1e-13
 
 PAIR_SCHEMA = "i int, j int, n long, si double, sj double, sii double, sjj double, sij double"
 
 
-def column_centres(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, tuple[float, bool]]:
-    """Per column: a shift near its mean, and whether it has nulls."""
-    total = F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).alias("nulls")
-    rows = (
-        melt(df, exprs)
-        .groupBy("column_name")
-        .agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), total)
-        .collect()
-    )
-    found = {}
-    for r in rows:
-        # A constant column is shifted by its own value: its sums are exactly 0.
-        shift = r["low"] if r["low"] == r["high"] else r["mean"]
-        found[r["column_name"]] = (shift or 0.0, bool(r["nulls"]))
-    return {name: found.get(name, (0.0, False)) for name in exprs}
-
-
 def pair_sums(
     df: DataFrame,
     exprs: Mapping[str, Column],
-    centres: Mapping[str, tuple[float, bool]] | None = None,
+    ranges: Mapping[str, ColumnRange] | None = None,
     max_aggregates: int = MAX_AGGREGATES,
 ) -> DataFrame:
     """Shifted sums of every column pair i <= j over rows where both are present.
 
-    One scan, no row shuffle. ``centres`` holds per column the shift that keeps
-    the sums well conditioned and whether it has nulls; another scan finds them
-    when they are not given.
+    One scan, no row shuffle. ``ranges`` tells the shift of each column that
+    keeps the sums well conditioned, and whether it has nulls; another scan finds
+    them when they are not given.
     """
     names = list(exprs)
-    centres = centres or column_centres(df, exprs)
-    shifted = df.select(*[(exprs[c] - F.lit(centres[c][0])).alias(f"x{i}") for i, c in enumerate(names)])
-    nulls = [centres[c][1] for c in names]
+    ranges = ranges or column_ranges(df, exprs)
+    shifted = df.select(*[(exprs[c] - F.lit(float(ranges[c].centre))).alias(f"x{i}") for i, c in enumerate(names)])
+    nulls = [ranges[c].nulls > 0 for c in names]
     d = len(names)
     with_nulls = sum(1 for i in range(d) for j in range(i, d) if nulls[i] or nulls[j])
     if 3 * d + d * (d + 1) // 2 + 5 * with_nulls <= max_aggregates:
@@ -105,11 +89,16 @@ def _pairs_by_matrix(shifted: DataFrame, d: int) -> DataFrame:
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             present = ~np.isnan(x)
-            mask = present.astype(float)
-            x = np.where(present, x, 0.0)
-            n += mask.T @ mask
-            s += x.T @ mask  # s[i, j]: sum of x_i where x_j is present
-            q += (x * x).T @ mask
+            if present.all():
+                n += len(x)
+                s += x.sum(axis=0)[:, None]
+                q += (x * x).sum(axis=0)[:, None]
+            else:
+                mask = present.astype(float)
+                x = np.where(present, x, 0.0)
+                n += mask.T @ mask
+                s += x.T @ mask  # s[i, j]: sum of x_i where x_j is present
+                q += (x * x).T @ mask
             p += x.T @ x
         a, b = upper_i, upper_j
         yield pa.RecordBatch.from_arrays(

@@ -60,7 +60,7 @@ def generalize_numeric(df: DataFrame, columns: Sequence[str], bins: int = 5) ->
     """Equal-width interval labels; constant or empty columns stay as they are."""
     numeric = [c for c in columns if is_numeric(data_type(df, c))]
     ranges = value_ranges(df, numeric)
-    varying = {c: (r, bins) for c in numeric if (r := ranges.get(c)) and r.low != r.high}
+    varying = {c: (r, bins) for c in numeric if (r := ranges[c]).varies}
     return with_interval_labels(df, varying) if varying else df
 
 
@@ -162,7 +162,7 @@ def microaggregate(df: DataFrame, columns: Sequence[str], row_key: str, k: int =
     """
     numeric = [c for c in columns if is_numeric(data_type(df, c))]
     counts = value_ranges(df, numeric)
-    todo = [c for c in numeric if c in counts and counts[c].count >= k]
+    todo = [c for c in numeric if counts[c].count >= k]
     original = df.columns
     for i, name in enumerate(todo):
         means = cluster_means(df, name, row_key, k, align).select(

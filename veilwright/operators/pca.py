@@ -8,15 +8,16 @@ column is one expression over the standardized inputs and the noise draws.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_number, data_type, is_numeric, melt, ref
+from ..functions.columns import as_number, data_type, is_numeric, ref
 from ..functions.numbers import keyed_uniform, laplace
 from .association import pair_sums
+from .ranges import column_ranges
 
 PCA_SENSITIVITY = 2.0  # fixed value
 MAX_EXPRESSION_COLUMNS = 16
@@ -68,21 +69,17 @@ def fit_pca(df: DataFrame, columns: Sequence[str], threshold: float = 0.85) -> P
     numeric = [c for c in columns if c in df.columns and is_numeric(data_type(df, c))]
     if len(numeric) < 2:
         return None
-    stats = {
-        r["column_name"]: r
-        for r in melt(df, {c: as_number(df, c) for c in numeric})
-        .groupBy("column_name")
-        .agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()
-    }
-    varying = [c for c in numeric if c in stats and stats[c]["low"] is not None and stats[c]["low"] < stats[c]["high"]]
+    ranges = column_ranges(df, {c: as_number(df, c) for c in numeric})
+    varying = [c for c in numeric if ranges[c].varies]
     if len(varying) < 2:
         return None
-    means = np.array([stats[c]["mean"] for c in varying])
+    means = np.array([ranges[c].mean for c in varying])
     filled = {c: F.coalesce(as_number(df, c), F.lit(float(m))) for c, m in zip(varying, means)}
+    # Filling with the mean keeps the mean, so the same ranges serve as shifts.
+    complete = {c: replace(ranges[c], nulls=0) for c in varying}
     d = len(varying)
     covariance = np.zeros((d, d))
-    for r in pair_sums(df, filled).collect():
+    for r in pair_sums(df, filled, complete).collect():
         cov = r["sij"] / r["n"] - (r["si"] / r["n"]) * (r["sj"] / r["n"])
         covariance[r["i"], r["j"]] = covariance[r["j"], r["i"]] = cov
     scales = np.sqrt(np.diag(covariance))

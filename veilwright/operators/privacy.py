@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
 from ..functions.numbers import bin_edge, fixed_point_1, right_closed_bin, right_closed_guess
 from ..functions.text import as_text, group_token
+from .ranges import ColumnRange, column_ranges
 
 OTHER = "Other"  # fixed value: the label rare values are merged under
 
@@ -206,26 +206,11 @@ def privacy_status(
 LABEL_TABLE = 256  # up to this many bins the labels are literals
 
 
-@dataclass
-class Range:
-    low: float
-    high: float
-    count: int
+def value_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnRange]:
+    return column_ranges(df, {c: as_number(df, c) for c in columns})
 
 
-def value_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Range]:
-    """Lowest and highest value and non-null count, all columns in one scan."""
-    rows = (
-        melt(df, {c: as_number(df, c) for c in columns})
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name")
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
-        .collect()
-    ) if columns else []
-    return {r["column_name"]: Range(r["low"], r["high"], r["n"]) for r in rows}
-
-
-def with_interval_labels(df: DataFrame, bins: Mapping[str, tuple[Range, int]]) -> DataFrame:
+def with_interval_labels(df: DataFrame, bins: Mapping[str, tuple[ColumnRange, int]]) -> DataFrame:
     """Replace values by the ``"lo-hi"`` label of their right-closed equal-width bin.
 
     One decimal per edge. Bins narrower than a tenth can share a label; equal
@@ -262,7 +247,7 @@ def with_interval_labels(df: DataFrame, bins: Mapping[str, tuple[Range, int]]) -
 def enforce_k_numeric(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     """Equal-width bins sized for about 2k values each; constants stay as they are."""
     ranges = value_ranges(df, columns)
-    bins = {c: (r, max(2, r.count // (2 * k))) for c in columns if (r := ranges.get(c)) and r.low != r.high}
+    bins = {c: (r, max(2, r.count // (2 * k))) for c in columns if (r := ranges[c]).varies}
     return with_interval_labels(df, bins) if bins else df
 
 

@@ -8,7 +8,7 @@ and distinct counts, and d x d matrices on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.columns import as_number, melt, numeric_columns, ref
 from ..functions.numbers import left_closed_bin
-from .association import CONSTANT_RATIO, column_centres, correlations, pair_sums
+from .association import CONSTANT_RATIO, correlations, pair_sums
 from .pca import principal_axes
 from .privacy import value_ranges
 from .quantiles import SMALL_ROWS, exact_quantiles
+from .ranges import ColumnRange, column_ranges
 
 
 def common_numeric(original: DataFrame, anonymized: DataFrame, row_key: str | None = None) -> list[str]:
@@ -41,18 +42,23 @@ def fill_median(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_R
     )
 
 
-def _fill_where_needed(df: DataFrame, columns: Sequence[str], row_key: str, small_rows: int) -> DataFrame:
-    """Only the compared columns; medians are looked up only for columns with nulls."""
-    nulls = {
-        r["column_name"]
-        for r in melt(df, {c: as_number(df, c).isNull() for c in columns})
-        .groupBy("column_name")
-        .agg(F.bool_or("value").alias("has_null"))
-        .where("has_null")
-        .collect()
-    }
+@dataclass
+class _Side:
+    """The compared columns of one table, without nulls, and their ranges."""
+
+    df: DataFrame
+    ranges: dict[str, ColumnRange]
+
+
+def _side(df: DataFrame, columns: Sequence[str], row_key: str, small_rows: int) -> _Side:
+    """Medians are looked up only for the columns that have nulls."""
     plain = df.select(ref(row_key), *[as_number(df, c).alias(c) for c in columns])
-    return fill_median(plain, [c for c in columns if c in nulls], small_rows) if nulls else plain
+    ranges = column_ranges(plain, {c: ref(c) for c in columns})
+    gaps = {c: r for c, r in ranges.items() if r.nulls and r.count}
+    medians = exact_quantiles(plain, {c: ref(c) for c in gaps}, (0.5,), small_rows, gaps) if gaps else {}
+    filled = plain.withColumns({c: F.coalesce(ref(c), F.lit(m[0])) for c, m in medians.items()}) if gaps else plain
+    complete = {c: replace(r, count=r.count + r.nulls, nulls=0) if c in gaps else r for c, r in ranges.items()}
+    return _Side(filled, complete)
 
 
 class Comparison:
@@ -75,13 +81,13 @@ class Comparison:
             raise ValueError("the tables share no numeric columns")
         self.row_key = row_key
         self.small_rows = small_rows
-        self.original = _fill_where_needed(original, self.columns, row_key, small_rows)
-        self.anonymized = _fill_where_needed(anonymized, self.columns, row_key, small_rows)
+        self.sides = [_side(df, self.columns, row_key, small_rows) for df in (original, anonymized)]
+        self.original, self.anonymized = (s.df for s in self.sides)
         self.spark = original.sparkSession
 
     @cached_property
     def moments(self) -> Moments:
-        return _joint_moments(self.original, self.anonymized, self.columns, self.row_key)
+        return _joint_moments(self.sides[0], self.sides[1], self.columns, self.row_key)
 
     @cached_property
     def distribution(self) -> dict[str, Row]:
@@ -91,7 +97,11 @@ class Comparison:
     @cached_property
     def quartiles(self) -> np.ndarray:
         found = exact_quantiles(
-            self.original, {c: ref(c) for c in self.columns}, (0.25, 0.5, 0.75), self.small_rows
+            self.original,
+            {c: ref(c) for c in self.columns},
+            (0.25, 0.5, 0.75),
+            self.small_rows,
+            self.sides[0].ranges,
         )
         return np.array([found[c] for c in self.columns], dtype=float)
 
@@ -139,26 +149,23 @@ class Axes:
         return float(a @ self.cross @ b / np.sqrt(size)) if size > floor else 0.0
 
 
-def _joint_moments(left: DataFrame, right: DataFrame, columns: Sequence[str], row_key: str) -> Moments:
+def _joint_moments(left: _Side, right: _Side, columns: Sequence[str], row_key: str) -> Moments:
     """All first and second moments of both tables in one pass over one join."""
     d = len(columns)
-    sides = {}
-    centres = {}
-    for prefix, table in (("o", left), ("a", right)):
-        found = column_centres(table, {c: ref(c) for c in columns})
-        centres |= {f"{prefix}{i}": (found[c][0], False) for i, c in enumerate(columns)}
-        sides[prefix] = table.select(
-            ref(row_key).alias("row_key"), *[ref(c).alias(f"{prefix}{i}") for i, c in enumerate(columns)]
-        )
-    joined = sides["o"].join(sides["a"], "row_key")
+    ranges = {f"{p}{i}": side.ranges[c] for p, side in (("o", left), ("a", right)) for i, c in enumerate(columns)}
+    tables = [
+        side.df.select(ref(row_key).alias("row_key"), *[ref(c).alias(f"{p}{i}") for i, c in enumerate(columns)])
+        for p, side in (("o", left), ("a", right))
+    ]
+    joined = tables[0].join(tables[1], "row_key")
     n = 0
     first = np.zeros(2 * d)
     second = np.zeros((2 * d, 2 * d))
-    for r in pair_sums(joined, {c: F.col(c) for c in centres}, centres).collect():
+    for r in pair_sums(joined, {c: F.col(c) for c in ranges}, ranges).collect():
         n = r["n"]
         first[r["i"]], first[r["j"]] = r["si"], r["sj"]
         second[r["i"], r["j"]] = second[r["j"], r["i"]] = r["sij"]
-    shift = np.array([c[0] for c in centres.values()])
+    shift = np.array([r.centre for r in ranges.values()])
     rows = max(n, 1)
     mean_of_shifted = first / rows
     scatter = second - np.outer(first, first) / rows
@@ -448,8 +455,8 @@ def histogram_20(df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BI
     ranges = value_ranges(df, columns)
     spans, indices = {}, {}
     for name in columns:
-        r = ranges.get(name)
-        if r:
+        r = ranges[name]
+        if r.count:
             low, high = (r.low, r.high) if r.low != r.high else (r.low - 0.5, r.high + 0.5)
             spans[name] = (low, high, r.count)
             indices[name] = left_closed_bin(as_number(df, name), low, high, bins)

@@ -16,8 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import melt
+from .ranges import ColumnRange, column_ranges
 
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 250_000
 BUCKETS = 1024
 
 
@@ -41,22 +42,16 @@ def exact_quantiles(
     exprs: Mapping[str, Column],
     probs: Sequence[float],
     small_rows: int = SMALL_ROWS,
+    ranges: Mapping[str, ColumnRange] | None = None,
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile, ...]}``; NULL values are skipped, no values give None."""
-    if not exprs:
-        return {}
-    long = melt(df, exprs).where(F.col("value").isNotNull())
-    ranges = {
-        r["column_name"]: r
-        for r in long.groupBy("column_name")
-        .agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()
-    }
+    ranges = {c: r for c, r in (ranges or column_ranges(df, exprs)).items() if c in exprs and r.count}
     result: dict[str, list[float | None]] = {name: [None] * len(probs) for name in exprs}
     if not ranges:
         return result
-    if max(r["n"] for r in ranges.values()) <= small_rows:
+    if max(r.count for r in ranges.values()) <= small_rows:
         levels = F.array(*[F.lit(float(p)) for p in probs])
+        long = melt(df, exprs).where(F.col("value").isNotNull())
         for r in long.groupBy("column_name").agg(F.percentile("value", levels).alias("q")).collect():
             result[r["column_name"]] = list(r["q"])
         return result
@@ -64,11 +59,11 @@ def exact_quantiles(
     brackets, weights = [], {}
     for name, r in ranges.items():
         for i, p in enumerate(probs):
-            place = (r["n"] - 1) * p
+            place = (r.count - 1) * p
             rank = math.floor(place)
             weights[name, i] = place - rank
-            brackets.append(_Bracket(name, i, rank, r["low"], r["high"]))
-    _narrow(df, exprs, brackets, {name: r["n"] for name, r in ranges.items()})
+            brackets.append(_Bracket(name, i, rank, r.low, r.high))
+    _narrow(df, exprs, brackets, {name: r.count for name, r in ranges.items()})
     for b in brackets:
         w = weights[b.column, b.prob]
         result[b.column][b.prob] = b.lower + (b.upper - b.lower) * w if w else b.lower

@@ -23,24 +23,37 @@ STRING_FEATURES = (
 )
 
 
-def _share(pattern: str, name: str) -> Column:
-    return F.avg(tx.matches(F.col("value"), pattern).cast("double")).alias(name)
+def _share(test: Column, name: str) -> Column:
+    return F.avg(test.cast("double")).alias(name)
 
 
 def string_features(long_text: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
-    """Features per column of a (column_name, value) text table, in one pass."""
-    value = F.col("value")
-    return long_text.groupBy(*ids, "column_name").agg(
-        F.avg(F.length(value)).alias("avg_length"),
-        F.stddev_samp(F.length(value)).alias("std_length"),
-        _share(tx.DIGITS, "numeric_ratio"),
-        _share(tx.SPECIAL_CHAR, "special_char_ratio"),
-        _share(tx.EMAIL, "email_ratio"),
-        _share(tx.PHONE, "phone_ratio"),
-        _share(tx.SSN, "ssn_ratio"),
-        _share(tx.CREDIT_CARD, "credit_card_ratio"),
-        F.avg(F.size(F.split(value, "(?U)" + tx.TOKEN_BREAK, -1))).alias("token_count"),
-        _share(tx.ALPHANUMERIC, "pattern_ratio"),
+    """Features per column of a (column_name, value) text table, in one pass.
+
+    Each pattern fixes the lengths it can match (plus one for a final line
+    break) or a character it needs; testing that first spares most regex runs.
+    """
+    value, size = F.col("value"), F.col("size")
+
+    def share(pattern: str, name: str, possible: Column | None = None) -> Column:
+        test = tx.matches(value, pattern)
+        return _share(test if possible is None else possible & test, name)
+
+    return (
+        long_text.withColumn("size", F.length("value"))
+        .groupBy(*ids, "column_name")
+        .agg(
+            F.avg(size).alias("avg_length"),
+            F.stddev_samp(size).alias("std_length"),
+            share(tx.DIGITS, "numeric_ratio"),
+            share(tx.SPECIAL_CHAR, "special_char_ratio"),
+            share(tx.EMAIL, "email_ratio", value.contains("@")),
+            share(tx.PHONE, "phone_ratio", size.between(10, 21)),
+            share(tx.SSN, "ssn_ratio", size.between(11, 12)),
+            share(tx.CREDIT_CARD, "credit_card_ratio", size.between(16, 20)),
+            F.avg(F.size(F.split(value, "(?U)" + tx.TOKEN_BREAK, -1))).alias("token_count"),
+            share(tx.ALPHANUMERIC, "pattern_ratio", size >= 8),
+        )
     )
 
 

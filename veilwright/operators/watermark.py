@@ -153,16 +153,16 @@ def compare_watermarks(pairs: DataFrame, original: str = "original", new: str =
     stamp = "anonymization_timestamp"
     before = F.element_at(F.from_json(F.col(original), FIELDS), F.lit(stamp))
     after = F.element_at(F.from_json(F.col(new), FIELDS), F.lit(stamp))
-    keys = F.array_sort(F.array_union(F.map_keys(F.col("old_params")), F.map_keys(F.col("new_params"))))
+    zipped = F.map_zip_with(
+        "old_params", "new_params", lambda _, old, new: F.struct(old.alias("original"), new.alias("new"))
+    )
     differing = F.filter(
-        keys, lambda k: ~F.try_element_at(F.col("old_params"), k).eqNullSafe(F.try_element_at(F.col("new_params"), k))
+        F.map_entries(zipped), lambda e: ~e["value"]["original"].eqNullSafe(e["value"]["new"])
     )
     changes = F.transform(
         differing,
-        lambda k: F.struct(
-            k.alias("parameter"),
-            F.try_element_at(F.col("old_params"), k).alias("original"),
-            F.try_element_at(F.col("new_params"), k).alias("new"),
+        lambda e: F.struct(
+            e["key"].alias("parameter"), e["value"]["original"].alias("original"), e["value"]["new"].alias("new")
         ),
     )
     return (

@@ -191,6 +191,9 @@ def anonymize_table(
     if not result.k_met:
         out = enforce_k_anonymity(out, quasi, policy.k)
         if policy.guarantee:
+            # Read twice below; and the labels should be computed before the join
+            # that compares them, not inside its condition.
+            out = stage(out, "enforced")
             small = group_sizes(out, quasi).where(F.col("group_size") < policy.k)
             out = suppress_groups(out, small, quasi)
             result.k_met = True
