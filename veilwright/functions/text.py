@@ -81,11 +81,19 @@ def group_token(text: Column) -> Column:
 REDACTED = "REDACTED"
 
 
-def redact_words(text: Column, keep_ratio: float) -> Column:
-    """Keep the leading share of the words; every other word becomes a marker."""
-    words = F.filter(F.split(text, "(?U)" + WORD_GAP), lambda w: w != F.lit(""))
-    total = F.size(words)
+def spaced_words(text: Column) -> Column:
+    """The words of a text with exactly one space between them."""
+    return F.trim(F.regexp_replace(text, "(?U)" + WORD_GAP, " "))
+
+
+def redact_words(words: Column, keep_ratio: float) -> Column:
+    """Keep the leading share of ``spaced_words``; every other word becomes a marker.
+
+    ``words`` is read several times: pass a column, not a long expression.
+    """
+    total = F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1
     kept = F.greatest(F.lit(1), F.floor(total.cast("double") * F.lit(float(keep_ratio))).cast("int"))
-    rest = F.array_repeat(F.lit(REDACTED), (total - kept).cast("int"))
-    redacted = F.array_join(F.concat(F.slice(words, F.lit(1), kept), rest), " ")
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(total <= 1, F.lit(REDACTED)).otherwise(redacted)
+    # The SQL function takes the number of words from a column.
+    leading = F.call_function("substring_index", words, F.lit(" "), kept)
+    redacted = F.concat(leading, F.repeat(F.lit(" " + REDACTED), (total - kept).cast("int")))
+    return F.when(total > 1, redacted).when(words.isNotNull(), F.lit(REDACTED))

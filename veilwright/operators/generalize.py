@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
 from ..functions.numbers import keyed_uniform, laplace
-from ..functions.text import redact_words
+from ..functions.text import redact_words, spaced_words
 from .ordered import with_position
 from .privacy import OTHER, value_ranges, with_interval_labels
 
@@ -47,10 +47,19 @@ def non_negative(df: DataFrame) -> DataFrame:
 # --- text ------------------------------------------------------------------
 
 
+def with_redacted_words(df: DataFrame, keep_ratios: Mapping[str, float]) -> DataFrame:
+    """Redact each column, read as text, with its own share of words to keep."""
+    original = df.columns
+    words = {c: f"redact_words_{i}" for i, c in enumerate(keep_ratios)}
+    split = df.withColumns({w: spaced_words(ref(c).cast("string")) for c, w in words.items()})
+    redacted = split.withColumns({c: redact_words(F.col(words[c]), ratio) for c, ratio in keep_ratios.items()})
+    return redacted.select(*[ref(c) for c in original])
+
+
 def redact_text(df: DataFrame, columns: Sequence[str], keep_ratio: float = 0.5) -> DataFrame:
     """Word redaction of the string columns among ``columns``."""
-    wanted = [c for c in columns if isinstance(data_type(df, c), T.StringType)]
-    return df.withColumns({c: redact_words(ref(c), keep_ratio) for c in wanted})
+    wanted = {c: keep_ratio for c in columns if isinstance(data_type(df, c), T.StringType)}
+    return with_redacted_words(df, wanted) if wanted else df
 
 
 # --- bins ------------------------------------------------------------------

@@ -78,33 +78,34 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
         elif b.rank == counts[b.column] - 1:
             b.lower = b.upper = b.high
     while pending := [b for b in brackets if b.open]:
-        rows = []
-        for i, b in enumerate(pending):
-            # Halving keeps the width finite for extreme ranges.
-            scale = 1.0 if math.isfinite(b.high - b.low) else 0.5
-            rows.append((b.column, i, b.low, b.high, b.rank, scale))
+        # Ranks of one column in the same range share one count of its buckets.
+        ranges = {key: i for i, key in enumerate(dict.fromkeys((b.column, b.low, b.high) for b in pending))}
+        # Halving keeps the width finite for extreme ranges.
         spec = spark.createDataFrame(
-            rows, "column_name string, target int, low double, high double, rank long, scale double"
+            [(name, i, low, high, 1.0 if math.isfinite(high - low) else 0.5) for (name, low, high), i in ranges.items()],
+            "column_name string, range_id int, low double, high double, scale double",
         )
-        wanted = {name: exprs[name] for name in {b.column for b in pending}}
-        inside = (
-            melt(df, wanted)
-            .join(F.broadcast(spec), "column_name")  # columns x probabilities rows
-            .where(F.col("value").between(F.col("low"), F.col("high")))
+        wanted_ranks = spark.createDataFrame(
+            [(ranges[b.column, b.low, b.high], i, b.rank) for i, b in enumerate(pending)],
+            "range_id int, target int, rank long",
         )
         low = F.col("low") * F.col("scale")
         place = (F.col("value") * F.col("scale") - low) / (F.col("high") * F.col("scale") - low)
         buckets = (
-            inside.withColumn("bucket", F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1).cast("bigint")))
-            .groupBy("target", "rank", "bucket")
+            melt(df, {name: exprs[name] for name in {b.column for b in pending}})
+            .join(F.broadcast(spec), "column_name")  # at most columns x probabilities rows
+            .where(F.col("value").between(F.col("low"), F.col("high")))
+            .withColumn("bucket", F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1).cast("bigint")))
+            .groupBy("range_id", "bucket")
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         )
-        by_bucket = Window.partitionBy("target").orderBy("bucket")
+        by_bucket = Window.partitionBy("range_id").orderBy("bucket")  # at most BUCKETS rows
         until = F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))
         found = (
             buckets.withColumn("until", until)
             .withColumn("before", F.col("until") - F.col("n"))
             .withColumn("next_low", F.lead("low").over(by_bucket))
+            .join(F.broadcast(wanted_ranks), "range_id")
             .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("until")))
             .collect()
         )

@@ -117,9 +117,7 @@ def validate_watermark(df: DataFrame, column: str = "watermark") -> DataFrame:
     return df.withColumn("reason", reason).withColumn("is_valid", F.col("reason") == VALID)
 
 
-def _params(column: str) -> Column:
-    nested = F.element_at(F.from_json(F.col(column), FIELDS), F.lit("anonymization_params"))
-    return F.coalesce(F.from_json(nested, FIELDS), F.from_json(F.lit("{}"), FIELDS))
+RUN = "anonymization_timestamp string, anonymization_params map<string,string>"
 
 
 def _elapsed(start: Column, end: Column) -> Column:
@@ -150,9 +148,20 @@ def _elapsed(start: Column, end: Column) -> Column:
 
 def compare_watermarks(pairs: DataFrame, original: str = "original", new: str = "new") -> DataFrame:
     """Adds ``same_anonymization``, ``timestamp_difference`` and ``parameter_changes``."""
-    stamp = "anonymization_timestamp"
-    before = F.element_at(F.from_json(F.col(original), FIELDS), F.lit(stamp))
-    after = F.element_at(F.from_json(F.col(new), FIELDS), F.lit(stamp))
+    no_params = F.from_json(F.lit("{}"), FIELDS)
+
+    def parsed(side: str) -> list[Column]:
+        run = F.col(f"{side}_run")
+        return [
+            run["anonymization_timestamp"].alias(f"{side}_time"),
+            F.coalesce(run["anonymization_params"], no_params).alias(f"{side}_params"),
+        ]
+
+    pairs = pairs.withColumn("old_run", F.from_json(F.col(original), RUN)).withColumn(
+        "new_run", F.from_json(F.col(new), RUN)
+    )
+    ids = [c for c in pairs.columns if c not in ("old_run", "new_run")]
+    pairs = pairs.select(*[F.col(f"`{c}`") for c in ids], *parsed("old"), *parsed("new"))
     zipped = F.map_zip_with(
         "old_params", "new_params", lambda _, old, new: F.struct(old.alias("original"), new.alias("new"))
     )
@@ -166,15 +175,13 @@ def compare_watermarks(pairs: DataFrame, original: str = "original", new: str =
         ),
     )
     return (
-        pairs.withColumn("old_params", _params(original))
-        .withColumn("new_params", _params(new))
-        .withColumn("parameter_changes", changes)
+        pairs.withColumn("parameter_changes", changes)
         .withColumn(
             "same_anonymization",
             F.array_sort(F.map_entries("old_params")) == F.array_sort(F.map_entries("new_params")),
         )
-        .withColumn("timestamp_difference", _elapsed(before, after))
-        .drop("old_params", "new_params")
+        .withColumn("timestamp_difference", _elapsed(F.col("old_time"), F.col("new_time")))
+        .drop("old_params", "new_params", "old_time", "new_time")
     )
 
 

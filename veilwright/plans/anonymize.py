@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import data_type, is_numeric, ref
-from ..functions.text import redact_words
 from ..operators.classify import NAME_COLUMN, tier_column
 from ..operators.generalize import (
     generalize_numeric,
     laplace_column,
     microaggregate,
     top_category_columns,
+    with_redacted_words,
 )
 from ..operators.ordered import with_scan_position
 from ..operators.pca import PcaModel, fit_pca, reconstruct
@@ -139,13 +139,13 @@ def transform_columns(df: DataFrame, rules: list[ColumnRule], policy: Policy, ro
 
     values: dict[str, Column] = {}
     for r in rules:
-        if r.action == "redact":
-            values[r.column] = redact_words(ref(r.column).cast("string"), r.amount)
-        elif r.action == "noise":
+        if r.action == "noise":
             values[r.column] = laplace_column(df, r.column, row_key, policy.secret, r.amount, policy.epsilon)
     values |= top_category_columns(df, named("categories"), CATEGORIES) if named("categories") else {}
     changed = generalize_numeric(df, named("bins"), BINS) if named("bins") else df
     changed = changed.withColumns(values) if values else changed
+    ratios = {r.column: r.amount for r in rules if r.action == "redact"}
+    changed = with_redacted_words(changed, ratios) if ratios else changed
     clusters = named("clusters")
     return microaggregate(changed, clusters, row_key, policy.k) if clusters else changed
 
