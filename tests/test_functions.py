@@ -18,6 +18,7 @@ from veilwright.functions.numbers import (
     left_closed_bin,
     right_closed_bin,
     right_closed_guess,
+    tenths,
 )
 
 EDGE_DOUBLES = [
@@ -41,11 +42,11 @@ def test_fixed_point_rounds_the_exact_value_half_to_even(spark):
     values += [rng.uniform(0, 10 ** rng.randint(0, 9)) for _ in range(3000)]
     values += [rng.randint(0, 10**6) / 20 for _ in range(3000)] + [rng.randint(0, 10**6) / 4 for _ in range(500)]
     values += [-v for v in values if v]
-    assert values_of(column(spark, values, "double"), fixed_point_1(F.col("v"))) == [f"{v:.1f}" for v in values]
+    assert values_of(column(spark, values, "double"), fixed_point_1(F.col("v"), tenths(F.col("v")))) == [f"{v:.1f}" for v in values]
 
 
 def test_fixed_point_null(spark):
-    assert values_of(column(spark, [None], "double"), fixed_point_1(F.col("v"))) == [None]
+    assert values_of(column(spark, [None], "double"), fixed_point_1(F.col("v"), tenths(F.col("v")))) == [None]
 
 
 def test_double_text_is_the_shortest_round_trip(spark):

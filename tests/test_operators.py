@@ -72,7 +72,8 @@ def test_shape_of_one_value(spark):
     assert rows(profile_shape(frame(spark, [4.0, None]), ["x"]), "column_name", "skewness", "outlier_ratio")["x"] == (0, 0)
 
 
-def test_refined_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("few_rows", [0, 40, 20_000])
+def test_refined_quantiles_equal_numpy(spark, few_rows):
     rng = np.random.default_rng(1)
     columns = {
         "normal": rng.normal(size=999),
@@ -84,7 +85,7 @@ def test_refined_quantiles_equal_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
     exprs = {c: F.col(c) for c in columns}
-    refined, direct = exact_quantiles(df, exprs, probs, small_rows=0), exact_quantiles(df, exprs, probs)
+    refined, direct = exact_quantiles(df, exprs, probs, small_rows=0, few_rows=few_rows), exact_quantiles(df, exprs, probs)
     for name, values in columns.items():
         if name != "wide":
             assert refined[name] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)

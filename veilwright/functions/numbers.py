@@ -7,24 +7,30 @@ from pyspark.sql import Column, functions as F
 TWO_52 = float(2**52)
 
 
-def fixed_point_1(value: Column) -> Column:
-    """``%.1f`` with the exact binary value rounded half to even.
+def tenths(value: Column) -> Column:
+    """``|value| * 10`` as a whole number, the exact product rounded half to even.
 
-    ``format_string`` rounds the shortest decimal text half up, so 0.25 and 0.15
-    come out differently. Here the comparison with the midpoint between two
-    one-digit neighbours is exact: 20*f - (2c+1) is evaluated as
-    (16f - (2c+1)) + 4f, whose two differences are exact near a tie.
+    The product is 8x + 2x, both exact, so what their sum lost to rounding is
+    known exactly; it decides where the sum looks like a tie but is none.
     """
     size = F.abs(value)
-    whole = F.floor(size)
-    fraction = size - whole.cast("double")
-    digit = F.floor(fraction * 10.0)
-    odd = (digit * 2 + 1).cast("double")
-    side = (fraction * 16.0 - odd) + fraction * 4.0
-    up = (side > 0) | ((side == 0) & (digit % 2 == 1))
-    tenths = whole * 10 + digit + up.cast("bigint")
+    product = size * 8.0 + size * 2.0
+    lost = (size * 8.0 - product) + size * 2.0
+    looks_tied = (product - F.floor(product).cast("double") == 0.5) & (lost != 0.0)
+    nearest = F.when(looks_tied, F.floor(product).cast("double") + (lost > 0.0).cast("double")).otherwise(F.rint(product))
+    return nearest.cast("bigint")
+
+
+def fixed_point_1(value: Column, in_tenths: Column) -> Column:
+    """``%.1f`` of a value whose ``tenths`` are at hand.
+
+    ``format_string`` rounds the shortest decimal text half up, so 0.25 and 0.15
+    would come out differently.
+    """
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    last = in_tenths % 10
+    whole = ((in_tenths - last) / 10).cast("bigint")
+    return F.concat(sign, whole.cast("string"), F.lit("."), last.cast("string"))
 
 
 def bin_edge(index: Column, low: float, high: float, bins: int) -> Column:

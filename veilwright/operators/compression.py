@@ -6,6 +6,7 @@ import gzip
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import column_frame
@@ -16,22 +17,24 @@ CHUNK_BYTES = 1 << 20
 
 def _compressed_chunks(columns: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[list[str]] = [[] for _ in columns]
+        pending: list[list[bytes]] = [[] for _ in columns]
         size = [0] * len(columns)
         raw, packed = [0] * len(columns), [0] * len(columns)
 
         def flush(i: int) -> None:
-            if pending[i]:
-                data = " ".join(pending[i]).encode("utf-8")
+            data = b" ".join(pending[i])
+            if data:
                 raw[i] += len(data)
-                packed[i] += len(gzip.compress(data)) if data else 0
-                pending[i], size[i] = [], 0
+                packed[i] += len(gzip.compress(data))
+            pending[i], size[i] = [], 0
 
         for batch in batches:
             for i in range(len(columns)):
-                for text in batch.column(i).drop_null().to_pylist():
-                    pending[i].append(text)
-                    size[i] += len(text) + 1
+                texts = batch.column(i).drop_null()
+                if len(texts):
+                    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+                    pending[i].append(pc.binary_join(whole, " ")[0].as_py().encode("utf-8"))
+                    size[i] += len(pending[i][-1]) + 1
                     if size[i] >= CHUNK_BYTES:
                         flush(i)
         for i in range(len(columns)):

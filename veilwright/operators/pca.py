@@ -20,7 +20,7 @@ from .association import pair_sums
 from .ranges import column_ranges
 
 PCA_SENSITIVITY = 2.0  # fixed value
-MAX_EXPRESSION_COLUMNS = 16
+MAX_EXPRESSION_COLUMNS = 8  # beyond, a matrix product per batch is faster (measured)
 
 
 @dataclass

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
-from ..functions.numbers import bin_edge, fixed_point_1, right_closed_bin, right_closed_guess
+from ..functions.numbers import bin_edge, fixed_point_1, right_closed_bin, right_closed_guess, tenths
 from ..functions.text import as_text, group_token
 from .ranges import ColumnRange, column_ranges
 
@@ -225,8 +225,9 @@ def with_interval_labels(df: DataFrame, bins: Mapping[str, tuple[ColumnRange, in
     index = {c: F.col(f"bin_index_{slot[c]}") for c in bins}
     df = df.withColumns({f"bin_guess_{slot[c]}": right_closed_guess(value[c], *span[c]) for c in bins})
     df = df.withColumns({f"bin_index_{slot[c]}": right_closed_bin(value[c], guess[c], *span[c]) for c in bins})
-    labels = {}
-    edges = {}
+    labels: dict[str, Column] = {}
+    edges: dict[str, Column] = {}
+    in_tenths: dict[str, Column] = {}
     for c, (low, high, n) in span.items():
         if n <= LABEL_TABLE:
             step = (high - low) / n
@@ -234,14 +235,17 @@ def with_interval_labels(df: DataFrame, bins: Mapping[str, tuple[ColumnRange, in
             names = F.array(*[F.lit(f"{a:.1f}-{b:.1f}") for a, b in zip(cuts, cuts[1:])])
             labels[c] = F.element_at(names, index[c].cast("int"))
         else:
-            lower, upper = f"bin_lower_{slot[c]}", f"bin_upper_{slot[c]}"
-            edges[lower] = bin_edge(index[c] - 1, low, high, n)
-            edges[upper] = bin_edge(index[c], low, high, n)
-            labels[c] = F.concat(fixed_point_1(F.col(lower)), F.lit("-"), fixed_point_1(F.col(upper)))
+            ends = []
+            for end, i in (("lower", index[c] - 1), ("upper", index[c])):
+                edge, whole = f"bin_{end}_{slot[c]}", f"bin_{end}_tenths_{slot[c]}"
+                edges[edge] = bin_edge(i, low, high, n)
+                in_tenths[whole] = tenths(F.col(edge))
+                ends.append(fixed_point_1(F.col(edge), F.col(whole)))
+            labels[c] = F.concat(ends[0], F.lit("-"), ends[1])
         labels[c] = F.when(index[c].isNotNull(), labels[c])
-    if edges:
-        df = df.withColumns(edges)
-    return df.withColumns(labels).select(*[ref(c) for c in original])
+    for step_columns in (edges, in_tenths, labels):
+        df = df.withColumns(step_columns) if step_columns else df
+    return df.select(*[ref(c) for c in original])
 
 
 def enforce_k_numeric(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:

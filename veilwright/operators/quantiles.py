@@ -4,7 +4,8 @@ Below ``small_rows`` the built-in ``percentile`` is used; it keeps every distinc
 value of a column in one task. Above, the wanted order statistics are found by
 narrowing: each pass counts the values of the current bracket in equal buckets
 (map-side partial aggregation, nothing else is shuffled) and keeps the bucket
-holding the wanted rank, until its lowest and highest value coincide.
+holding the wanted rank, until its lowest and highest value coincide. A bracket of
+few rows counts every value by itself, which settles it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .ranges import ColumnRange, column_ranges
 
 SMALL_ROWS = 250_000
 BUCKETS = 1024
+FEW_ROWS = 20_000
 
 
 @dataclass
@@ -27,6 +29,7 @@ class _Bracket:
     column: str
     prob: int
     rank: int  # wanted rank inside [low, high], 0-based
+    rows: int  # values inside [low, high]
     low: float
     high: float
     lower: float | None = None
@@ -43,6 +46,7 @@ def exact_quantiles(
     probs: Sequence[float],
     small_rows: int = SMALL_ROWS,
     ranges: Mapping[str, ColumnRange] | None = None,
+    few_rows: int = FEW_ROWS,
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile, ...]}``; NULL values are skipped, no values give None."""
     ranges = {c: r for c, r in (ranges or column_ranges(df, exprs)).items() if c in exprs and r.count}
@@ -62,44 +66,55 @@ def exact_quantiles(
             place = (r.count - 1) * p
             rank = math.floor(place)
             weights[name, i] = place - rank
-            brackets.append(_Bracket(name, i, rank, r.low, r.high))
-    _narrow(df, exprs, brackets, {name: r.count for name, r in ranges.items()})
+            brackets.append(_Bracket(name, i, rank, r.count, r.low, r.high))
+    _narrow(df, exprs, brackets, few_rows)
     for b in brackets:
         w = weights[b.column, b.prob]
         result[b.column][b.prob] = b.lower + (b.upper - b.lower) * w if w else b.lower
     return result
 
 
-def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket], counts: Mapping[str, int]) -> None:
+def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket], few_rows: int) -> None:
     spark = df.sparkSession
     for b in brackets:
         if b.low == b.high:
             b.lower = b.upper = b.low
-        elif b.rank == counts[b.column] - 1:
+        elif b.rank == b.rows - 1:
             b.lower = b.upper = b.high
     while pending := [b for b in brackets if b.open]:
         # Ranks of one column in the same range share one count of its buckets.
-        ranges = {key: i for i, key in enumerate(dict.fromkeys((b.column, b.low, b.high) for b in pending))}
-        # Halving keeps the width finite for extreme ranges.
-        spec = spark.createDataFrame(
-            [(name, i, low, high, 1.0 if math.isfinite(high - low) else 0.5) for (name, low, high), i in ranges.items()],
-            "column_name string, range_id int, low double, high double, scale double",
-        )
+        ranges: dict[tuple, int] = {}
+        for b in pending:
+            ranges.setdefault((b.column, b.low, b.high, b.rows), len(ranges))
         wanted_ranks = spark.createDataFrame(
-            [(ranges[b.column, b.low, b.high], i, b.rank) for i, b in enumerate(pending)],
+            [(ranges[b.column, b.low, b.high, b.rows], i, b.rank) for i, b in enumerate(pending)],
             "range_id int, target int, rank long",
         )
-        low = F.col("low") * F.col("scale")
-        place = (F.col("value") * F.col("scale") - low) / (F.col("high") * F.col("scale") - low)
+        # One row per range, which finds its bounds in literal arrays. A join with
+        # a table of bounds takes more than twice as long, and bounds written
+        # into one expression per range outgrow what the JVM compiles.
+        pairs = [part for (name, *_), i in ranges.items() for part in (F.lit(i), exprs[name])]
+        scales = [1.0 if math.isfinite(high - low) else 0.5 for _, low, high, _ in ranges]
+
+        def of_range(values: Sequence) -> Column:
+            return F.array(*[F.lit(v) for v in values])[F.col("range_id")]
+
+        value, scale, low = F.col("value"), F.col("scale"), F.col("low")
+        place = (value * scale - low * scale) / (F.col("high") * scale - low * scale)
+        part = F.least(F.floor(place * BUCKETS).cast("double"), F.lit(float(BUCKETS - 1)))
         buckets = (
-            melt(df, {name: exprs[name] for name in {b.column for b in pending}})
-            .join(F.broadcast(spec), "column_name")  # at most columns x probabilities rows
-            .where(F.col("value").between(F.col("low"), F.col("high")))
-            .withColumn("bucket", F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1).cast("bigint")))
+            df.select(F.stack(F.lit(len(ranges)), *pairs).alias("range_id", "value"))
+            .withColumn("low", of_range([low for _, low, _, _ in ranges]))
+            .withColumn("high", of_range([high for _, _, high, _ in ranges]))
+            .where(value.between(F.col("low"), F.col("high")))
+            # Halving keeps the width finite for extreme ranges.
+            .withColumn("scale", of_range(scales))
+            .withColumn("few", of_range([rows <= few_rows for _, _, _, rows in ranges]))
+            .withColumn("bucket", F.when(F.col("few"), value).otherwise(part))
             .groupBy("range_id", "bucket")
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         )
-        by_bucket = Window.partitionBy("range_id").orderBy("bucket")  # at most BUCKETS rows
+        by_bucket = Window.partitionBy("range_id").orderBy("bucket")  # at most FEW_ROWS rows
         until = F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))
         found = (
             buckets.withColumn("until", until)
@@ -118,4 +133,4 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
                 # A kept bracket always holds rank + 1 too, so there is a next bucket.
                 b.lower, b.upper = r["high"], r["next_low"]
             else:
-                b.rank, b.low, b.high = b.rank - r["before"], r["low"], r["high"]
+                b.rank, b.rows, b.low, b.high = b.rank - r["before"], r["n"], r["low"], r["high"]
