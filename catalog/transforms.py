@@ -10,7 +10,7 @@ from veilwright.operators.overview import before_after_sample
 from veilwright.operators.pca import pca_anonymize
 from veilwright.plans.anonymize import column_rules, transform_columns
 
-from .privacy import interval_sql
+from .privacy import delta_sql, distance_sql, diversity_sql, interval_sql, k_sql
 from .registry import INTERVAL_LABEL, laplace_sql, query, r, redact_sql, right_bin_sql, rounded, table, uniform_sql
 
 SECRET = "catalog"
@@ -261,7 +261,23 @@ def _(spark, sf_dir):
     return anonymize_table(orders, classify_columns(orders), Policy(secret=SECRET), "o_orderkey").df
 
 
-@query("anonymize_table_status")
+QUASI, SENSITIVE = ["c_nationkey", "c_mktsegment"], ["c_name", "c_acctbal"]
+NOISY_BALANCE = f"abs(c_acctbal + {laplace_sql(SECRET, 'c_acctbal', 'c_custkey', 1.0)}) AS c_acctbal"
+STATUS_SQL = f"""
+WITH sized AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS class_size
+               FROM ({RUN_SQL.replace(noisy_sql('c_acctbal', 'c_custkey', 1.0) + ' AS c_acctbal', NOISY_BALANCE)})),
+kept AS (SELECT * FROM sized WHERE class_size >= 5)
+SELECT 'k-anonymity' AS model, 5::DOUBLE AS threshold, satisfied, {r('min_group_size')} AS value FROM ({k_sql('kept', QUASI)})
+UNION ALL
+SELECT 'l-diversity', 2::DOUBLE, min(diversity) >= 2, {r('min(diversity)')} FROM ({diversity_sql('kept', QUASI, SENSITIVE)})
+UNION ALL
+SELECT 't-closeness', 0.2::DOUBLE, max(distance) <= 0.2, {r('max(distance)')} FROM ({distance_sql('kept', QUASI, SENSITIVE)})
+UNION ALL
+SELECT 'delta-presence', 0.01::DOUBLE, satisfied, {r('max_probability')} FROM ({delta_sql('kept', QUASI)})
+"""
+
+
+@query("anonymize_table_status", STATUS_SQL)
 def _(spark, sf_dir):
     """The four models on a run that must leave no class below k."""
     customer = table(spark, sf_dir, "customer")
