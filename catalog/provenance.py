@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veilwright import Policy
 from veilwright.operators import watermark as wm
@@ -24,7 +24,7 @@ from veilwright.sources.watermarked import (
 )
 
 from . import quality as pair
-from .registry import query, r, rounded, table
+from .registry import query, rounded, table
 
 MARK = wm.make_watermark(Policy(secret="").watermark_params(), timestamp="2024-01-02T03:04:05")
 
