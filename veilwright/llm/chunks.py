@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, stage
 
 U64 = np.uint64
 
@@ -50,6 +50,12 @@ class Chunked:
         self.table = spark.table(name)
         self.schema = self.table.schema
 
+    asked = ASKED
+
+    def staged(self, replies: DataFrame) -> DataFrame:
+        """Answers that more than one pass needs, written once."""
+        return stage(replies, "answers")
+
     def ask(self, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
         """Questions (ASKED) from each chunk alone."""
         return self.table.groupBy("chunk").applyInArrow(fn, ASKED)

@@ -137,3 +137,64 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """The smallest value of every run of ``width`` consecutive values."""
     return _sliding(values, width, np.minimum) if len(values) >= width else values[:0]
+
+
+def group_equal(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first element of each distinct hash, in order of the hashes; group of each element)."""
+    n = len(hashes)
+    if n == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    shift = U64(max(1, int(n).bit_length()))
+    low = (U64(1) << shift) - U64(1)
+    packed = hashes & ~low
+    packed |= np.arange(n, dtype=U64)
+    packed.sort()
+    index = (packed & low).astype(np.int64)
+    packed >>= shift
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    representative = index[new]
+    group = np.empty(n, np.int32)
+    group[index] = np.cumsum(new, dtype=np.int32) - 1
+    if (hashes[representative][group] != hashes).any():  # different hashes with equal upper bits
+        _, representative, group = np.unique(hashes, return_index=True, return_inverse=True)
+    return representative, group
+
+
+def rolling_hash(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``length`` consecutive symbols, by doubling."""
+    if len(symbols) < length:
+        return np.empty(0, U64)
+    out, taken, power, span = None, 0, symbols, 1
+    while True:
+        if length & span:
+            out = power if out is None else _join(out[: len(power) - taken], power[taken:])
+            taken += span
+        if span * 2 > length:
+            return out[: len(symbols) - length + 1]
+        power = _join(power[:-span], power[span:])
+        span *= 2
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * U64(0x9E3779B97F4A7C15)
+    x ^= x >> U64(29)
+    x += b[: len(x)] if len(b) >= len(x) else b
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    return x
+
+
+def hashed_words(data: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word in a byte array, hashed about ``piece`` bytes at a time."""
+    starts, ends = word_bounds(data)
+    hashes = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, side="right")))
+        low = starts[at]
+        part = SliceHash(BYTE_SYMBOLS[data[low : ends[to - 1]]])
+        hashes[at:to] = part.slices(starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return starts, ends, hashes

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import SliceHash, U64, mix
+from .common import SliceHash, group_equal, mix
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN, EDGE = range(6)
 
@@ -120,7 +120,7 @@ class Pieces:
             keep = ~np.isin(self.doc, np.array(self.hard))
             first, last, self.doc = first[keep], last[keep], self.doc[keep]
         hashes = SliceHash(_symbols(points)).slices(first, last)
-        representative, self.of = _group(hashes)
+        representative, self.of = group_equal(hashes)
         self.distinct = [joined[a:b] for a, b in zip(first[representative].tolist(), last[representative].tolist())]
 
     @staticmethod
@@ -143,26 +143,3 @@ class Pieces:
             start[chosen + 1] = False
             rest = chosen + 1 + size
             start[rest[kind[np.minimum(rest, n - 1)] == LETTER]] = True
-
-
-def _group(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one element of each group of equal hashes, group of each element)."""
-    n = len(hashes)
-    if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    shift = U64(max(1, int(n).bit_length()))
-    low = (U64(1) << shift) - U64(1)
-    packed = hashes & ~low
-    packed |= np.arange(n, dtype=U64)
-    packed.sort()
-    index = (packed & low).astype(np.int64)
-    packed >>= shift
-    new = np.empty(n, bool)
-    new[0] = True
-    np.not_equal(packed[1:], packed[:-1], out=new[1:])
-    representative = index[new]
-    group = np.empty(n, np.int32)
-    group[index] = np.cumsum(new, dtype=np.int32) - 1
-    if (hashes[representative][group] != hashes).any():  # different hashes with equal upper bits
-        _, representative, group = np.unique(hashes, return_index=True, return_inverse=True)
-    return representative, group
