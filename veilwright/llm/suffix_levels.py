@@ -31,7 +31,7 @@ from .chunks import U64, Chunked, answer, answers, bits, questions, replies_in_o
 from .common import BYTE_SYMBOLS, group_equal, query, rolling_hash, table, utf8, window_minima
 
 CHUNK_BYTES = 8_000_000
-PIECE = 1 << 20
+PIECE = 1 << 16
 GRAM = 16
 LENGTH = 50
 BATCH = 1 << 16
@@ -50,9 +50,18 @@ def run_positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def suffix_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
     """The hash of the first ``length`` bytes of each suffix in runs of consecutive suffixes."""
-    spans = lengths + (length - 1)
-    joined = BYTE_SYMBOLS[data[run_positions(starts, spans)]]
-    return rolling_hash(joined, length)[run_positions(np.cumsum(spans) - spans, lengths)]
+    out = np.empty(int(lengths.sum()), U64)
+    done = np.cumsum(lengths)
+    at = 0
+    while at < len(starts):  # some runs at a time, which bounds the memory
+        before = done[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(done, before + PIECE, side="right")))
+        count = lengths[at:to]
+        spans = count + (length - 1)
+        joined = BYTE_SYMBOLS[data[run_positions(starts[at:to], spans)]]
+        out[before : done[to - 1]] = rolling_hash(joined, length)[run_positions(np.cumsum(spans) - spans, count)]
+        at = to
+    return out
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
