@@ -17,7 +17,6 @@ SQL: dict[str, str] = {}
 
 #: ASCII white space, which separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = b" \t\n\x0b\x0c\r"
 
 U64 = np.uint64
 
@@ -116,11 +115,17 @@ class SliceHash:
 BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=U64))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of a word: all but ASCII white space.
+NOT_BLANK = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
+#: Bytes of a word without punctuation: ASCII letters and digits, and all of other alphabets.
+LETTERS = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, of_word: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word in a byte array."""
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    inside[1:-1] = of_word[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 
@@ -186,9 +191,11 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed_words(data: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(
+    data: np.ndarray, of_word: np.ndarray = NOT_BLANK, piece: int = 1 << 20
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word in a byte array, hashed about ``piece`` bytes at a time."""
-    starts, ends = word_bounds(data)
+    starts, ends = word_bounds(data, of_word)
     hashes = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import query, table, text_batches, utf8, with_row_id
+from .common import query, table, text_batches, utf8
 
 WINDOW = 256
 DIM, REACH = 8, 4
@@ -172,24 +172,29 @@ def sample(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], list[str
     return [c for c, _ in pairs], [lang for _, lang in pairs]
 
 
+def net_scores(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language of each text and its score."""
+    spoken = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
+    language, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if spoken:
+        data = [fold(texts[i]) for i in spoken]
+        windows = np.concatenate([cut_windows(d) for d in data])
+        found = np.concatenate([net.probabilities(windows[a : a + 256]) for a in range(0, len(windows), 256)])
+        counts = np.array([max(1, -(-len(d) // WINDOW)) for d in data])
+        found = found.astype(float) * np.maximum(1, np.count_nonzero(windows, axis=1))[:, None]
+        sums = np.add.reduceat(found, np.cumsum(counts) - counts)
+        sums /= sums.sum(axis=1, keepdims=True)
+        for i, row in zip(spoken, sums):
+            language[i], score[i] = net.languages[int(row.argmax())], min(1.0, float(row.max()))
+    return language, score
+
+
 def _apply(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text", 1_000_000):
-            spoken = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
-            language, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if spoken:
-                data = [fold(texts[i]) for i in spoken]
-                windows = np.concatenate([cut_windows(d) for d in data])
-                found = np.concatenate([net.probabilities(windows[a : a + 256]) for a in range(0, len(windows), 256)])
-                counts = np.array([max(1, -(-len(d) // WINDOW)) for d in data])
-                found = found.astype(float) * np.maximum(1, np.count_nonzero(windows, axis=1))[:, None]
-                sums = np.add.reduceat(found, np.cumsum(counts) - counts)
-                sums /= sums.sum(axis=1, keepdims=True)
-                for i, row in zip(spoken, sums):
-                    language[i], score[i] = net.languages[int(row.argmax())], min(1.0, float(row.max()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(language), pa.array(score, pa.float64())], ["key", "lang_pred", "score"]
-            )
+            language, score = net_scores(net, texts)
+            columns = [batch.column("key"), pa.array(language, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "lang_pred", "score"])
 
     return run
 
@@ -216,6 +221,11 @@ MIN_SCORE = 0.25
 
 def drop_unknown_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is recognised: letters, and a score of ``least`` or more."""
-    rows, key = with_row_id(docs, "language")
-    found = identify(rows, key, fit(rows)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return rows.join(found.select(F.col("key").alias(key)), key, "left_semi").drop(key)
+    net = fit(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, "text", 1_000_000):
+            language, score = net_scores(net, texts)
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(language, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
