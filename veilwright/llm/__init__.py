@@ -7,6 +7,7 @@ library imports this subpackage.
 from importlib import import_module
 
 MODULES = (
+    "secrets",
     "decontaminate",
     "language",
     "neighbours",
