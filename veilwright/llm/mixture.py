@@ -84,6 +84,7 @@ def _fill(rows: DataFrame, slices: int, label: str) -> DataFrame:
     so_far = Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         wide.where("fits")
+        .repartition("source_no", "slice")  # else the window below would deal all rows out by source
         .groupBy("source_no", "slice")
         .agg(F.sum("size").alias("words"))
         .select("source_no", "slice", F.lit(True).alias("fits"), F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("before"))
