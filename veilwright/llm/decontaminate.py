@@ -1,7 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passages of ``PASSAGE`` words of every document are weighted by TF-IDF over the
-   benchmark's words, with passage frequencies counted over all documents.
+   benchmark's words, with passage frequencies counted over all documents. Words in
+   over ``COMMON`` of the passages weigh nothing, unless an item has fewer than
+   ``RARE_WORDS`` others.
 2. A randomised SVD of the passage matrix A, without building it: the tasks add up
    A'A times a random matrix, and then the Gram matrix of A times its orthonormal
    basis. Only matrices of (benchmark words x rank) and (rank x rank) are gathered.
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,10 @@ from .common import LETTERS, hashed_words, query, table, text_batches, utf8
 
 PASSAGE = 64
 STEP = PASSAGE // 2
-RANK, EXTRA = 64, 16
+RANK, EXTRA = 128, 16
 SEED = 11
-COSINE, MASS = 0.25, 0.5
+COSINE, MASS = 0.15, 0.6
+COMMON, RARE_WORDS = 0.1, 5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
 SHORTEST = 8
 BLOCK_BYTES = 2_000_000
@@ -79,6 +83,7 @@ class Items:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     terms: np.ndarray  # all words in them, sorted
+    weighs: np.ndarray  # which of the terms count in the vectors
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> Items:
@@ -92,7 +97,21 @@ class Items:
                 ids.append(item)
                 parts.append(part)
                 answers.append(answer_words(text) if pieces == 1 else part[-max(1, len(part) // 4) :])
-        return cls(ids, parts, answers, np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
+        terms = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+        return cls(ids, parts, answers, terms, np.ones(len(terms), bool))
+
+    def without_common(self, share: np.ndarray) -> Items:
+        """Words in a large share of all passages no longer weigh, but where an item has little else."""
+        weighs = share <= COMMON
+        for words in self.words:
+            own = np.unique(self.number(words))
+            if weighs[own].sum() < RARE_WORDS:
+                weighs[own] = True
+        return replace(self, weighs=weighs)
+
+    @cached_property
+    def lists(self) -> list[list[int]]:
+        return [w.tolist() for w in self.words]
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 for others."""
@@ -114,7 +133,7 @@ class Steps:
         self.step_of_doc = np.cumsum(steps) - steps
         place = np.arange(len(self.words)) - np.repeat(self.first, count)
         term = items.number(self.words)
-        known = np.flatnonzero(term >= 0)
+        known = np.flatnonzero((term >= 0) & items.weighs[term])
         self.term = term[known]
         self.step = (np.repeat(self.step_of_doc, count) + place // STEP)[known]
         self.count = count
@@ -198,6 +217,9 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model:
 
     counts = _gather(docs, (n + 1, 1), count)[:, 0]
     idf = np.log((1 + counts[n]) / (1 + counts[:n])) + 0.01
+    items = items.without_common(counts[:n] / max(1, counts[n]))
+    idf[~items.weighs] = 0
+    held = spark.sparkContext.broadcast(items)
     width = min(rank + EXTRA, n)
     random = np.random.default_rng(SEED).standard_normal((n, width)).astype("f4")
 
@@ -236,17 +258,22 @@ def _search(model: Model, texts: list[str]) -> Iterator[tuple[int, int | None, f
     dots = passages @ model.coordinates.T
     length = np.linalg.norm(passages, axis=1)
     close = (dots >= COSINE * length[:, None] * size) & (dots >= MASS * size**2) & (size > 0)
+    longest = max(map(len, model.items.words))
     seen = set()
+    last, text, present = -1, [], frozenset()
     for at, item in zip(*(x.tolist() for x in np.nonzero(close))):
         doc = int(steps.step_doc[at])
-        words = model.items.words[item]
         if (doc, item) in seen:
             continue
-        begin = int(steps.first[doc])
-        own = begin + (at - int(steps.step_of_doc[doc])) * STEP
-        text = steps.words[max(begin, own - len(words)) : min(begin + int(steps.count[doc]), own + PASSAGE + len(words))]
-        text = text.tolist()
-        share = longest_common_subsequence(words.tolist(), text) / len(words)
+        if at != last:
+            begin = int(steps.first[doc])
+            own = begin + (at - int(steps.step_of_doc[doc])) * STEP
+            text = steps.words[max(begin, own - longest) : min(begin + int(steps.count[doc]), own + PASSAGE + longest)].tolist()
+            last, present = at, frozenset(text)
+        words = model.items.lists[item]
+        if sum(map(present.__contains__, words)) < PARAPHRASE * len(words):  # no subsequence can be longer
+            continue
+        share = longest_common_subsequence(words, text) / len(words)
         if share < PARAPHRASE:
             continue
         answer = model.items.answers[item]
