@@ -35,7 +35,7 @@ class Chunked:
         spark = df.sparkSession
         total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.chunks = max(1, -(-int(total) // chunk_bytes))
-        self.buckets = self.chunks
+        self.buckets = max(1, self.chunks // 2)
         files = max(1, min(self.chunks, 4096))
         rows = df.withColumn("row_id", F.monotonically_increasing_id())
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(self.chunks)))

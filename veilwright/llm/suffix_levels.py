@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chunks import U64, Chunked, answer, answers, bits, questions, replies_in_order, unpack
 from .common import BYTE_SYMBOLS, group_equal, query, rolling_hash, table, utf8, window_minima
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 3_000_000
 PIECE = 1 << 16
 GRAM = 16
 LENGTH = 50
