@@ -166,7 +166,8 @@ def _(spark, sf_dir):
     "tier3_transform",
     f"""SELECT o_orderkey AS key, {noisy_sql('o_orderkey', 'o_orderkey', 0.1)} AS o_orderkey,
     {noisy_sql('o_custkey', 'o_orderkey', 0.1)} AS o_custkey, {redact_sql('o_orderstatus', 0.9)} AS o_orderstatus,
-    {noisy_sql('o_totalprice', 'o_orderkey', 0.1)} AS o_totalprice, o_orderdate,
+    {noisy_sql('o_totalprice', 'o_orderkey', 0.1)} AS o_totalprice,
+    {redact_sql('CAST(o_orderdate AS VARCHAR)', 0.9)} AS o_orderdate,
     {redact_sql('o_orderpriority', 0.9)} AS o_orderpriority FROM orders""",
 )
 def _(spark, sf_dir):

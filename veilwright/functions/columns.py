@@ -31,14 +31,19 @@ def numeric_columns(df: DataFrame, booleans: bool = False) -> list[str]:
     ]
 
 
+def finite(value: Column) -> Column:
+    """NaN and infinities as NULL, -0.0 as 0.0."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value + F.lit(0.0))
+
+
 def as_number(df: DataFrame, name: str) -> Column:
-    """The column as a double; NaN becomes NULL and -0.0 becomes 0.0."""
+    """The column as a double for statistics: NaN and infinities become NULL, -0.0 becomes 0.0."""
     dtype = data_type(df, name)
     if isinstance(dtype, T.BooleanType):
         return ref(name).cast("int").cast("double")
     value = ref(name).cast("double")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        value = F.when(~F.isnan(value), value + F.lit(0.0))
+        value = finite(value)
     return value
 
 

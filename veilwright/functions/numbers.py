@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 TWO_52 = float(2**52)
+TWO_63 = float(2**63)
+FINE = float(2**49)  # below, tenths are found from the product with ten; above, fractions are eighths
 
 
 def tenths(value: Column) -> Column:
-    """``|value| * 10`` as a whole number, the exact product rounded half to even.
+    """``|value| * 10`` as a whole number, the exact product rounded half to even; NULL from ``FINE`` on.
 
     The product is 8x + 2x, both exact, so what their sum lost to rounding is
     known exactly; it decides where the sum looks like a tie but is none.
@@ -18,7 +22,22 @@ def tenths(value: Column) -> Column:
     lost = (size * 8.0 - product) + size * 2.0
     looks_tied = (product - F.floor(product).cast("double") == 0.5) & (lost != 0.0)
     nearest = F.when(looks_tied, F.floor(product).cast("double") + (lost > 0.0).cast("double")).otherwise(F.rint(product))
-    return nearest.cast("bigint")
+    return F.when(size < FINE, nearest.cast("bigint"))
+
+
+def _whole_text(size: Column) -> Column:
+    """The digits of a whole, non-negative double.
+
+    Two parts of 63 bits each convert exactly. Beyond the range of decimals the
+    shortest digits that name the double stand for it.
+    """
+    head = F.floor(size / F.lit(TWO_63))
+    exact = head.cast("decimal(38,0)") * F.lit(Decimal(2**63)) + (
+        size - head.cast("double") * F.lit(TWO_63)
+    ).cast("bigint").cast("decimal(38,0)")
+    small = size.cast("bigint").cast("string")
+    large = F.regexp_replace(F.format_string("%.1f", size), r"\.0$", "")
+    return F.when(size < TWO_63, small).when(size < 1e37, exact.cast("string")).otherwise(large)
 
 
 def fixed_point_1(value: Column, in_tenths: Column) -> Column:
@@ -30,7 +49,11 @@ def fixed_point_1(value: Column, in_tenths: Column) -> Column:
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     last = in_tenths % 10
     whole = ((in_tenths - last) / 10).cast("bigint")
-    return F.concat(sign, whole.cast("string"), F.lit("."), last.cast("string"))
+    near = F.concat(sign, whole.cast("string"), F.lit("."), last.cast("string"))
+    size = F.abs(value)
+    part = F.when(size < TWO_52, size - F.floor(size).cast("double")).otherwise(F.lit(0.0))
+    far = F.concat(sign, _whole_text(size - part), F.lit("."), F.rint(part * 10.0).cast("int").cast("string"))
+    return F.when(size < FINE, near).otherwise(far)
 
 
 def bin_edge(index: Column, low: float, high: float, bins: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
 from ..functions.numbers import keyed_uniform, laplace
 from ..functions.text import redact_words, spaced_words
-from .ordered import with_position
+from .ordered import check_row_key, with_position
 from .privacy import OTHER, value_ranges, with_interval_labels
 
 SUPPRESSED = "SUPPRESSED"  # fixed value
@@ -163,16 +163,21 @@ def cluster_means(df: DataFrame, name: str, row_key: str, k: int, align: str = "
     )
 
 
-def microaggregate(df: DataFrame, columns: Sequence[str], row_key: str, k: int = 5, align: str = "value") -> DataFrame:
+def microaggregate(
+    df: DataFrame, columns: Sequence[str], row_key: str, k: int = 5, align: str = "value", checked: bool = True
+) -> DataFrame:
     """Replace numeric values by their cluster means; fewer than k values stay unchanged.
 
     Only (key, value) pairs are sorted. The joins back all use the row key, so
-    the table itself is shuffled once, whatever the number of columns.
+    the table itself is shuffled once, whatever the number of columns. A repeated
+    or null key raises; ``checked=False`` if the caller has made sure.
     """
     numeric = [c for c in columns if is_numeric(data_type(df, c))]
     counts = value_ranges(df, numeric)
     todo = [c for c in numeric if counts[c].count >= k]
     original = df.columns
+    if todo and checked:
+        check_row_key(df, row_key)
     for i, name in enumerate(todo):
         means = cluster_means(df, name, row_key, k, align).select(
             F.col("row_key").alias(f"micro_key_{i}"), F.col("mean").alias(f"micro_mean_{i}")

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import as_number, column_frame, data_type, is_numeric, melt, ref
@@ -50,6 +51,40 @@ def with_position(df: DataFrame, order: Sequence[Column], position: str = "posit
     return _number(ranged.withColumn("row_tag", F.monotonically_increasing_id()), position)
 
 
+def check_row_key(df: DataFrame, row_key: str) -> None:
+    """Raise unless every row has a key of its own. One grouping by the key; three numbers reach the driver."""
+    counts = df.groupBy(ref(row_key).alias("row_key")).agg(F.count(F.lit(1)).alias("rows"))
+    nulls, repeated, rows = counts.agg(
+        F.sum(F.when(F.col("row_key").isNull(), F.col("rows"))),
+        F.count_if((F.col("rows") > 1) & F.col("row_key").isNotNull()),
+        F.sum(F.when((F.col("rows") > 1) & F.col("row_key").isNotNull(), F.col("rows"))),
+    ).first()
+    if nulls or repeated:
+        raise ValueError(f"row key {row_key!r}: {nulls or 0} null keys, {repeated or 0} keys shared by {rows or 0} rows")
+
+
+def with_file_position(df: DataFrame, position: str = "position") -> DataFrame:
+    """0-based row number by file path, place in the file and row, for a table read directly from files.
+
+    How Spark packs files into tasks does not matter. Other tables are numbered
+    in the order their source delivers the rows.
+    """
+    if not df.inputFiles() or "_metadata" in df.columns:
+        return with_scan_position(df, position)
+    try:
+        placed = df.select(
+            "*",
+            F.col("_metadata.file_path").alias("file_place"),
+            F.col("_metadata.file_block_start").alias("block_place"),
+        )
+    except AnalysisException:  # not a direct scan
+        return with_scan_position(df, position)
+    placed = placed.withColumn("row_place", F.monotonically_increasing_id())
+    return with_position(placed, [F.col("file_place"), F.col("block_place"), F.col("row_place")], position).drop(
+        "file_place", "block_place", "row_place"
+    )
+
+
 def with_scan_position(df: DataFrame, position: str = "position") -> DataFrame:
     """0-based row number in the order the source delivers its rows."""
     return _number(df.withColumn("row_tag", F.monotonically_increasing_id()), position)

@@ -21,6 +21,7 @@ from ..functions.numbers import left_closed_bin
 from .association import CONSTANT_RATIO, correlations, pair_sums
 from .pca import principal_axes
 from .privacy import value_ranges
+from .ordered import check_row_key
 from .quantiles import SMALL_ROWS, exact_quantiles
 from .ranges import ColumnRange, column_ranges
 
@@ -79,6 +80,8 @@ class Comparison:
         self.columns = list(columns or common_numeric(original, anonymized, row_key))
         if not self.columns:
             raise ValueError("the tables share no numeric columns")
+        for df in (original, anonymized):
+            check_row_key(df, row_key)  # a repeated key would multiply the rows of the join
         self.row_key = row_key
         self.small_rows = small_rows
         self.sides = [_side(df, self.columns, row_key, small_rows) for df in (original, anonymized)]

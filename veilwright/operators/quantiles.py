@@ -6,6 +6,11 @@ narrowing: each pass counts the values of the current bracket in equal buckets
 (map-side partial aggregation, nothing else is shuffled) and keeps the bucket
 holding the wanted rank, until its lowest and highest value coincide. A bracket of
 few rows counts every value by itself, which settles it.
+
+A wide bracket is cut by the logarithms of its values, a narrow one by the values.
+Logarithms of doubles span less than 3,000, so two passes bring any bracket to
+values that differ by half a percent, and five more settle every bit of them:
+seven passes at most, whatever the data. NaN and infinities are missing values.
 """
 
 from __future__ import annotations
@@ -16,12 +21,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import melt
+from ..functions.columns import finite, melt
 from .ranges import ColumnRange, column_ranges
 
 SMALL_ROWS = 250_000
 BUCKETS = 1024
 FEW_ROWS = 20_000
+ABOVE_SMALLEST = 746.0  # added to a logarithm, makes that of the smallest positive double positive
+WIDE = 0.01
 
 
 @dataclass
@@ -35,11 +42,25 @@ class _Bracket:
     lower: float | None = None
     upper: float | None = None
 
+    @property
+    def wide(self) -> bool:
+        return _magnitude(self.high) - _magnitude(self.low) > WIDE
+
     @property
     def open(self) -> bool:
         return self.lower is None or self.upper is None
 
 
+def _magnitude(x: float) -> float:
+    """Grows with x over all doubles, by about the same for every factor between them."""
+    return math.copysign(math.log(abs(x)) + ABOVE_SMALLEST, x) if x else 0.0
+
+
+def _magnitude_column(x: Column) -> Column:
+    # LN is monotonic by its specification, so buckets cut by it are ranges of values.
+    return F.when(x != 0.0, F.signum(x) * (F.log(F.abs(x)) + F.lit(ABOVE_SMALLEST))).otherwise(F.lit(0.0))
+
+
 def exact_quantiles(
     df: DataFrame,
     exprs: Mapping[str, Column],
@@ -49,7 +70,10 @@ def exact_quantiles(
     few_rows: int = FEW_ROWS,
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile, ...]}``; NULL values are skipped, no values give None."""
-    ranges = {c: r for c, r in (ranges or column_ranges(df, exprs)).items() if c in exprs and r.count}
+    exprs = {c: finite(e.cast("double")) for c, e in exprs.items()}
+    if not ranges or not all(math.isfinite(r.low) and math.isfinite(r.high) for r in ranges.values() if r.count):
+        ranges = column_ranges(df, exprs)
+    ranges = {c: r for c, r in ranges.items() if c in exprs and r.count}
     result: dict[str, list[float | None]] = {name: [None] * len(probs) for name in exprs}
     if not ranges:
         return result
@@ -74,7 +98,9 @@ def exact_quantiles(
     return result
 
 
-def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket], few_rows: int) -> None:
+def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket], few_rows: int) -> int:
+    """Settle the brackets; the number of passes that took."""
+    passes = 0
     spark = df.sparkSession
     for b in brackets:
         if b.low == b.high:
@@ -82,6 +108,7 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
         elif b.rank == b.rows - 1:
             b.lower = b.upper = b.high
     while pending := [b for b in brackets if b.open]:
+        passes += 1
         # Ranks of one column in the same range share one count of its buckets.
         ranges: dict[tuple, int] = {}
         for b in pending:
@@ -99,8 +126,13 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
         def of_range(values: Sequence) -> Column:
             return F.array(*[F.lit(v) for v in values])[F.col("range_id")]
 
+        wide = [b.wide for b in {(b.column, b.low, b.high, b.rows): b for b in pending}.values()]
+
         value, scale, low = F.col("value"), F.col("scale"), F.col("low")
-        place = (value * scale - low * scale) / (F.col("high") * scale - low * scale)
+        by_value = (value * scale - low * scale) / (F.col("high") * scale - low * scale)
+        start = _magnitude_column(low)
+        by_magnitude = (_magnitude_column(value) - start) / (_magnitude_column(F.col("high")) - start)
+        place = F.when(F.col("wide"), by_magnitude).otherwise(by_value)
         part = F.least(F.floor(place * BUCKETS).cast("double"), F.lit(float(BUCKETS - 1)))
         buckets = (
             df.select(F.stack(F.lit(len(ranges)), *pairs).alias("range_id", "value"))
@@ -109,6 +141,7 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
             .where(value.between(F.col("low"), F.col("high")))
             # Halving keeps the width finite for extreme ranges.
             .withColumn("scale", of_range(scales))
+            .withColumn("wide", of_range(wide))
             .withColumn("few", of_range([rows <= few_rows for _, _, _, rows in ranges]))
             .withColumn("bucket", F.when(F.col("few"), value).otherwise(part))
             .groupBy("range_id", "bucket")
@@ -134,3 +167,4 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
                 b.lower, b.upper = r["high"], r["next_low"]
             else:
                 b.rank, b.rows, b.low, b.high = b.rank - r["before"], r["n"], r["low"], r["high"]
+    return passes

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import data_type, is_numeric, ref
+from ..functions.text import as_text
 from ..operators.classify import NAME_COLUMN, tier_column
 from ..operators.generalize import (
     generalize_numeric,
@@ -16,7 +17,7 @@ from ..operators.generalize import (
     top_category_columns,
     with_redacted_words,
 )
-from ..operators.ordered import with_scan_position
+from ..operators.ordered import check_row_key, with_scan_position
 from ..operators.pca import PcaModel, fit_pca, reconstruct
 from ..operators.privacy import enforce_k_anonymity, group_sizes, k_anonymity, privacy_status, suppress_groups
 from ..session import stage
@@ -40,6 +41,9 @@ TECHNIQUES = {
 DEFAULT_TECHNIQUE = "Default (Tier 3)"
 UNLISTED_TECHNIQUE = "Default (Tier 3) - Not in classification"
 UNCHANGED_NOTE = " - numeric identifier left unchanged"
+BOOLEAN_NOTE, KEPT_NOTE = " - boolean left unchanged", " - left unchanged"
+#: Types without a text form of their own cannot be published as anonymized.
+NO_TEXT = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
 def _contains(name: str, fragments) -> bool:
@@ -57,14 +61,22 @@ class ColumnRule:
 
 
 def choose(df: DataFrame, name: str, level: str, strict: bool = False) -> tuple[str, float]:
-    """The action for a column: decided from its name and type alone."""
+    """The action for a column: decided from its name and type alone.
+
+    Dates, timestamps and other types are read as text; booleans stay.
+    """
     dtype = data_type(df, name)
-    numeric, text = is_numeric(dtype), isinstance(dtype, T.StringType)
+    if isinstance(dtype, NO_TEXT):
+        if level == "Tier 3":
+            return "keep", 0.0
+        raise ValueError(f"column {name!r} of type {dtype.simpleString()} is {level}: flatten or drop it first")
+    numeric = is_numeric(dtype)
+    text = not numeric and not isinstance(dtype, T.BooleanType)
     if level == "Tier 1":
         named = _contains(name, DIRECT_IDENTIFIER_NAMES)
         if numeric and not named:
             return "noise", TIER_1_SENSITIVITY
-        if text or (strict and named):
+        if text or (strict and named and numeric):
             return "redact", TIER_1_NAMED_KEEP if named else TIER_1_KEEP
     elif level == "Tier 2":
         if numeric:
@@ -90,6 +102,8 @@ def column_rules(df: DataFrame, tiers: Mapping[str, str], strict: bool = False)
         action, amount = choose(df, name, level or "Tier 3", strict)
         if level == "Tier 1" and action == "keep" and is_numeric(data_type(df, name)):
             technique += UNCHANGED_NOTE
+        elif action == "keep" and level:
+            technique += BOOLEAN_NOTE if isinstance(data_type(df, name), T.BooleanType) else KEPT_NOTE
         rules.append(ColumnRule(name, level or "Tier 3", tier, technique, action, amount))
     return rules
 
@@ -133,6 +147,8 @@ class AnonymizedTable:
 
 def transform_columns(df: DataFrame, rules: list[ColumnRule], policy: Policy, row_key: str) -> DataFrame:
     """Every per-column technique. Statistics come in one job per technique."""
+    texts = [r.column for r in rules if r.action == "categories" and not isinstance(data_type(df, r.column), T.StringType)]
+    df = df.withColumns({c: as_text(df, c) for c in texts}) if texts else df
 
     def named(action: str) -> list[str]:
         return [r.column for r in rules if r.action == action]
@@ -147,7 +163,7 @@ def transform_columns(df: DataFrame, rules: list[ColumnRule], policy: Policy, ro
     ratios = {r.column: r.amount for r in rules if r.action == "redact"}
     changed = with_redacted_words(changed, ratios) if ratios else changed
     clusters = named("clusters")
-    return microaggregate(changed, clusters, row_key, policy.k) if clusters else changed
+    return microaggregate(changed, clusters, row_key, policy.k, checked=False) if clusters else changed
 
 
 def anonymize_table(
@@ -160,7 +176,7 @@ def anonymize_table(
     """Transform by tier, optionally reconstruct through PCA, then bring the classes to size k.
 
     Rows stay lazy: the driver sees per-column statistics and a small matrix.
-    ``row_key`` must be unique and not null; it keys the noise and is itself
+    ``row_key`` must be unique and not null (else this raises); it keys the noise and is itself
     anonymized like any column. Without one, rows are numbered in scan order.
     ``keep_row_key`` keeps the unchanged key in an extra column for a quality
     report; drop it before publishing.
@@ -172,6 +188,7 @@ def anonymize_table(
     if row_key is None:
         keyed = with_scan_position(df, ROW_KEY)
     else:
+        check_row_key(df, row_key)
         keyed = df.withColumn(ROW_KEY, ref(row_key))
     out = transform_columns(keyed, rules, policy, ROW_KEY)
     if any(r.action == "clusters" for r in rules):

@@ -53,7 +53,7 @@ def quality_report(original: DataFrame, anonymized: DataFrame, row_key: str, **o
 
 
 def align_by_position(original: DataFrame, anonymized: DataFrame, row_key: str = "row_number"):
-    """Both tables with a row number in scan order, for pairs without a common key."""
-    from ..operators.ordered import with_scan_position
+    """Both tables with a row number in file order, for pairs without a common key."""
+    from ..operators.ordered import with_file_position
 
-    return with_scan_position(original, row_key), with_scan_position(anonymized, row_key)
+    return with_file_position(original, row_key), with_file_position(anonymized, row_key)
