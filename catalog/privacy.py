@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veilwright.operators import privacy as pv
 
 from .registry import INTERVAL_LABEL, query, r, right_bin_sql, rounded, table
@@ -172,6 +174,16 @@ def _(spark, sf_dir):
     return pv.enforce_k_numeric(customer, ["c_acctbal"], 20)
 
 
+LARGE = "(SELECT o_orderkey, o_totalprice * 4e12 + o_custkey AS o_totalprice FROM orders)"
+
+
+@query("enforce_k_numeric_large", interval_sql(LARGE, "o_orderkey", "o_totalprice", f"greatest(2, n // {2 * K})"))
+def _(spark, sf_dir):
+    """Edges beyond 64-bit integers in tenths, with more bins than literal labels."""
+    large = (F.col("o_totalprice") * 4e12 + F.col("o_custkey")).alias("o_totalprice")
+    return pv.enforce_k_numeric(table(spark, sf_dir, "orders").select("o_orderkey", large), ["o_totalprice"], K)
+
+
 def rare_sql(k: int) -> str:
     return f"""
     SELECT p_partkey, CASE WHEN (SELECT count(DISTINCT p_name) FROM part) > {2 * k} AND c < {k} THEN 'Other'

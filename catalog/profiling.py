@@ -14,6 +14,7 @@ from veilwright.operators.compression import profile_compression
 from veilwright.operators.frequency import profile_frequency
 from veilwright.operators.ordered import profile_monotonic
 from veilwright.operators.overview import column_info, dataset_overview, preview
+from veilwright.operators.quality import fill_median
 from veilwright.operators.shape import profile_shape
 from veilwright.operators.strings import profile_strings, string_features
 
@@ -107,6 +108,32 @@ def _(spark, sf_dir):
     return rounded(profile_shape(events, numeric_columns(events), small_rows=0).drop("column_position"))
 
 
+HEAVY_SQL = """SELECT *, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN l_extendedprice * 1e290
+    WHEN l_linenumber = 5 THEN -l_extendedprice * 1e-290 ELSE l_extendedprice END AS heavy FROM lineitem"""
+
+
+@query("profile_shape_infinite", shape_sql(f"(SELECT l_orderkey, CASE WHEN isfinite(e) THEN e END AS e FROM ("
+    "SELECT l_orderkey, CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS e FROM lineitem))", ["e"]))
+def _(spark, sf_dir):
+    """Infinities are missing values, in the search for large columns as in the direct way."""
+    infinite = F.when(F.col("l_orderkey") % 2 == 0, float("inf")).otherwise(float("-inf"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.when(F.col("l_linenumber") == 7, infinite).otherwise(F.col("l_extendedprice")).alias("e")
+    )
+    return rounded(profile_shape(rows, ["e"], small_rows=0).drop("column_position"))
+
+
+@query("fill_median_heavy_tail", f"""WITH t AS ({HEAVY_SQL}) SELECT l_orderkey, l_linenumber,
+    {r('log10(abs(coalesce(heavy, (SELECT quantile_cont(heavy, 0.5) FROM t))))')} AS size FROM t""")
+def _(spark, sf_dir):
+    """The exact median of values over 580 orders of magnitude, by the search for large columns."""
+    price, line = F.col("l_extendedprice"), F.col("l_linenumber")
+    heavy = F.when(line == 6, price * 1e290).when(line == 5, -price * 1e-290).when(line < 5, price)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", heavy.alias("heavy"))
+    filled = fill_median(rows, ["heavy"], small_rows=0)
+    return rounded(filled.select("l_orderkey", "l_linenumber", F.log10(F.abs("heavy")).alias("size")))
+
+
 # --- strings -----------------------------------------------------------------------
 
 WHITESPACE = r"\s\p{Z}\x{85}"

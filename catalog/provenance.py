@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from veilwright import Policy
 from veilwright.operators import watermark as wm
 from veilwright.operators.batch import directory_profile
-from veilwright.plans.report import quality_report
+from veilwright.operators.classify import classify_columns, validate_classification
+from veilwright.plans.report import align_by_position, quality_report
+from veilwright.plans.run import write_classification
 from veilwright.session import scratch_path
 from veilwright.sources import tables as src
 from veilwright.sources.watermarked import (
@@ -20,6 +22,7 @@ from veilwright.sources.watermarked import (
     read_watermarked,
     refuse_marked,
     watermarks,
+    write_marked_parquet,
     write_watermarked,
 )
 
@@ -106,6 +109,90 @@ def _(spark, sf_dir):
     return read_watermarked(spark, path, schema, multiline=True)
 
 
+LOOKALIKES_SQL = f"""
+SELECT CASE WHEN conv_id % 7 = 0 THEN 'role' WHEN conv_id % 7 = 1 THEN '{wm.PREFIX} {{}}' ELSE role END AS role,
+       CASE WHEN conv_id % 7 = 0 THEN 'text' ELSE text END AS text, conv_id FROM conversations
+"""
+
+
+@query("read_watermarked_lookalikes", LOOKALIKES_SQL)
+def _(spark, sf_dir):
+    """Data rows that equal the header or start like a mark stay, in every file."""
+    path = scratch_path(spark, "marked")
+    seventh = F.col("conv_id") % 7
+    rows = table(spark, sf_dir, "conversations").select(
+        F.when(seventh == 0, "role").when(seventh == 1, wm.PREFIX + " {}").otherwise(F.col("role")).alias("role"),
+        F.when(seventh == 0, "text").otherwise(F.col("text")).alias("text"),
+        "conv_id",
+    )
+    write_watermarked(rows.repartition(5), path, MARK)
+    return read_watermarked(spark, path, "role string, text string, conv_id long")
+
+
+@query("scan_csv_multiline", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(spark, sf_dir):
+    """Quoted line breaks are part of a cell by default, in a scan that finds the types."""
+    path = scratch_path(spark, "lines")
+    src.write_csv(table(spark, sf_dir, "documents"), path)
+    return src.read_csv(spark, path)
+
+
+@query(
+    "scan_csv_ragged",
+    """SELECT c_custkey % 4 AS rest, count(*) AS line_count, CASE WHEN c_custkey % 4 = 3 THEN 'refused' ELSE 'read' END AS outcome,
+       CASE WHEN c_custkey % 4 < 3 THEN count(*) FILTER (c_custkey % 4 <> 1) ELSE 0 END AS names FROM customer GROUP BY c_custkey % 4""",
+)
+def _(spark, sf_dir):
+    """Rows with missing cells are read with nulls; a file with surplus cells is refused."""
+    customer = table(spark, sf_dir, "customer").withColumn("rest", F.col("c_custkey") % 4)
+    # With remainder 1 a cell is missing, with 3 there is one too many; quoted commas are no cells.
+    cells = F.when(F.col("rest") == 1, F.array(F.col("c_custkey").cast("string"))).otherwise(F.array(F.col("c_custkey").cast("string"), F.concat(F.lit('"a,'), "c_name", F.lit('"'))))
+    cells = F.when(F.col("rest") == 3, F.concat(cells, F.array(F.lit("x")))).otherwise(cells)
+    found = None
+    for rest in range(4):
+        path = scratch_path(spark, "ragged")
+        part = customer.where(F.col("rest") == rest)
+        part.select(F.concat_ws(",", cells).alias("value")).write.option("header", False).text(path)
+        rows = csv_lines(spark, path, ["c_custkey", "c_name"])
+        try:
+            names = rows.agg(F.count("c_name")).first()[0]
+            outcome = "read"
+        except Exception as error:
+            if "more than 2 cells" not in str(error):
+                raise
+            names, outcome = 0, "refused"
+        one = part.agg(F.count(F.lit(1)).alias("line_count")).select(
+            F.lit(rest).cast("long").alias("rest"), "line_count", F.lit(outcome).alias("outcome"), F.lit(names).cast("long").alias("names")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def csv_lines(spark, path, names):
+    """Headerless lines through the reader's check of cells."""
+    return src.without_surplus(src.csv_reader(spark, False, True).schema(src.text_schema(names)).csv(path))
+
+
+@query(
+    "classification_round_trip",
+    """SELECT 'part' AS dataset, count(*) AS part_rows, 0 AS missing, 1 AS extra FROM part""",
+)
+def _(spark, sf_dir):
+    """A classification written as a file, read back and checked against a table with a column less."""
+    part = table(spark, sf_dir, "part")
+    tiers, path = classify_columns(part), scratch_path(spark, "tiers")
+    write_classification(tiers, path)
+    back = src.read_csv(spark, path)
+    assert sorted(map(tuple, back.select(*tiers.columns).select(tiers.columns[0]).collect())) == sorted(
+        map(tuple, tiers.select(tiers.columns[0]).collect())
+    )
+    problems = validate_classification(back, part.drop("p_size"))
+    counts = problems.agg(
+        F.count_if(F.col("problem") == "missing").alias("missing"), F.count_if(F.col("problem") == "extra").alias("extra")
+    )
+    return part.agg(F.count(F.lit(1)).alias("part_rows")).crossJoin(counts).select(F.lit("part").alias("dataset"), "*")
+
+
 @query("write_report")
 def _(spark, sf_dir):
     """The quality report as JSON files, read back."""
@@ -293,3 +380,40 @@ def _(spark, sf_dir):
         F.get_json_object("watermark", "$.anonymization_params.k_anonymity").alias("k_anonymity"),
         F.get_json_object("watermark", "$.dataset_info.rows").alias("total_rows"),
     )
+
+
+@query(
+    "reanonymize_guard_parquet",
+    """SELECT 'marked' AS dataset, 'refused' AS decision, 0 * count(*) AS rows_read FROM customer
+       UNION ALL SELECT 'forced', 'accepted', count(*) FROM customer UNION ALL SELECT 'plain', 'accepted', count(*) FROM customer""",
+)
+def _(spark, sf_dir):
+    """Parquet carries its mark beside the files; a mark counts by its ``anonymized`` field alone."""
+    customer = table(spark, sf_dir, "customer")
+    marked, plain = scratch_path(spark, "marked"), scratch_path(spark, "plain")
+    write_marked_parquet(customer, marked, {"anonymized": True, "by": "another tool"})
+    src.write_parquet(customer, plain)
+    out = []
+    for name, path, force in (("marked", marked, False), ("forced", marked, True), ("plain", plain, False)):
+        try:
+            refuse_marked(spark, path, force, lines=False)
+            rows, decision = src.read_parquet(spark, path), "accepted"
+        except AlreadyAnonymized:
+            rows, decision = customer.where("false"), "refused"
+        out.append(rows.agg(F.count(F.lit(1)).alias("rows_read")).select(F.lit(name).alias("dataset"), F.lit(decision).alias("decision"), "rows_read"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("align_by_position", "SELECT s_suppkey, s_suppkey AS other FROM supplier")
+def _(spark, sf_dir):
+    """The same rows in one file and in files of unequal size, matched by their place."""
+    supplier, paths = table(spark, sf_dir, "supplier"), [scratch_path(spark, "one"), scratch_path(spark, "several")]
+    supplier.coalesce(1).sortWithinPartitions("s_suppkey").write.parquet(paths[0])
+    last = supplier.agg(F.max("s_suppkey")).first()[0]
+    for name, low, high in (("a", -1, last // 9), ("b", last // 9, last // 2), ("c", last // 2, last)):
+        part = supplier.where((F.col("s_suppkey") > low) & (F.col("s_suppkey") <= high))
+        part.coalesce(1).sortWithinPartitions("s_suppkey").write.parquet(f"{paths[1]}/{name}")
+    one = spark.read.parquet(paths[0])
+    several = spark.read.option("recursiveFileLookup", "true").parquet(paths[1])
+    left, right = align_by_position(one, several, "place")
+    return left.select("place", "s_suppkey").join(right.select("place", F.col("s_suppkey").alias("other")), "place").drop("place")

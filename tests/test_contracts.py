@@ -97,3 +97,81 @@ def test_positions_follow_the_files(spark, tmp_path):
     pairs = left.join(right.select("n", F.col("id").alias("other")), "n")
     assert pairs.count() == 3000 and pairs.where("id <> other").count() == 0
     assert with_file_position(whole).where("position = id").count() == 3000
+
+
+def test_surplus_cells_and_unknown_booleans_raise(spark, tmp_path):
+    from veilwright.sources.tables import read_csv
+
+    (tmp_path / "surplus.csv").write_text('a,b\n1,"x,y"\n2\n3,4,5\n')
+    with pytest.raises(Exception, match="more than 2 cells"):
+        read_csv(spark, str(tmp_path / "surplus.csv"))
+    with pytest.raises(Exception, match="more than 2 cells"):
+        read_csv(spark, str(tmp_path / "surplus.csv"), "a long, b string").agg(F.count("b")).collect()
+    (tmp_path / "short.csv").write_text('a,b\n1,"x,y"\n2\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "short.csv")).collect()] == [(1, "x,y"), (2, None)]
+    (tmp_path / "flags.csv").write_text("a,b\n1,True\n2,\n3,yes\n")
+    with pytest.raises(Exception, match="not a boolean"):
+        read_csv(spark, str(tmp_path / "flags.csv"), "a long, b boolean").collect()
+
+
+def test_every_file_is_marked(spark, tmp_path):
+    from veilwright.operators.watermark import make_watermark
+    from veilwright.sources.watermarked import read_watermarked, watermarks, write_watermarked
+
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        write_watermarked(spark.range(100).repartition(3), str(tmp_path / "m"), make_watermark({"k": 5}))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert watermarks(spark, str(tmp_path / "m")).where("NOT is_watermarked").count() == 0
+    assert read_watermarked(spark, str(tmp_path / "m")).agg(F.sum("id")).first()[0] == 4950
+
+
+def test_header_that_starts_like_a_comment(spark, tmp_path):
+    from veilwright.sources.watermarked import read_watermarked
+
+    (tmp_path / "h.csv").write_text('# ANONYMIZATION_WATERMARK: {"anonymized": true}\n#id,b\n1,2\n3,4\n')
+    back = read_watermarked(spark, str(tmp_path / "h.csv"))
+    assert back.columns == ["#id", "b"] and back.count() == 2
+
+
+def test_a_mark_needs_only_its_flag(spark, tmp_path):
+    from veilwright.sources.watermarked import AlreadyAnonymized, refuse_marked
+
+    for name, flag in (("yes", "true"), ("no", "false")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(f'# ANONYMIZATION_WATERMARK: {{"anonymized": {flag}}}\na\n1\n')
+    with pytest.raises(AlreadyAnonymized):
+        refuse_marked(spark, str(tmp_path / "yes"))
+    refuse_marked(spark, str(tmp_path / "no"))
+
+
+def test_classification_file_in_a_run(spark, tmp_path):
+    from veilwright import anonymize_files
+
+    rows = "\n".join(f"{i},{'red' if i % 2 else 'blue'},{i * 3}" for i in range(40))
+    (tmp_path / "in.csv").write_text("id,colour,amount\n" + rows + "\n")
+    (tmp_path / "tiers.csv").write_text("Column Name,Risk Tier\nid,Tier 1\ncolour,Tier 2\ngone,Tier 3\n")
+    result = anonymize_files(
+        spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), Policy(secret="s", use_pca=False), "id",
+        classification=str(tmp_path / "tiers.csv"), with_report=False,
+    )
+    assert result.notes == {"Classification: missing": "amount", "Classification: extra": "gone"}
+
+
+def test_workers_get_the_code_wherever_the_driver_starts(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from veilwright.session import build_session\n"
+        "from veilwright.operators.ordered import profile_monotonic\n"
+        "spark = build_session('away', master='local[2]', spark__ui__enabled='false', spark__driver__host='127.0.0.1')\n"
+        "print('ratio', profile_monotonic(spark.range(50), 'id').first()['monotonic_ratio'])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "ratio 1.0" in out.stdout, out.stderr[-2000:]

@@ -105,15 +105,19 @@ def detect_watermark(lines: DataFrame) -> DataFrame:
     return lines.withColumn("watermark", whole).withColumn("is_watermarked", F.col("watermark").isNotNull())
 
 
+def says_anonymized(watermark: Column) -> Column:
+    """Whether a watermark's ``anonymized`` field is there and not empty, zero or false."""
+    flag = F.element_at(F.from_json(watermark, FIELDS), F.lit("anonymized"))
+    return F.coalesce(~flag.isin("", "false", "0", "0.0", "{}", "[]"), F.lit(False))
+
+
 def validate_watermark(df: DataFrame, column: str = "watermark") -> DataFrame:
     """Adds ``is_valid`` and ``reason``."""
     fields = F.from_json(F.col(column), FIELDS)
     reason = F.when(fields.isNull(), NOT_AN_OBJECT)
     for name in REQUIRED_FIELDS:
         reason = reason.when(~F.map_contains_key(fields, name), MISSING + name)
-    flag = F.element_at(fields, F.lit("anonymized"))
-    falsy = flag.isNull() | flag.isin("", "false", "0", "0.0", "{}", "[]")
-    reason = reason.when(falsy, NOT_ANONYMIZED).otherwise(VALID)
+    reason = reason.when(~says_anonymized(F.col(column)), NOT_ANONYMIZED).otherwise(VALID)
     return df.withColumn("reason", reason).withColumn("is_valid", F.col("reason") == VALID)
 
 

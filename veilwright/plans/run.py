@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.classify import classify_columns
+from ..operators.classify import classify_columns, validate_classification
 from ..operators.generalize import non_negative
 from ..operators.watermark import extract_dataset_info, make_watermark
 from ..sources.tables import read_csv, read_parquet, write_csv
@@ -17,11 +17,17 @@ from .report import quality_report
 def read_input(spark: SparkSession, path: str, fmt: str = "csv", force: bool = False, **options) -> DataFrame:
     """Read original data; input that is already anonymized is refused."""
     if fmt == "parquet":
+        refuse_marked(spark, path, force, lines=False)
         return read_parquet(spark, path)
     refuse_marked(spark, path, force)
     return read_watermarked(spark, path, **options) if force else read_csv(spark, path, **options)
 
 
+def write_classification(classification: DataFrame, path: str) -> None:
+    """One CSV file; a classification has a row for each column."""
+    write_csv(classification.coalesce(1), path)
+
+
 def anonymize_files(
     spark: SparkSession,
     path: str,
@@ -29,15 +35,32 @@ def anonymize_files(
     policy: Policy,
     row_key: str,
     fmt: str = "csv",
-    classification: DataFrame | None = None,
+    classification: DataFrame | str | None = None,
     with_report: bool = True,
     plain_output: str | None = None,
     force: bool = False,
+    **options,
 ) -> AnonymizedTable:
-    """Classify, anonymize, assess and write. Returns the anonymized table."""
-    df = read_input(spark, path, fmt, force)
+    """Classify, anonymize, assess and write. Returns the anonymized table.
+
+    ``classification`` is a table or the path of a CSV file as
+    ``write_classification`` leaves it. Columns on one side only are noted in the
+    result; the run goes on with the others. ``options`` go to the reader (schema,
+    na_tokens, multiline).
+    """
+    df = read_input(spark, path, fmt, force, **options)
+    if isinstance(classification, str):
+        classification = read_csv(spark, classification)
     tiers = classification if classification is not None else classify_columns(df)
+    notes = {
+        f"Classification: {r['problem']}": ", ".join(r["names"])
+        for r in validate_classification(tiers, df)
+        .groupBy("problem")
+        .agg(F.sort_array(F.collect_list("column_name")).alias("names"))
+        .collect()
+    }
     result = anonymize_table(df, tiers, policy, row_key, keep_row_key=True)
+    result.notes |= notes
     published = non_negative(result.df.drop(ROW_KEY))
     quality = {}
     if with_report:

@@ -8,8 +8,10 @@ blocks.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,21 @@ def build_session(app_name: str = "veilwright", master: str | None = None, **con
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the workers, once a session, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "veilwright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # else the code came in an archive already
+        archive = shutil.make_archive(tempfile.mkdtemp(prefix="code-") + "/" + package.name, "zip", package.parent, package.name)
+        context.addPyFile(archive)
+    context.veilwright_shipped = True
 
 
 def scratch_dir(spark: SparkSession) -> str:

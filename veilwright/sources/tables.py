@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from ..functions.columns import nan_to_null, ref
 from ..functions.text import parse_number
@@ -29,23 +29,56 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
+#: The column in which the reader leaves rows whose cells do not fit the header.
+MISFIT = "__misfit_row__"
+
+
+def text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*names, MISFIT]])
+
+
+def csv_reader(spark: SparkSession, header: bool, multiline: bool) -> DataFrameReader:
+    return spark.read.options(
+        header=header, multiLine=multiline, columnPruning=False, columnNameOfCorruptRecord=MISFIT, **CSV_OPTIONS
+    )
+
+
+def without_surplus(texts: DataFrame) -> DataFrame:
+    """The text columns; reading a row with more cells than there are columns raises.
+
+    Missing cells at the end of a row are nulls.
+    """
+    names = [c for c in texts.columns if c != MISFIT]
+    outside_quotes = F.regexp_replace(MISFIT, r'(^|,)"(?:[^"]|"")*"', "$1")
+    surplus = F.regexp_count(outside_quotes, F.lit(",")) >= len(names)
+    # Naming the first cell keeps a data column in every query: Spark reads none with the misfits alone.
+    start = F.coalesce(ref(names[0]), F.lit(""))
+    message = F.concat(F.lit(f"a row has more than {len(names)} cells, from "), start, F.lit(" on: "), F.substring(MISFIT, 1, 200))
+    # A filter, because a column that a query does not use is not computed.
+    fits = F.when(F.coalesce(surplus, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return texts.where(fits).select(*[ref(c) for c in names])
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """CSV with a header. Without ``schema``, one pass over the file finds the types.
 
-    ``multiline`` allows line breaks inside quotes, but such files cannot be split.
+    Line breaks inside quotes are part of the cell; such files cannot be split.
+    ``multiline=False`` splits large files that are known to have none. A row with
+    surplus cells and a cell that is not of its declared type raise.
     """
-    reader = spark.read.options(header=True, multiLine=multiline, **CSV_OPTIONS)
     if schema is None:
-        return typed(reader.csv(path), None, na_tokens)
-    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    return typed(reader.schema(texts).csv(path), schema, na_tokens)
+        names = spark.read.options(header=True, multiLine=multiline, **CSV_OPTIONS).csv(path).columns
+    else:
+        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        names = schema.fieldNames()
+    texts = csv_reader(spark, True, multiline).schema(text_schema(names)).csv(path)
+    return typed(without_surplus(texts), schema, na_tokens)
 
 
 def typed(texts: DataFrame, schema: T.StructType | None, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
@@ -91,7 +124,9 @@ def _convert(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.StringType):
         return text
     if isinstance(field.dataType, T.BooleanType):
-        return F.when(text.isin(list(TRUE_TOKENS)), True).when(text.isin(list(FALSE_TOKENS)), False)
+        message = F.concat(F.lit(f"not a boolean in column {field.name}: "), text)
+        known = F.when(text.isNull(), F.lit(None)).when(text.isin(list(TRUE_TOKENS)), True)
+        return known.when(text.isin(list(FALSE_TOKENS)), False).otherwise(F.raise_error(message)).cast("boolean")
     return F.trim(text).cast(field.dataType)
 
 
@@ -105,6 +140,12 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def scan_directory(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """All files of one schema in one scan, with ``dataset`` naming each row's file."""
+    """All files of one schema in one scan, with ``dataset`` naming each row's file.
+
+    The name is the path below the scanned folder, so that equal file names in
+    two folders stay apart.
+    """
     files = spark.read.options(**options).format(fmt).load(path)
-    return nan_to_null(files.select("*", F.col("_metadata.file_name").alias("dataset")))
+    folder = path.rstrip("/").rsplit("/", 1)[-1]
+    below = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?/\Q{folder}\E/", "")
+    return nan_to_null(files.select("*", below.alias("dataset")))

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import csv
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import ref
-from ..operators.watermark import PREFIX, detect_watermark, first_lines, validate_watermark, watermark_line
-from .tables import CSV_OPTIONS, NA_TOKENS, typed
+from ..operators.watermark import (
+    PREFIX,
+    detect_watermark,
+    first_lines,
+    says_anonymized,
+    validate_watermark,
+    watermark_line,
+)
+from .tables import CSV_OPTIONS, NA_TOKENS, csv_reader, text_schema, typed, without_surplus
 
 SIDECAR = "_watermark"
 
@@ -29,14 +39,35 @@ def write_watermarked(df: DataFrame, path: str, watermark: Mapping[str, Any]) ->
     lines = df.select(plain_line.alias("line"), local.alias("local")).select(
         F.explode(F.when(F.col("local") == 0, F.concat(lead, F.array("line"))).otherwise(F.array("line"))).alias("value")
     )
-    lines.write.text(path)
+    # A file cut by a limit of records would start without its mark.
+    lines.write.option("maxRecordsPerFile", 0).text(path)
     if spark.read.text(path).isEmpty():
         empty = spark.createDataFrame([(watermark_line(watermark),), (names,)], "value string")
         empty.coalesce(1).write.mode("append").text(path)
+    _write_sidecar(spark, path, watermark)
+
+
+def _write_sidecar(spark: SparkSession, path: str, watermark: Mapping[str, Any]) -> None:
     note = spark.createDataFrame([(json.dumps(watermark),)], "value string")
     note.coalesce(1).write.text(f"{path.rstrip('/')}/{SIDECAR}")
 
 
+def write_marked_parquet(df: DataFrame, path: str, watermark: Mapping[str, Any]) -> None:
+    """Parquet with the mark beside its files, where ``refuse_marked`` finds it."""
+    df.write.parquet(path)
+    _write_sidecar(df.sparkSession, path, watermark)
+
+
+def _sidecar(spark: SparkSession, path: str) -> DataFrame | None:
+    """The mark beside the files of a folder, as a table like ``watermarks``."""
+    try:
+        note = spark.read.text(f"{path.rstrip('/')}/{SIDECAR}")
+    except AnalysisException:
+        return None
+    lines = note.select(F.lit(path).alias("file"), F.concat(F.lit(PREFIX + " "), "value").alias("line"))
+    return validate_watermark(detect_watermark(lines))
+
+
 def watermarks(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, watermark, is_watermarked, reason, is_valid) per file under ``path``."""
     return validate_watermark(detect_watermark(first_lines(spark, path)))
@@ -47,38 +78,74 @@ def read_watermarked(
     path: str,
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
-    """The data rows of watermarked (or plain) CSV files.
+    """The data rows of watermarked (or plain) CSV files with a header each.
 
-    Only the watermark line and the header lines are removed. A "comment"
-    option would also lose data lines that start with "#". ``multiline`` allows
-    line breaks inside quotes, but such files cannot be split.
+    Each file loses its first line if that is a mark, and the line after as its
+    header: by place, so that data rows that look like either stay. ``multiline``
+    as in ``read_csv``.
     """
     if schema is None:
-        header = spark.read.options(header=True, comment="#", **CSV_OPTIONS).csv(path)
-        names = header.columns
+        names = _header(spark, path)
     else:
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         names = schema.fieldNames()
-    texts = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    rows = spark.read.options(header=False, multiLine=multiline, **CSV_OPTIONS).schema(texts).csv(path).select(
-        "*", F.col("_metadata.file_block_start").alias("block_start")
-    )
-    is_header = F.lit(True)
-    for c in names:
-        is_header = is_header & ref(c).eqNullSafe(F.lit(c))
-    is_mark = (F.col("block_start") == 0) & ref(names[0]).startswith(PREFIX)
-    kept = rows.where(~F.coalesce(is_mark, F.lit(False)) & ~((F.col("block_start") == 0) & is_header))
-    return typed(kept.drop("block_start"), schema, na_tokens)
+    rows = csv_reader(spark, False, multiline).schema(text_schema(names)).csv(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(START))
+    kept = placed.mapInArrow(_without_lead, placed.schema).drop(FILE, START)
+    return typed(without_surplus(kept), schema, na_tokens)
+
+
+FILE, START = "__file__", "__block_start__"
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """The column names in the first file that has a header; empty part files have none."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        head = [r["value"] for r in spark.read.text(file).head(2)]
+        head = head[1:] if head and head[0].startswith(PREFIX) else head[:1]
+        if head:
+            return next(csv.reader(head))
+    raise ValueError(f"no header in {path}")
+
+
+def _without_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop the mark and the header of each file. The rows of a file's first block come in order, in one task."""
+    current, expected = None, ""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files = batch.column(FILE).to_pylist()
+        starts = batch.column(START).to_pylist()
+        cells = batch.column(0)
+        keep = [True] * batch.num_rows
+        for i, (file, start) in enumerate(zip(files, starts)):
+            if file != current:
+                current, expected = file, "mark or header" if start == 0 else ""
+            if expected:
+                marked = expected == "mark or header" and (cells[i].as_py() or "").startswith(PREFIX)
+                keep[i] = False
+                expected = "header" if marked else ""
+        yield batch.filter(pa.array(keep))
 
 
 class AlreadyAnonymized(ValueError):
-    """The input carries a valid watermark."""
+    """The input carries a watermark."""
+
+
+def _marked(found: DataFrame) -> list:
+    return found.where(F.col("is_watermarked") & says_anonymized(F.col("watermark"))).limit(1).collect()
 
 
-def refuse_marked(spark: SparkSession, path: str, force: bool = False) -> None:
-    """Raise if any file under ``path`` is marked as anonymized, unless ``force``."""
-    marked = watermarks(spark, path).where("is_watermarked and is_valid").limit(1).collect()
+def refuse_marked(spark: SparkSession, path: str, force: bool = False, lines: bool = True) -> None:
+    """Raise if any file under ``path``, or the folder itself, is marked as anonymized, unless ``force``.
+
+    A mark counts if its ``anonymized`` field says so, whatever other fields it has.
+    """
+    beside = _sidecar(spark, path)
+    marked = _marked(beside) if beside is not None else []
+    if not marked and lines:
+        marked = _marked(watermarks(spark, path))
     if marked and not force:
         raise AlreadyAnonymized(f"{marked[0]['file']} is already anonymized: {marked[0]['watermark']}")
