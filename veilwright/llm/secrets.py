@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
 Candidates are long runs of key characters with a digit, found in whole texts by
-one pattern together with the two words before and the word behind. Each gets
+one pattern, each with the two words before and the word behind it. Each gets
 features: its length, shares of digits, capitals and hexadecimal digits, changes
 between kinds of neighbouring characters, entropy, how much of it the corpus's
 frequent words cover, what the path says, and what its neighbours are. A random
@@ -29,11 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..session import stage
 from .common import query, table
 
-KEY_CHARS = r"A-Za-z0-9+/_\-"
-#: Up to two words, then 16 key characters or more with a digit among them.
-CANDIDATE = rf"(?:[^\s\"'=:]{{1,24}}[\s\"'=:]{{1,4}}){{0,2}}?(?<![{KEY_CHARS}])(?=[{KEY_CHARS}]*[0-9])[{KEY_CHARS}]{{16,}}={{0,2}}"
-BEHIND = CANDIDATE + r"(?=[\s\"',;.]{0,3}([^\s]{0,24}))"
-LAST_RUN = rf"([{KEY_CHARS}]{{16,}}={{0,2}})$"
+#: Whole runs of 16 key characters or more.
+RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+BEFORE, BEHIND = 60, 30  # characters around a candidate that are looked at
 
 NAMES = "token|secret|password|passwd|pwd|api_?key|apikey|access|auth|credential|private"
 HARMLESS = "example|sample|dummy|test|placeholder|sha|md5|commit|uuid|checksum|order|invoice|card|phone"
@@ -72,24 +70,26 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
 
 
 def find_candidates(docs: DataFrame, key: str, path: str) -> DataFrame:
-    """key, path, candidate, before (the words before it), behind and times."""
-    found = docs.select(
+    """key, path, candidate, before (up to two words), behind (a word) and times; the context is the first one's."""
+    runs = docs.select(
         F.col(key).alias("key"),
         F.coalesce(F.col(path), F.lit("")).alias("path"),
-        F.explode(
-            F.arrays_zip(
-                F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("whole"),
-                F.regexp_extract_all("text", F.lit(BEHIND), 1).alias("behind"),
-            )
-        ).alias("hit"),
+        "text",
+        F.filter(F.regexp_extract_all("text", F.lit(RUN), 0), lambda run: run.rlike("[0-9]")).alias("runs"),
+    ).where(F.size("runs") > 0)
+    each = runs.withColumn("candidate", F.explode(F.array_distinct("runs")))
+    place = F.expr("instr(text, candidate)")
+    begin = F.greatest(place - BEFORE, F.lit(1))
+    left = F.substr("text", begin, place - begin)
+    right = F.substr("text", place + F.length("candidate"), F.lit(BEHIND))
+    return each.select(
+        "key",
+        "path",
+        "candidate",
+        F.regexp_extract(left, r"((?:[^\s\"'=:]{1,24}[\s\"'=:]{1,4}){0,2})$", 1).alias("before"),
+        F.regexp_extract(right, r"^[\s\"',;.]{0,3}([^\s]{0,24})", 1).alias("behind"),
+        F.size(F.expr("filter(runs, run -> run = candidate)")).alias("times"),
     )
-    candidate = F.regexp_extract("hit.whole", LAST_RUN, 1)
-    before = F.expr("substring(hit.whole, 1, length(hit.whole) - length(candidate))")
-    rows = found.withColumn("candidate", candidate).where("candidate <> ''")
-    rows = rows.select("key", "path", "candidate", before.alias("before"), F.col("hit.behind").alias("behind"))
-    first = F.min(F.struct("before", "behind")).alias("context")
-    grouped = rows.groupBy("key", "path", "candidate").agg(first, F.count(F.lit(1)).alias("times"))
-    return grouped.select("key", "path", "candidate", "context.before", "context.behind", "times")
 
 
 def add_features(found: DataFrame, words: list[str]) -> DataFrame:
