@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chunks import U64, Chunked, answer, answers, bits, bucket_edges, questions, replies_in_order, unpack
-from .common import SliceHash, group_equal, hashed_words, query, table, utf8, window_minima
+from .common import SliceHash, group_equal, hashed_words, mix, query, table, utf8, window_minima
 
 CHUNK_BYTES = 16_000_000
 GRAM = 8
@@ -65,12 +65,13 @@ class Block:
         length = np.diff(np.append(start, n))
         kept = self.valid[start] if n else np.empty(0, bool)
         #: Runs of windows with the same smallest hash.
-        self.run_start, self.run_length, self.run_low = start[kept], length[kept], low[start[kept]]
+        # Smallest hashes are small; mixed again, they spread evenly over the buckets.
+        self.run_start, self.run_length, self.run_low = start[kept], length[kept], mix(low[start[kept]])
         self.lows = np.unique(self.run_low)
 
     def repeated_here(self) -> np.ndarray:
         """Which of ``lows`` occur more than once in this block."""
-        grams = np.sort(self.grams)
+        grams = np.sort(mix(self.grams))
         return np.searchsorted(grams, self.lows, "right") - np.searchsorted(grams, self.lows, "left") > 1
 
     def look_up(self, repeated: np.ndarray) -> None:

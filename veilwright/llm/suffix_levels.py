@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chunks import U64, Chunked, answer, answers, bits, questions, replies_in_order, unpack
-from .common import BYTE_SYMBOLS, group_equal, query, rolling_hash, table, utf8, window_minima
+from .common import BYTE_SYMBOLS, group_equal, mix, query, rolling_hash, table, utf8, window_minima
 
 CHUNK_BYTES = 3_000_000
 PIECE = 1 << 16
@@ -146,7 +146,8 @@ class Texts:
         start = np.flatnonzero(change)
         count = np.diff(np.append(start, len(low)))
         kept = whole[start]
-        return start[kept] + at, count[kept], low[start[kept]]
+        # Smallest hashes are small; mixed again, they spread evenly over the buckets.
+        return start[kept] + at, count[kept], mix(low[start[kept]])
 
     def lows(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct smallest hashes, and which of them two documents have."""
