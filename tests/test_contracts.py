@@ -175,3 +175,33 @@ def test_workers_get_the_code_wherever_the_driver_starts(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "ratio 1.0" in out.stdout, out.stderr[-2000:]
+
+
+def test_rare_categories_of_many_columns_take_one_grouping(spark):
+    from veilwright.operators.privacy import enforce_k_categorical
+
+    rows = [(i, "hot" if i % 3 else f"v{i}", None if i % 2 else f"w{i % 40}", f"{'long' * 30}{i % 50}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    want = None
+    for memory in (10_000, 0):
+        out = enforce_k_categorical(df, ["a", "b", "c"], 9, memory)
+        got = sorted(map(tuple, out.collect()))
+        assert want is None or got == want
+        want = got
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Union") == 0 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert {r[1] for r in want} == {"hot", "Other"}
+    assert sum(r[2] is None for r in want) == 300
+    assert {r[2] for r in want} == {None, *(f"w{i}" for i in range(0, 40, 2))}  # 15 rows each
+    assert len({r[3] for r in want}) == 50  # long texts, 12 rows each
+
+
+def test_rare_values_beyond_memory(spark, monkeypatch):
+    from veilwright.operators import generalize
+
+    rows = [("hot",)] * 500 + [(None,)] * 300 + [(f"v{i % 60}",) for i in range(300)] + [("x" * 100,)]
+    df = spark.createDataFrame(rows, "a string")
+    want = sorted(map(str, (r.a for r in generalize.suppress_rare(df, "a", 0.005).collect())))
+    monkeypatch.setattr(generalize, "FREQUENT_IN_MEMORY", 1)
+    got = sorted(map(str, (r.a for r in generalize.suppress_rare(df, "a", 0.005).collect())))
+    assert got == want and got.count("None") == 300 and got.count("hot") == 500 and "SUPPRESSED" in got

@@ -36,14 +36,17 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value + F.lit(0.0))
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The column as a double for statistics: NaN and infinities become NULL, -0.0 becomes 0.0."""
+def as_number(df: DataFrame, name: str, infinite: bool = False) -> Column:
+    """The column as a double for statistics: NaN and infinities become NULL, -0.0 becomes 0.0.
+
+    ``infinite`` keeps infinities, where values are only told apart or changed.
+    """
     dtype = data_type(df, name)
     if isinstance(dtype, T.BooleanType):
         return ref(name).cast("int").cast("double")
     value = ref(name).cast("double")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        value = finite(value)
+        value = F.when(~F.isnan(value), value + F.lit(0.0)) if infinite else finite(value)
     return value
 
 

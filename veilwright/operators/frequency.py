@@ -29,7 +29,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ())
         if isinstance(dtype, INTEGRAL + (T.BooleanType,)):
             families["whole"][name] = ref(name).cast("bigint")
         elif isinstance(dtype, FRACTIONAL):
-            families["real"][name] = as_number(df, name)
+            families["real"][name] = as_number(df, name, infinite=True)
         else:
             families["text"][name] = group_token(as_text(df, name))
     return [
@@ -42,6 +42,20 @@ def value_counts(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ())
     ]
 
 
+def look_up(df: DataFrame, key: Column, known: DataFrame, apart: Column, found: str) -> DataFrame:
+    """``df`` with ``found``: whether ``key`` is in ``known`` (one column, no repeats).
+
+    One left join on a shuffled key. Rows that are ``apart`` (nulls, or values
+    that many rows hold) need no lookup; a key of their own keeps them from meeting
+    in one task.
+    """
+    listed = known.toDF("known_value")
+    own = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+    keyed = df.withColumn("look_up_key", F.when(F.coalesce(apart, F.lit(True)), own).otherwise(key))
+    joined = keyed.join(listed, F.col("look_up_key") == F.col("known_value"), "left")
+    return joined.withColumn(found, F.col("known_value").isNotNull()).drop("look_up_key", "known_value")
+
+
 def count_spectrum(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
     """(column_name, cnt, distinct_values): how many values occur ``cnt`` times."""
     parts = [

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
 from ..functions.numbers import keyed_uniform, laplace
-from ..functions.text import redact_words, spaced_words
+from ..functions.text import group_token, redact_words, spaced_words
+from .frequency import look_up
 from .ordered import check_row_key, with_position
 from .privacy import OTHER, value_ranges, with_interval_labels
+from ..session import stage
 
 SUPPRESSED = "SUPPRESSED"  # fixed value
-FREQUENT_IN_MEMORY = 10_000
+FREQUENT_IN_MEMORY = 10_000  # values of 64 bytes at most: longer ones are named by a digest
+HEAVY = 1000
 
 
 # --- noise -----------------------------------------------------------------
@@ -28,7 +31,7 @@ def laplace_column(
 ) -> Column:
     """``abs(x + Laplace(0, sensitivity / epsilon))``; nulls stay null."""
     noise = laplace(keyed_uniform(secret, name, ref(row_key)), sensitivity / epsilon)
-    return F.abs(as_number(df, name) + noise)
+    return F.abs(as_number(df, name, infinite=True) + noise)
 
 
 def laplace_noise(
@@ -117,9 +120,11 @@ def suppress_rare(df: DataFrame, name: str, min_frequency: float = 0.05) -> Data
     """Values rarer than ``min_frequency`` become 'SUPPRESSED'; nulls stay."""
     if not isinstance(data_type(df, name), T.StringType):
         return df
-    counts = df.select(ref(name).alias("kept_value")).where("kept_value is not null").groupBy("kept_value").agg(
+    token = group_token(ref(name))
+    counts = df.select(token.alias("kept_value")).where("kept_value is not null").groupBy("kept_value").agg(
         F.count(F.lit(1)).alias("cnt")
     )
+    counts = stage(counts, "counts")
     total = counts.agg(F.sum("cnt").alias("n")).first()["n"]
     if not total:
         return df
@@ -127,13 +132,17 @@ def suppress_rare(df: DataFrame, name: str, min_frequency: float = 0.05) -> Data
     # At most 1 / min_frequency values can be that frequent.
     if min_frequency > 0 and 1 / min_frequency <= FREQUENT_IN_MEMORY:
         keep = [r["kept_value"] for r in frequent.collect()]
-        stays = ref(name).isin(keep) if keep else F.lit(False)
+        stays = token.isin(keep) if keep else F.lit(False)
         return df.withColumn(
             name, F.when(ref(name).isNull() | stays, ref(name)).otherwise(F.lit(SUPPRESSED))
         )
-    joined = df.join(frequent, ref(name) == F.col("kept_value"), "left")
-    stays = ref(name).isNull() | F.col("kept_value").isNotNull()
-    return joined.withColumn(name, F.when(stays, ref(name)).otherwise(F.lit(SUPPRESSED))).drop("kept_value")
+    # Fewer than HEAVY values can hold that share of the rows each; they need no lookup.
+    heavy = [r["kept_value"] for r in counts.where(F.col("cnt") > total / HEAVY).collect()]
+    stay = {r["kept_value"] for r in frequent.where(F.col("kept_value").isin(heavy)).collect()} if heavy else set()
+    direct = ref(name).isNull() | (token.isin(heavy) if heavy else F.lit(False))
+    looked_up = look_up(df, token, frequent, direct, "kept_row")
+    stays = ref(name).isNull() | F.col("kept_row") | (token.isin(sorted(stay)) if stay else F.lit(False))
+    return looked_up.withColumn(name, F.when(stays, ref(name)).otherwise(F.lit(SUPPRESSED))).drop("kept_row")
 
 
 # --- microaggregation ------------------------------------------------------

@@ -12,11 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.columns import as_number, data_type, is_numeric, melt, ref
 from ..functions.numbers import bin_edge, fixed_point_1, right_closed_bin, right_closed_guess, tenths
 from ..functions.text import as_text, group_token
+from ..session import stage
+from .frequency import look_up
 from .ranges import ColumnRange, column_ranges
 
 OTHER = "Other"  # fixed value: the label rare values are merged under
@@ -260,41 +262,45 @@ HEAVY_SHARE = 1000
 
 
 def enforce_k_categorical(df: DataFrame, columns: Sequence[str], k: int, kept_in_memory: int = KEPT_IN_MEMORY) -> DataFrame:
-    """Values seen fewer than k times become 'Other', if there are more than 2k values."""
-    for name in columns:
-        df = _merge_rare(df, name, k, kept_in_memory)
+    """Values seen fewer than k times become 'Other', if there are more than 2k values.
+
+    All columns are counted in one grouping of the table as it comes; each column
+    then costs one lookup. Texts over 64 bytes are counted by their digest.
+    """
+    if not columns:
+        return df
+    tokens = {c: group_token(as_text(df, c)) for c in columns}
+    counts = melt(df, tokens).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = stage(counts, "categories")
+    many = F.col("cnt") >= k
+    sizes = counts.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("values"), F.count_if(many).alias("kept"), F.sum("cnt").alias("n")
+    )
+    for size in sorted(sizes.collect(), key=lambda r: columns.index(r["column_name"])):
+        name = size["column_name"]
+        if size["values"] > 2 * k and size["kept"] < size["values"]:
+            df = _merge_rare(df, name, tokens[name], counts.where(F.col("column_name") == name), size, k, kept_in_memory)
     return df
 
 
-def _merge_rare(df: DataFrame, name: str, k: int, kept_in_memory: int) -> DataFrame:
+def _merge_rare(df: DataFrame, name: str, token: Column, counts: DataFrame, size: Row, k: int, kept_in_memory: int) -> DataFrame:
     text = as_text(df, name)
-    counts = df.select(text.alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
-    size = counts.agg(
-        F.count(F.lit(1)).alias("values"), F.count_if(F.col("cnt") >= k).alias("kept"), F.sum("cnt").alias("n")
-    ).first()
-    if size["values"] <= 2 * k:
-        return df
-    if size["kept"] == size["values"]:
-        return df
+    kept = counts.where(F.col("cnt") >= k).select("value")
     if size["kept"] == 0:
         return df.withColumn(name, F.when(text.isNotNull(), F.lit(OTHER)))
-    kept = counts.where(F.col("cnt") >= k).select(F.col("value").alias("kept_value"))
-
-    def merged(rows: DataFrame, small: DataFrame) -> DataFrame:
-        found = rows.withColumn("lookup", text).join(small, F.col("lookup") == F.col("kept_value"), "left")
-        return found.withColumn(
-            name,
-            F.when(F.col("lookup").isNull() | F.col("kept_value").isNotNull(), F.col("lookup")).otherwise(F.lit(OTHER)),
-        ).drop("lookup", "kept_value")
-
-    if size["kept"] <= kept_in_memory:
-        return merged(df, F.broadcast(kept))
-    # At most HEAVY_SHARE values can hold that share of the rows each. Their rows
-    # and the nulls need no lookup, so no hot key reaches the shuffled join.
-    heavy = [r["value"] for r in counts.where(F.col("cnt") > max(k, size["n"] // HEAVY_SHARE)).collect()]
-    direct = text.isNull() | text.isin(heavy) if heavy else text.isNull()
-    looked_up = merged(df.where(~direct), kept)
-    return df.where(direct).withColumn(name, text).unionByName(looked_up)
+    if size["kept"] <= kept_in_memory:  # tokens of 64 bytes at most
+        known = F.broadcast(kept.toDF("kept_value"))
+        found = df.join(known, token == F.col("kept_value"), "left").withColumn("kept_row", F.col("kept_value").isNotNull())
+        found = found.drop("kept_value")
+        stays = F.col("kept_row")
+    else:
+        # At most HEAVY_SHARE values can hold that share of the rows each. Their rows
+        # and the nulls need no lookup, so no hot key reaches the shuffled join.
+        heavy = [r["value"] for r in counts.where(F.col("cnt") > max(k, size["n"] // HEAVY_SHARE)).collect()]
+        direct = token.isin(heavy) if heavy else F.lit(False)
+        found = look_up(df, token, kept, text.isNull() | direct, "kept_row")
+        stays = F.col("kept_row") | direct
+    return found.withColumn(name, F.when(text.isNull() | stays, text).otherwise(F.lit(OTHER))).drop("kept_row")
 
 
 def enforce_k_anonymity(df: DataFrame, quasi: Sequence[str], k: int) -> DataFrame:
