@@ -45,6 +45,7 @@ SHORTEST = 8
 BLOCK_BYTES = 2_000_000
 BATCH_CHARS = 1_000_000
 ROWS = 64  # terms in a row of a gathered matrix
+PIECE = 2048
 
 HITS = "key long, item_id long, cosine double, lcs_share double, answer_share double"
 
@@ -156,12 +157,18 @@ class Steps:
         return passage, term, (weight / np.maximum(length[passage], 1e-12)).astype("f4")
 
 
-def _sum_rows(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ascending ``group``."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(group):
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        out[group[start]] = np.add.reduceat(values, start)
+def _sum_rows(
+    rows: np.ndarray, index: np.ndarray, group: np.ndarray, n: int, weight: np.ndarray | None = None
+) -> np.ndarray:
+    """Sums of ``rows[index]``, weighted if wanted, by ascending ``group``; a piece at a time, which fits the cache."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    for at in range(0, len(index), PIECE):
+        part = rows[index[at : at + PIECE]]
+        if weight is not None:
+            part *= weight[at : at + PIECE, None]
+        own = group[at : at + PIECE]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[start]] += np.add.reduceat(part, start)
     return out
 
 
@@ -226,16 +233,16 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model:
     def spread(total: np.ndarray, texts: list[str]) -> None:
         passage, term, weight = Steps(texts, held.value).weighted(idf)
         if len(term):
-            rows = _sum_rows(random[term] * weight[:, None], passage, int(passage[-1]) + 1)
+            rows = _sum_rows(random, term, passage, int(passage[-1]) + 1, weight)
             order = np.argsort(term, kind="stable")
-            total += _sum_rows(rows[passage[order]] * weight[order][:, None], term[order], n)
+            total += _sum_rows(rows, passage[order], term[order], n, weight[order])
 
     basis = np.linalg.qr(_gather(docs, (n, width), spread))[0].astype("f4")
 
     def gram(total: np.ndarray, texts: list[str]) -> None:
         passage, term, weight = Steps(texts, held.value).weighted(idf)
         if len(term):
-            rows = _sum_rows(basis[term] * weight[:, None], passage, int(passage[-1]) + 1).astype(float)
+            rows = _sum_rows(basis, term, passage, int(passage[-1]) + 1, weight)
             total += rows.T @ rows
 
     _, turn = np.linalg.eigh(_gather(docs, (width, width), gram))
@@ -249,7 +256,7 @@ def _search(model: Model, texts: list[str]) -> Iterator[tuple[int, int | None, f
     steps = Steps(texts, model.items)
     if not steps.steps:
         return
-    sums = _sum_rows(model.project[steps.term], steps.step, steps.steps)
+    sums = _sum_rows(model.project, steps.term, steps.step, steps.steps)
     follows = np.zeros(steps.steps, bool)
     follows[:-1] = steps.step_doc[1:] == steps.step_doc[:-1]
     passages = sums.copy()
