@@ -363,21 +363,18 @@ def _(spark, sf_dir):
     return dataset_overview(table(spark, sf_dir, "lineitem"))
 
 
-LABELLED = ["doc_id", "lang", "quality", "toxic"]
-
-
 @query(
     "column_info",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) - count({c}) AS nulls "
+        f"SELECT {i} AS column_position, '{c}' AS column_name, CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' "
+        f"WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS data_type, count({c}) AS non_null, count(*) - count({c}) AS nulls "
         "FROM documents LEFT JOIN labels USING (doc_id)"
-        for c in LABELLED
+        for i, c in enumerate([*DOCUMENTS, "quality", "toxic"])
     ),
 )
 def _(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    joined = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(*LABELLED)
-    return column_info(joined).select("column_name", "non_null", "nulls")
+    """Every column of the documents with their labels."""
+    return column_info(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left"))
 
 
 @query("preview", "SELECT * FROM customer ORDER BY c_custkey LIMIT 10")

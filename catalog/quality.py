@@ -137,18 +137,22 @@ def _(spark, sf_dir):
     return rounded(q.ks_statistic(pair.original, pair.anonymized, COLUMNS))
 
 
+LINES = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
+
+
 @query(
     "ks_statistic_lineitem",
-    f"""WITH orig AS (SELECT l_extendedprice AS price, l_quantity AS quantity FROM lineitem WHERE l_returnflag = 'A'),
-    anon AS (SELECT l_extendedprice AS price, l_quantity AS quantity FROM lineitem WHERE l_returnflag <> 'A'),
-    {ks_cte(['price', 'quantity'])} SELECT column_name, {r('ks')} AS ks_statistic FROM ks""",
+    f"""WITH orig AS (SELECT {', '.join(LINES)} FROM lineitem WHERE l_returnflag = 'A'),
+    anon AS (SELECT {', '.join(LINES)} FROM lineitem WHERE l_returnflag <> 'A'),
+    {ks_cte(LINES)} SELECT column_name, {r('ks')} AS ks_statistic FROM ks""",
 )
 def _(spark, sf_dir):
-    """Two samples of one table: returned and other lines."""
+    """Two parts of one table, returned and other lines, in all numeric columns."""
     lines = table(spark, sf_dir, "lineitem")
-    values = [F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity")]
-    returned, other = (lines.where(c).select(*values) for c in ("l_returnflag = 'A'", "l_returnflag <> 'A'"))
-    return rounded(q.ks_statistic(returned, other, ["price", "quantity"]))
+    returned, other = (lines.where(c).select(*LINES) for c in ("l_returnflag = 'A'", "l_returnflag <> 'A'"))
+    return rounded(q.ks_statistic(returned, other, LINES))
 
 
 @query(
@@ -328,8 +332,8 @@ def histogram_sql(name: str, columns) -> str:
     FROM grid LEFT JOIN counted USING (column_name, bin)"""
 
 
-@query("histogram_20", histogram_sql("customer", ["c_acctbal", "c_nationkey"]))
+@query("histogram_20", histogram_sql("customer", ["c_custkey", "c_acctbal", "c_nationkey"]))
 def _(spark, sf_dir):
-    found = q.histogram_20(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
+    found = q.histogram_20(table(spark, sf_dir, "customer"), ["c_custkey", "c_acctbal", "c_nationkey"])
     density = (F.round("density", 9) + F.lit(0.0)).alias("density")
     return rounded(found.drop("density").join(found.select("column_name", "bin", density), ["column_name", "bin"]), 9)

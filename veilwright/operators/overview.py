@@ -11,7 +11,7 @@ from ..functions.text import as_text
 
 
 def _is_present(df: DataFrame, name: str) -> Column:
-    value = as_number(df, name) if is_numeric(data_type(df, name)) else ref(name)
+    value = as_number(df, name, infinite=True) if is_numeric(data_type(df, name)) else ref(name)
     return value.isNotNull()
 
 
