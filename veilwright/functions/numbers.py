@@ -53,7 +53,7 @@ def fixed_point_1(value: Column, in_tenths: Column) -> Column:
     size = F.abs(value)
     part = F.when(size < TWO_52, size - F.floor(size).cast("double")).otherwise(F.lit(0.0))
     far = F.concat(sign, _whole_text(size - part), F.lit("."), F.rint(part * 10.0).cast("int").cast("string"))
-    return F.when(size < FINE, near).otherwise(far)
+    return F.when(size < FINE, near).when(value.isNotNull(), far)
 
 
 def bin_edge(index: Column, low: float, high: float, bins: int) -> Column:
