@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
@@ -43,14 +44,36 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+NUMBERED_FILES = 20_000
+FILE_BITS = 40  # rows of a file
+
+
 def with_row_id(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written once with a number for each row, and that column's name.
+    """``df`` with a number for each row, and that column's name.
 
-    The numbers are frozen by the write, so a lost executor cannot renumber
-    rows between two reads; they tell rows apart where ids repeat or are null.
+    The numbers tell rows apart where ids repeat or are null, and stay the same
+    between two reads whatever executors are lost: in a table read from Parquet,
+    they are the row's place in its file. Other tables, and tables of very many
+    files, are written once with numbers.
     """
     name = fresh_name(df, "row_id")
-    return stage(df.withColumn(name, F.monotonically_increasing_id()), label), name
+    placed = _by_place(df, name)
+    return (stage(df.withColumn(name, F.monotonically_increasing_id()), label) if placed is None else placed), name
+
+
+def _by_place(df: DataFrame, name: str) -> DataFrame | None:
+    path, place = fresh_name(df, "path_of_row"), fresh_name(df, "place_of_row")
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:  # not read from Parquet files
+        return None
+    paths = sorted(r[0] for r in placed.select(path).distinct().limit(NUMBERED_FILES + 1).collect())
+    if not paths or len(paths) > NUMBERED_FILES:
+        return None
+    first = fresh_name(placed, "first_of_file")
+    numbers = df.sparkSession.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], f"{path} string, {first} long")
+    numbered = placed.join(F.broadcast(numbers), path)  # at most NUMBERED_FILES rows
+    return numbered.withColumn(name, F.col(first) + F.col(place)).drop(path, place, first)
 
 
 def utf8(text: str | None) -> bytes:

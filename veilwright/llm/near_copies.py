@@ -391,7 +391,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         candidates = found if candidates is None else candidates.union(found)
     candidates = stage(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ends = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct()
-    needed = stage(own.join(ends, "key", "left_semi").select("key", "text"), "texts")
+    needed = own.join(ends, "key", "left_semi").select("key", "text")
     pairs = candidates.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
     links = pairs.mapInArrow(_similar(shingle, similarity), "a long, b long")
     found = components(links)
