@@ -178,6 +178,14 @@ def test_one_of_each_group_stays(spark):
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_copies_of_equal_word_sets_are_compared(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = " ".join(words)
+    texts = [(1, " ".join(reversed(words))), (2, text), (3, text.upper().replace(" ", "  ")), (4, text + " w0")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [1, 2]
+
+
 def without_windows(rows, width):
     texts = [t.encode().split() for _, t in rows]
     times = collections.Counter(tuple(w[i : i + width]) for w in texts for i in range(len(w) - width + 1))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from .common import U64, mix, query, table, text_batches, utf8, with_row_id
+from .common import U64, hashed_words, query, rolling_hash, table, text_batches, utf8, with_row_id
 
 WIDTH = 64
 RADIUS = 2  # half of the largest distance that links
@@ -65,11 +65,6 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], U64)
 
 
-def word_set_hashes(text: bytes) -> np.ndarray:
-    """XXH64 of every distinct word of a lower-cased text."""
-    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], U64)
-
-
 def _signed(values: Sequence[int]) -> pa.Array:
     return pa.array(np.array(values, U64).view(np.int64), pa.int64())
 
@@ -323,25 +318,88 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- one document of each group -----------------------------------------------------
 
-TABLES = 4
-FORESTS = 2
 SHINGLE, SIMILARITY = 5, 0.8
-PRINTS = [f"p{i}" for i in range(TABLES)]
+ORDER_BITS = 20  # counters of shingles, which order them
+ORDER_ROW = 1 << 12  # counters in a row
+MORE_HEADS = 4  # so many times more heads of a group in each round
+SLACK = 1e-9  # of bounds, for rounding
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The distinct hashes of every run of ``size`` words of each lower-cased text, sorted."""
+    data = [utf8(t).lower() for t in texts]
+    starts, _, words = hashed_words(np.frombuffer(b"\n".join(data) + b"\n", np.uint8))
+    edges = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in data])).tolist()
+    runs = rolling_hash(words, size)
+    found = []
+    for a, b in zip(edges, edges[1:]):
+        own = runs[a : b - size + 1] if b - a >= size else rolling_hash(words[a:b], b - a) if b > a else words[:0]
+        found.append(np.unique(own))
+    return found
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _set_digests(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, "text", 4_000_000):
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in shingle_sets(texts, size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(digests, pa.binary())], ["doc_id", "key", "digest"]
+            )
+
+    return run
+
+
+def _add_counts(parts: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.int64) for c in parts["cells"].to_pylist())
+    return pa.table({"part": parts["part"].slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
 
 
-def _word_set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A digest of each text and independent fingerprints of its set of words."""
-    for batch, texts in text_batches(batches, "text", 4_000_000):
-        digests, rows = [], []
-        for data in map(utf8, texts):
-            hashes = word_set_hashes(data)
-            digests.append(xxhash.xxh3_128_digest(data))
-            rows.append([majority(mix(hashes ^ U64(i)) if i else hashes) for i in range(TABLES)])
-        columns = [_signed([r[i] for r in rows]) for i in range(TABLES)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(digests, pa.binary()), *columns],
-            ["doc_id", "key", "digest", *PRINTS],
-        )
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur, by the first ``ORDER_BITS`` bits of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for _, part in text_batches(batches, "text", 4_000_000):
+            total += np.bincount(_bucket(np.concatenate(shingle_sets(part, size))), minlength=len(total))
+        for at in range(0, len(total), ORDER_ROW):
+            own = total[at : at + ORDER_ROW]
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([at // ORDER_ROW], pa.int32()), "cells": pa.array([own.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    kind = "part int, cells binary"
+    for row in texts.select("text").mapInArrow(run, kind).groupBy("part").applyInArrow(_add_counts, kind).collect():
+        out[row["part"] * ORDER_ROW :][:ORDER_ROW] = np.frombuffer(row["cells"], np.int64)
+    return out
+
+
+def _prefixes(size: int, least: float, held):
+    """The first shingles of each text, rare ones first: two sets as similar as ``least`` share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, "text", 1_000_000):
+            firsts, n = [], []
+            for own in shingle_sets(texts, size):
+                wanted = len(own) - int(np.ceil(least * len(own) - SLACK)) + 1 if len(own) else 0
+                firsts.append(own[np.lexsort((own, held.value[_bucket(own)]))[:wanted]])
+                n.append(len(own))
+            count = np.array([len(f) for f in firsts])
+            begin = np.cumsum(count) - count
+            yield pa.RecordBatch.from_arrays(
+                [
+                    _signed(np.concatenate(firsts)),
+                    pa.array(np.repeat(batch.column("key").to_numpy(), count), pa.int64()),
+                    pa.array(np.repeat(n, count), pa.int32()),
+                    pa.array(np.arange(count.sum()) - np.repeat(begin, count), pa.int32()),
+                ],
+                ["shingle", "node", "n", "place"],
+            )
+
+    return run
 
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
@@ -363,38 +421,69 @@ def _similar(size: int, least: float):
     return run
 
 
+def similar_components(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """node and root (a node) of every text (key, text) that is connected to others over pairs as similar as ``least``.
+
+    Texts that share one of their first shingles are a group. In each round, some
+    members of each group, its heads, are compared with all others that are not
+    connected to them yet, and leave it. Rounds end when each group is connected
+    or spent, so every similar pair was compared or is connected without.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
+    members = "shingle long, node long, n int, place int"
+    firsts = stage(texts.select("key", "text").mapInArrow(_prefixes(size, least, held), members), "first-shingles")
+    shared = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    left = stage(firsts.join(shared, "shingle", "left_semi").withColumn("root", F.col("node")), "groups")
+    roots = stage(left.select("node", "root").distinct(), "roots")
+    done = None
+    heads = 1
+    while not left.isEmpty():
+        part = F.pmod(F.xxhash64("node"), F.lit(heads))
+        first = left.groupBy("shingle", part.alias("part")).agg(F.min(F.struct("node", "n", "place", "root")).alias("h"))
+        first = stage(first.select("shingle", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("node", "n", "place", "root")]), "heads")
+        both = F.col("n") + F.col("head_n")
+        shares = F.least(F.col("n") - F.col("place"), F.col("head_n") - F.col("head_place"))  # at most, if this is their first
+        able = (F.col("root") != F.col("head_root")) & (shares >= least / (1 + least) * both - SLACK)
+        able &= F.least("n", "head_n") >= least * F.greatest("n", "head_n") - SLACK
+        pairs = left.join(first, "shingle").where(able)
+        pairs = pairs.select(F.least("node", "head_node").alias("a"), F.greatest("node", "head_node").alias("b")).distinct()
+        pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.union(pairs)
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        needed = texts.join(ends, "key", "left_semi").select("key", "text")
+        compared = pairs.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
+        links = compared.mapInArrow(_similar(size, least), "a long, b long")
+        own, other = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+        links = links.join(own, "a").join(other, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        moved = components(links).toDF("root", "new_root")
+        renew = lambda rows: rows.join(moved, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        roots = stage(renew(roots).select("node", "root"), "roots")
+        spent = first.select("shingle", F.col("head_node").alias("node"))
+        left = left.join(spent, ["shingle", "node"], "left_anti").drop("root").join(roots, "node")
+        left = stage(left.select("shingle", "node", "n", "place", "root"), "groups")
+        apart = left.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        left = stage(left.join(apart, "shingle", "left_semi"), "groups")
+        heads *= MORE_HEADS
+    return roots.where("node <> root")
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without copies and near copies.
 
     Texts are near copies if the Jaccard similarity of their word shingles is
-    ``similarity`` or more. Candidates are texts with, in any of four tables,
-    fingerprints of their word sets at distance 4 or less; a changed word moves
-    such a fingerprint less than one of shingles. Links are verified on the
-    texts. Of each group the row with the smallest id stays (null ids last, then
-    in row order). Texts without words are one group.
+    ``similarity`` or more, or if such pairs connect them. All such pairs are
+    found (see ``similar_components``) and verified on the texts. Of each group
+    the row with the smallest id stays (null ids last, then in row order). Texts
+    with the same shingles are one text, and texts without words are one group.
     """
     rows, key = with_row_id(docs, "near")
     own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), "text")
-    schema = f"doc_id long, key long, digest binary, {', '.join(f'{p} long' for p in PRINTS)}"
-    prints = stage(own.mapInArrow(_word_set_prints, schema), "prints")
+    prints = stage(own.mapInArrow(_set_digests(shingle), "doc_id long, key long, digest binary"), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))
-    texts = prints.groupBy("digest").agg(F.min(order).alias("first"), *[F.min(p).alias(p) for p in PRINTS])
-    texts = stage(texts.select(F.col("first.key").alias("node"), "first", *PRINTS), "texts")
-    candidates = None
-    for p in PRINTS:
-        heads = texts.groupBy(F.col(p).alias("fingerprint")).agg(F.min("node").alias("head"))
-        equal = texts.join(heads, texts[p] == heads["fingerprint"]).where("node <> head")
-        left = heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("node_a"))
-        right = heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("node_b"))
-        near = ball_links(heads, forests=FORESTS).join(left, "a").join(right, "b")
-        found = equal.select(F.col("head").alias("a"), F.col("node").alias("b")).union(near.select("node_a", "node_b"))
-        candidates = found if candidates is None else candidates.union(found)
-    candidates = stage(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct()
-    needed = own.join(ends, "key", "left_semi").select("key", "text")
-    pairs = candidates.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
-    links = pairs.mapInArrow(_similar(shingle, similarity), "a long, b long")
-    found = components(links)
-    rooted = texts.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = prints.groupBy("digest").agg(F.min(order).alias("first"))
+    texts = stage(texts.select(F.col("first.key").alias("node"), "first"), "texts")
+    distinct = own.join(texts.select(F.col("node").alias("key")), "key", "left_semi").select("key", "text")
+    found = similar_components(distinct, shingle, similarity)
+    rooted = texts.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
     return rows.join(kept, key, "left_semi").drop(key)
