@@ -186,6 +186,32 @@ def test_copies_of_equal_word_sets_are_compared(spark):
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [1, 2]
 
 
+def test_near_copies_match_brute_force(spark):
+    draw = random.Random(8)
+    new = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    line, texts = new(30), []
+    for i in range(24):
+        base = new(draw.choice([12, 100, 300])) + line * (i % 2)
+        texts.append(base)
+        for share in (0.05, 0.1, 0.17, 0.2, 0.24, 0.27):
+            n = max(1, int(len(base) * share))
+            at = draw.randrange(len(base))
+            texts += [base + new(n), new(n) + base, base[n * 4 // 5 :], base[:at] + new(n) + base[at:]]
+            texts.append([w if draw.random() > share / 9 else f"c{at}" for w in base])
+    texts += [line + new(k) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9) for _ in range(5)] + [new(k) for k in range(8)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    draw.shuffle(rows)
+    sets = [near_copies.shingle_set(t, 5) for _, t in rows]
+    close = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if close(sets[i], sets[j])]
+    label = near_copies.forest(len(rows), *np.array(pairs).T)
+    want = {}
+    for (d, _), root in zip(rows, label.tolist()):
+        want[root] = min(d, want.get(root, d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == sorted(want.values())
+
+
 def without_windows(rows, width):
     texts = [t.encode().split() for _, t in rows]
     times = collections.Counter(tuple(w[i : i + width]) for w in texts for i in range(len(w) - width + 1))
