@@ -248,6 +248,22 @@ def test_neighbours_of_awkward_vectors(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+def test_walks_end_when_nothing_is_unvisited(spark):
+    turn = np.linspace(0, 1.6, 17)
+    unit = [np.array([np.cos(t), np.sin(t)], "<f4") for t in turn]
+    vectors = spark.createDataFrame([(i, bytearray(u.tobytes())) for i, u in enumerate(unit)], "node long, unit binary").coalesce(1)
+    graph = spark.createDataFrame([(i, i + 1, 0.9) for i in range(16)], "node long, other long, sim double").coalesce(1)
+    queries = spark.createDataFrame([(0, bytearray(unit[16].tobytes()), 0)], "query long, wanted binary, start long").coalesce(1)
+    found = neighbours.greedy_search(graph, vectors, queries, beam=3).collect()
+    assert {r.node for r in found} == {14, 15, 16}  # 16 steps away
+
+
+def test_effort_grows_with_the_vectors():
+    assert neighbours.effort(500) == (neighbours.DEGREE, neighbours.BEAM)
+    small, large = neighbours.effort(51_282), neighbours.effort(1_000_000)
+    assert neighbours.DEGREE < small[0] < large[0] and neighbours.BEAM < small[1] < large[1]
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(table).orderBy("rank").collect()]

@@ -22,6 +22,7 @@ part. Rows that repeat both id and vector are one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ DEGREE = 30
 REVERSE = 30
 TREES = 4
 BLOCK = 128
-ROUNDS = 10
 FEW = 0.01  # changed edges, as a share of all, that end the rounds
-BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 12
+BEAM, EXPAND = 160, 40
+SMALL = 10_000  # vectors; above, the degree grows with the fourth root of their number and the beam with the square root
 SALTS = 64
+CELLS = 2_000_000  # similarities that a task holds at once
 
 EDGES = "node long, other long, sim float"
 
@@ -179,10 +181,11 @@ def _compare_around(degree: int):
         worst, fresh = rows["worst"].to_numpy(), rows["fresh"].to_numpy().astype(bool)
         unit = _matrix(rows["unit"])
         start = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
-        count = np.diff(np.append(start, len(centre)))
+        size = np.diff(np.append(start, len(centre)))
         found = []
-        for at in range(0, len(start), 512):
-            s, c = start[at : at + 512], count[at : at + 512]
+        step = max(1, min(512, CELLS // int(size.max()) ** 2))
+        for at in range(0, len(start), step):
+            s, c = start[at : at + step], size[at : at + step]
             place = s[:, None] + np.minimum(np.arange(c.max()), c[:, None] - 1)
             real = np.arange(c.max()) < c[:, None]
             block = unit[place]
@@ -202,7 +205,13 @@ def _compare_around(degree: int):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def effort(n: int) -> tuple[int, int]:
+    """Degree and beam for ``n`` vectors."""
+    times = max(1.0, n / SMALL)
+    return round(DEGREE * times**0.25), round(BEAM * times**0.5)
+
+
+def neighbour_graph(vectors: DataFrame, degree: int = DEGREE) -> DataFrame:
     """node, other, sim: about the ``degree`` nearest others of each vector (node, unit)."""
     units = vectors.select("node", "unit")
     start = None
@@ -213,7 +222,7 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUN
         start = found if start is None else start.union(found)
     graph = stage(_top(start.withColumn("fresh", F.lit(1)), degree), "graph")
     total = graph.count()
-    for number in range(rounds):
+    for number in count():  # ends, as edges only get better
         worst = graph.groupBy("node").agg(
             F.when(F.count(F.lit(1)) >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst")
         )
@@ -224,8 +233,8 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUN
         back = back.withColumn("salt", F.pmod("drawn", F.lit(SALTS)))
         by_salt = Window.partitionBy("centre", "salt").orderBy(F.desc("fresh"), "drawn")
         by_centre = Window.partitionBy("centre").orderBy(F.desc("fresh"), "drawn")
-        back = back.withColumn("place", F.row_number().over(by_salt)).where(F.col("place") <= REVERSE)
-        back = back.withColumn("place", F.row_number().over(by_centre)).where(F.col("place") <= REVERSE)
+        back = back.withColumn("place", F.row_number().over(by_salt)).where(F.col("place") <= max(REVERSE, degree))
+        back = back.withColumn("place", F.row_number().over(by_centre)).where(F.col("place") <= max(REVERSE, degree))
         around = forth.union(back.select("centre", "node", "fresh"))
         around = around.groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
         rows = around.join(known, "node").select("centre", "node", "fresh", "worst", "unit")
@@ -251,7 +260,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def greedy_search(
-    graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: int = BEAM, rounds: int = SEARCH_ROUNDS
+    graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: int = BEAM, reverse: int = REVERSE
 ) -> DataFrame:
     """query, node, sim: the best ``beam`` vectors found for each query (query, wanted: its unit vector, start: a node)."""
     units = vectors.select("node", "unit")
@@ -259,8 +268,8 @@ def greedy_search(
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
     back = back.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)))
     salted = Window.partitionBy("node", "salt").orderBy(F.desc("sim"), "other")
-    back = back.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= REVERSE)
-    back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= REVERSE)
+    back = back.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= reverse)
+    back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reverse)
     links = stage(graph.select("node", "other").union(back.select("node", "other")).distinct(), "links")
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -269,7 +278,7 @@ def greedy_search(
 
     begin = scored(queries.select("query", F.col("start").alias("node")))
     found = stage(begin.withColumn("visited", F.lit(0)), "found")
-    for _ in range(rounds):
+    while True:  # ends, as each turn visits vectors for good
         by_query = Window.partitionBy("query", "visited").orderBy(F.desc("sim"), "node")
         turn = found.withColumn("turn", (F.col("visited") == 0) & (F.row_number().over(by_query) <= EXPAND))
         expanded = turn.where("turn").select("query", "node").join(links, "node")
@@ -302,13 +311,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The ``k`` nearest rows of each row whose vec_id is divisible by ``every``."""
     rows = usable(vectors)
     nodes = stage(distinct_vectors(rows, k + 1), "vectors")
-    graph = neighbour_graph(nodes)
+    degree, beam = effort(nodes.count())
+    graph = neighbour_graph(nodes, degree)
     asking = rows.where(F.col("vec_id") % every == 0).mapInArrow(_pack, "vec_id long, raw binary").distinct()
     asking = stage(asking.join(nodes, "raw").select(F.col("vec_id").alias("query_id"), "node"), "asking")
     walks = asking.select("node").distinct().join(nodes, "node").select(
         F.col("node").alias("query"), F.col("unit").alias("wanted"), F.col("node").alias("start")
     )
-    found = greedy_search(graph, nodes, walks)
+    found = greedy_search(graph, nodes, walks, beam, max(REVERSE, degree))
     raw = nodes.select("node", "raw")
     hits = (
         asking.join(raw.toDF("node", "wanted"), "node")
