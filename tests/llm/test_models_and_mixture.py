@@ -162,6 +162,27 @@ def test_secrets_are_told_from_other_strings(spark):
     assert len(out) == 151 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_every_place_and_short_values_are_candidates(spark):
+    value = "a8f3k2m9x7q1z5w4b6n0"
+    rows = [(1, f"commit {value} then x{value} and password = {value} end", "src"), (None, "the password: 'hunter-two' is", "src"), (None, "db_password=Xy7!pq_w, then API_KEY=k9$Lm2zz", "src"), (4, "the word hunter-two alone", "src")]
+    found = secrets.find_candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "source").collect()
+    got = {(r.candidate, r.before) for r in found}
+    assert {b for c, b in got if c == value} == {"commit ", "and password = "} and ("hunter-two", "password: '") in got
+    assert {c for c, _ in got} == {value, "x" + value, "hunter-two", "Xy7!pq_w", "k9$Lm2zz"}
+    assert {r.times for r in found if r.candidate == value} == {2}
+
+
+def test_a_value_that_is_assigned_later_is_a_secret(spark):
+    draw = random.Random(9)
+    code = lambda: "".join(draw.choice("abcdef0123456789") for _ in range(24))
+    rows = [(i, f"some words commit {code()} and more" if i % 2 else f"some words password = {code()} and more", "src") for i in range(100)]
+    both = code()
+    rows.append((900, f"some words commit {both} and more, some words password = {both} and more", "src"))
+    out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [(r.candidate, r.is_secret, r.label, r.times) for r in out if r.key == 900] == [(both, True, 1.0, 2)]
+    assert {r.key for r in out if r.is_secret} == {i for i in range(0, 100, 2)} | {900}
+
+
 def test_reviewed_findings_train_the_forest(spark):
     rows = [(i, f"build id {'%040x' % (i * 7**40 % 16**40)} done", "src") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

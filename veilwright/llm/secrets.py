@@ -1,11 +1,13 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long runs of key characters with a digit, found in whole texts by
-one pattern, each with the two words before and the word behind it. Each gets
+Candidates are long runs of key characters with a digit, and any values of four
+characters or more behind a credential's name and = or :, found in whole texts by
+two patterns, each place with the two words before and the word behind it. Each gets
 features: its length, shares of digits, capitals and hexadecimal digits, changes
 between kinds of neighbouring characters, entropy, how much of it the corpus's
 frequent words cover, what the path says, and what its neighbours are. A random
-forest trained on labelled findings then scores every candidate.
+forest trained on labelled findings then scores every place; a candidate has its
+largest score in the document.
 
 ``label_findings`` labels the clear cases by rule (issued key formats and values
 assigned to a credential's name against numbers and text); a bounded number of
@@ -34,6 +36,11 @@ RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 BEFORE, BEHIND = 60, 30  # characters around a candidate that are looked at
 
 NAMES = "token|secret|password|passwd|pwd|api_?key|apikey|access|auth|credential|private"
+#: What comes before a value and the value that a credential's name is given, up to a blank or quote; then the word behind.
+ASSIGNED = (
+    rf"(?i)((?:{NAMES})[A-Za-z0-9_\-]{{0,16}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)"
+    r"([^\s\"']{3,}[^\s\"',;.])(?=[\s\"',;.]{0,3}([^\s]{0,24}))"
+)
 HARMLESS = "example|sample|dummy|test|placeholder|sha|md5|commit|uuid|checksum|order|invoice|card|phone"
 TEST_PATH = "test|example|sample|fixture|mock|doc"
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9\-]{10,}$|^AIza[A-Za-z0-9_\-]{35}$"
@@ -70,25 +77,45 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
 
 
 def find_candidates(docs: DataFrame, key: str, path: str) -> DataFrame:
-    """key, path, candidate, before (up to two words), behind (a word) and times; the context is the first one's."""
-    runs = docs.select(
+    """row, key, path, candidate, before (up to two words), behind (a word) and times; a row for each different context."""
+    pattern = F.lit(ASSIGNED)
+    given = F.arrays_zip(
+        F.regexp_extract_all("text", pattern, 2).alias("candidate"),
+        F.regexp_extract_all("text", pattern, 1).alias("before"),
+        F.regexp_extract_all("text", pattern, 3).alias("behind"),
+    )
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(key).alias("key"),
         F.coalesce(F.col(path), F.lit("")).alias("path"),
         "text",
-        F.filter(F.regexp_extract_all("text", F.lit(RUN), 0), lambda run: run.rlike("[0-9]")).alias("runs"),
-    ).where(F.size("runs") > 0)
-    each = runs.withColumn("candidate", F.explode(F.array_distinct("runs")))
-    place = F.expr("instr(text, candidate)")
-    begin = F.greatest(place - BEFORE, F.lit(1))
-    left = F.substr("text", begin, place - begin)
-    right = F.substr("text", place + F.length("candidate"), F.lit(BEHIND))
+        F.regexp_extract_all("text", F.lit(RUN), 0).alias("runs"),
+        given.alias("given"),
+    )
+    rows = rows.withColumn("given", F.filter("given", lambda g: ~F.array_contains("runs", g["candidate"]) | ~g["candidate"].rlike("[0-9]")))
+    rows = rows.where(F.exists("runs", lambda run: run.rlike("[0-9]")) | (F.size("given") > 0))
+    rows = rows.withColumn("between", F.split("text", RUN, -1))  # one more than runs; all of a place's context is in five parts
+
+    def near(i: Column) -> Column:
+        part = lambda name, j: F.coalesce(F.get(F.col(name), j), F.lit(""))
+        left = F.concat(part("runs", i - 2), part("between", i - 1), part("runs", i - 1), part("between", i))
+        right = F.concat(part("between", i + 1), part("runs", i + 1))
+        return F.struct(
+            F.get(F.col("runs"), i).alias("candidate"),
+            F.regexp_extract(F.right(left, F.lit(BEFORE)), r"((?:[^\s\"'=:]{1,24}[\s\"'=:]{1,4}){0,2})$", 1).alias("before"),
+            F.regexp_extract(F.left(right, F.lit(BEHIND)), r"^[\s\"',;.]{0,3}([^\s]{0,24})", 1).alias("behind"),
+        )
+
+    numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.size("runs") - 1, F.lit(0))), lambda i: F.get(F.col("runs"), i).rlike("[0-9]"))
+    places = F.concat(F.transform(numbers, near), F.col("given"))
+    each = rows.select("row", "key", "path", places.alias("places"))
+    each = each.select("row", "key", "path", "places", F.explode(F.array_distinct("places")).alias("place"))
     return each.select(
+        "row",
         "key",
         "path",
-        "candidate",
-        F.regexp_extract(left, r"((?:[^\s\"'=:]{1,24}[\s\"'=:]{1,4}){0,2})$", 1).alias("before"),
-        F.regexp_extract(right, r"^[\s\"',;.]{0,3}([^\s]{0,24})", 1).alias("behind"),
-        F.size(F.expr("filter(runs, run -> run = candidate)")).alias("times"),
+        "place.*",
+        F.size(F.expr("filter(places, p -> p.candidate = place.candidate)")).alias("times"),
     )
 
 
@@ -156,7 +183,10 @@ def scan_secrets(
     else:
         rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
         scored = forest.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("key", "candidate", "times", "label", "score", (F.col("score") >= least).alias("is_secret"))
+    label = F.when(F.max("label") == 1.0, 1.0).when(F.count("label") == F.count(F.lit(1)), 0.0)
+    firsts = [F.first(c).alias(c) for c in ("key", "times")]
+    best = scored.groupBy("row", "candidate").agg(*firsts, label.alias("label"), F.max("score").alias("score"))
+    return best.select("key", "candidate", "times", "label", "score", (F.col("score") >= least).alias("is_secret"))
 
 
 @query("op6_secrets")
