@@ -112,6 +112,25 @@ def test_planted_items_are_found(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in found}
 
 
+def test_paraphrases_at_every_offset_are_found(spark):
+    draw = random.Random(3)
+    items = [(i, [f"i{i}x{k}" for k in range(n)]) for i, n in enumerate((64, 59, 40))]
+    rows = []
+    for item, words in items:
+        for offset in range(0, 64, 3):
+            for share in (0.66, 0.7, 0.75, 0.8):
+                changed = list(words)
+                free = len(words) - max(1, -(-len(words) // 4))  # the answer stays
+                for at in draw.sample(range(free), int((1 - share) * len(words))):
+                    changed[at] = f"c{at}"
+                host = [f"h{draw.randrange(9999)}" for _ in range(200)]
+                rows.append((len(rows), item, " ".join(host[: 64 + offset] + changed + host[64 + offset :])))
+    docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, "doc_id", bench).collect()}
+    assert found == {(d, i) for d, i, _ in rows}
+
+
 def test_clean_documents_stay(spark):
     words = [f"word{i}" for i in range(400)]
     draw = random.Random(4)

@@ -7,8 +7,10 @@
 2. A randomised SVD of the passage matrix A, without building it: the tasks add up
    A'A times a random matrix, and then the Gram matrix of A times its orthonormal
    basis. Only matrices of (benchmark words x rank) and (rank x rank) are gathered.
-3. Overlapping passages are projected and compared with the projected benchmark
-   passages by cosine; a candidate must also hold enough of the item's own mass.
+3. A candidate is a region of the text, the passage and an item's length on both
+   sides, that holds as many of the item's words as the verification asks for;
+   words that weigh nothing count as held. Of a hit, the cosine of the projected
+   passages in the region with the projected item is given.
 4. Candidates are verified on the words: the longest common subsequence with the
    item, in the text around the passage, and the same for the item's answer, its
    last sentence. A large common subsequence is a copy; a smaller one together
@@ -38,7 +40,6 @@ PASSAGE = 64
 STEP = PASSAGE // 2
 RANK, EXTRA = 128, 16
 SEED = 11
-COSINE, MASS = 0.15, 0.6
 COMMON, RARE_WORDS = 0.1, 5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
 SHORTEST = 8
@@ -46,6 +47,8 @@ BLOCK_BYTES = 2_000_000
 BATCH_CHARS = 1_000_000
 ROWS = 64  # terms in a row of a gathered matrix
 PIECE = 2048
+CELLS = 4_000_000  # pairs of region and item that are counted at once
+SLACK = 1e-9  # of a bound, for rounding
 
 HITS = "key long, item_id long, cosine double, lcs_share double, answer_share double"
 
@@ -114,6 +117,20 @@ class Items:
     def lists(self) -> list[list[int]]:
         return [w.tolist() for w in self.words]
 
+    @cached_property
+    def holders(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the items of each term start, the items, and how often they hold it."""
+        n = len(self.words)
+        own = [np.searchsorted(self.terms, w) * n + i for i, w in enumerate(self.words)]
+        pair, times = np.unique(np.concatenate(own), return_counts=True)
+        return np.searchsorted(pair // n, np.arange(len(self.terms) + 1)), pair % n, times
+
+    @cached_property
+    def needed(self) -> np.ndarray:
+        """How many words that weigh a text must hold to be a paraphrase of each item."""
+        light = [len(w) - int(self.weighs[self.number(w)].sum()) for w in self.words]
+        return np.ceil(PARAPHRASE * np.array([len(w) for w in self.words]) - SLACK) - light
+
     def number(self, words: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 for others."""
         at = np.searchsorted(self.terms, words)
@@ -251,6 +268,33 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model:
     return Model(items, project, coordinates)
 
 
+def _candidates(steps: Steps, items: Items, around: range) -> Iterator[tuple[int, int]]:
+    """(step, item) where the region of the steps ``around`` it may hold the item."""
+    n, count = len(items.terms), len(items.words)
+    start, item, times = items.holders
+    pair = np.unique(steps.step * n + steps.term)
+    step, term = pair // n, pair % n
+    found = []
+    for off in around:
+        region = step - off
+        inside = (region >= 0) & (region < steps.steps)
+        inside[inside] = steps.step_doc[region[inside]] == steps.step_doc[step[inside]]
+        found.append(region[inside] * n + term[inside])
+    pair = np.unique(np.concatenate(found))
+    region, term = pair // n, pair % n
+    rows = max(1, CELLS // count)
+    for low in range(0, steps.steps, rows):
+        high = min(low + rows, steps.steps)
+        a, b = np.searchsorted(region, [low, high])
+        own = term[a:b]
+        size = start[own + 1] - start[own]
+        at = np.arange(size.sum()) + np.repeat(start[own] - (np.cumsum(size) - size), size)
+        cell = np.repeat(region[a:b] - low, size) * count + item[at]
+        held = np.bincount(cell, weights=times[at], minlength=(high - low) * count).reshape(-1, count)
+        able, which = np.nonzero(held >= items.needed)
+        yield from zip((able + low).tolist(), which.tolist())
+
+
 def _search(model: Model, texts: list[str]) -> Iterator[tuple[int, int | None, float, float, float]]:
     """(text, item, cosine, LCS share, answer share) of every verified candidate."""
     steps = Steps(texts, model.items)
@@ -262,13 +306,12 @@ def _search(model: Model, texts: list[str]) -> Iterator[tuple[int, int | None, f
     passages = sums.copy()
     passages[:-1][follows[:-1]] += sums[1:][follows[:-1]]
     size = np.linalg.norm(model.coordinates, axis=1)
-    dots = passages @ model.coordinates.T
     length = np.linalg.norm(passages, axis=1)
-    close = (dots >= COSINE * length[:, None] * size) & (dots >= MASS * size**2) & (size > 0)
     longest = max(map(len, model.items.words))
+    around = range(-longest // STEP, -(-(PASSAGE + longest) // STEP))
     seen = set()
     last, text, present = -1, [], frozenset()
-    for at, item in zip(*(x.tolist() for x in np.nonzero(close))):
+    for at, item in _candidates(steps, model.items, around):
         doc = int(steps.step_doc[at])
         if (doc, item) in seen:
             continue
@@ -287,7 +330,10 @@ def _search(model: Model, texts: list[str]) -> Iterator[tuple[int, int | None, f
         answered = longest_common_subsequence(answer.tolist(), text) / len(answer)
         if share >= COPY or answered >= ANSWER:
             seen.add((doc, item))
-            cosine = float(dots[at, item] / max(length[at] * size[item], 1e-12))
+            near = np.arange(max(0, at + around[0]), min(steps.steps, at + around[-1] + 1))
+            near = near[steps.step_doc[near] == doc]
+            dots = passages[near] @ model.coordinates[item]
+            cosine = float((dots / np.maximum(length[near] * size[item], 1e-12)).max())
             yield doc, model.items.ids[item], cosine, share, answered
 
 
