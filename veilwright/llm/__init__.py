@@ -17,6 +17,7 @@ MODULES = (
     "mixture",
     "piece_counts",
     "token_files",
+    "exact_copies",
 )
 
 
