@@ -18,6 +18,8 @@ MODULES = (
     "piece_counts",
     "token_files",
     "exact_copies",
+    "alignment",
+    "phrases",
 )
 
 
