@@ -15,7 +15,7 @@ from veilwright.operators.batch import directory_profile
 from veilwright.operators.classify import classify_columns, validate_classification
 from veilwright.plans.report import align_by_position, quality_report
 from veilwright.plans.run import write_classification
-from veilwright.session import scratch_path
+from veilwright.session import scratch_path, stage
 from veilwright.sources import tables as src
 from veilwright.sources.watermarked import (
     AlreadyAnonymized,
@@ -137,42 +137,83 @@ def _(spark, sf_dir):
     return src.read_csv(spark, path)
 
 
+@query("scan_csv_split", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(spark, sf_dir):
+    """Files cut into ranges that start inside quoted cells, whatever task reads them."""
+    path = scratch_path(spark, "split")
+    docs = table(spark, sf_dir, "documents")
+    src.write_csv(docs, path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for key in keys:
+            spark.conf.set(key, str(max(4096, size // 50)))
+        return stage(src.read_csv(spark, path), "split")  # while the ranges are small
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+
+
+def _permuted(df: DataFrame, write) -> str:
+    """The rows of a table in three folders of files with their columns in different orders."""
+    path = scratch_path(df.sparkSession, "permuted")
+    names = df.columns
+    for i, order in enumerate((names, names[::-1], names[2:] + names[:2])):
+        write(df.where(F.pmod(F.hash(*names), F.lit(3)) == i).select(*order), f"{path}/part{i}")
+    return f"{path}/*"
+
+
+@query("scan_csv_permuted", "SELECT * FROM customer")
+def _(spark, sf_dir):
+    """Each file's own header says which column is which."""
+    path = _permuted(table(spark, sf_dir, "customer"), src.write_csv)
+    return src.read_csv(spark, path, table(spark, sf_dir, "customer").schema)
+
+
+@query("read_watermarked_permuted", "SELECT * FROM customer")
+def _(spark, sf_dir):
+    path = _permuted(table(spark, sf_dir, "customer"), lambda df, to: write_watermarked(df, to, MARK))
+    back = read_watermarked(spark, path)  # columns and types as in the first file
+    return back.select(*[F.col(n).cast(t) for n, t in table(spark, sf_dir, "customer").dtypes])
+
+
 @query(
     "scan_csv_ragged",
-    """SELECT c_custkey % 4 AS rest, count(*) AS line_count, CASE WHEN c_custkey % 4 = 3 THEN 'refused' ELSE 'read' END AS outcome,
-       CASE WHEN c_custkey % 4 < 3 THEN count(*) FILTER (c_custkey % 4 <> 1) ELSE 0 END AS names FROM customer GROUP BY c_custkey % 4""",
+    """SELECT c_custkey % 4 AS rest, CASE WHEN c_custkey % 4 = 3 THEN 'refused' ELSE 'read' END AS outcome,
+       CASE WHEN c_custkey % 4 < 3 THEN count(*) ELSE 0 END AS row_count,
+       CASE WHEN c_custkey % 4 < 3 THEN count(*) FILTER (c_custkey % 4 <> 1) ELSE 0 END AS names,
+       CASE WHEN c_custkey % 4 < 3 THEN max(length(c_name) + CASE WHEN c_custkey % 1000 < 4 THEN 1000002 ELSE 2 END) ELSE 0 END AS longest
+       FROM customer GROUP BY c_custkey % 4""",
 )
 def _(spark, sf_dir):
-    """Rows with missing cells are read with nulls; a file with surplus cells is refused."""
+    """Rows with missing cells are read with nulls, whatever the length of a cell; a file with surplus cells is refused."""
     customer = table(spark, sf_dir, "customer").withColumn("rest", F.col("c_custkey") % 4)
-    # With remainder 1 a cell is missing, with 3 there is one too many; quoted commas are no cells.
-    cells = F.when(F.col("rest") == 1, F.array(F.col("c_custkey").cast("string"))).otherwise(F.array(F.col("c_custkey").cast("string"), F.concat(F.lit('"a,'), "c_name", F.lit('"'))))
-    cells = F.when(F.col("rest") == 3, F.concat(cells, F.array(F.lit("x")))).otherwise(cells)
+    # With remainder 1 the last cell is missing, with 3 there is one too many; quoted commas and line breaks are no cells.
+    filler = F.when(F.col("c_custkey") % 1000 < 4, F.expr("repeat('a', 1000000)")).otherwise(F.lit(""))
+    note = F.concat(F.lit('",'), filler, F.lit("\n"), F.col("c_name"), F.lit('"'))
+    name = F.when(F.col("rest") != 1, F.col("c_name"))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), note, name, F.when(F.col("rest") == 3, F.lit("x")))
     found = None
     for rest in range(4):
         path = scratch_path(spark, "ragged")
         part = customer.where(F.col("rest") == rest)
-        part.select(F.concat_ws(",", cells).alias("value")).write.option("header", False).text(path)
-        rows = csv_lines(spark, path, ["c_custkey", "c_name"])
+        header = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = F.when(header, F.array(F.lit("key,note,name"), "line")).otherwise(F.array("line"))
+        part.select(line.alias("line")).select(F.explode(lines).alias("value")).write.text(path)
         try:
-            names = rows.agg(F.count("c_name")).first()[0]
+            rows = src.read_csv(spark, path, "key long, note string, name string")
+            counted = rows.agg(F.count(F.lit(1)), F.count("name"), F.max(F.length("note"))).first()
             outcome = "read"
         except Exception as error:
-            if "more than 2 cells" not in str(error):
+            if "more than 3 cells" not in str(error):
                 raise
-            names, outcome = 0, "refused"
-        one = part.agg(F.count(F.lit(1)).alias("line_count")).select(
-            F.lit(rest).cast("long").alias("rest"), "line_count", F.lit(outcome).alias("outcome"), F.lit(names).cast("long").alias("names")
-        )
+            counted, outcome = (0, 0, 0), "refused"
+        one = spark.createDataFrame([(rest, outcome, *counted)], "rest long, outcome string, row_count long, names long, longest long")
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def csv_lines(spark, path, names):
-    """Headerless lines through the reader's check of cells."""
-    return src.without_surplus(src.csv_reader(spark, False, True).schema(src.text_schema(names)).csv(path))
-
-
 @query(
     "classification_round_trip",
     """SELECT 'part' AS dataset, count(*) AS part_rows, 0 AS missing, 1 AS extra FROM part""",
@@ -266,6 +307,43 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionByName, decisions)
 
 
+#: What stands after the prefix in the files of a nation, by its key; and what is found there.
+BODIES = (
+    ('{"anonymized": true, "anonymization_timestamp": "t", "anonymization_params": {}, "version": "1.0"}', True, wm.VALID),
+    ("{'anonymized': true}", False, wm.NOT_AN_OBJECT),
+    ('{"anonymized": true} trailing', False, wm.NOT_AN_OBJECT),
+    ("[1, 2]", True, wm.NOT_AN_OBJECT),
+    ('"text"', True, wm.NOT_AN_OBJECT),
+    ("null", False, wm.NOT_AN_OBJECT),
+    ('{"anonymized": 0, "anonymization_timestamp": null, "anonymization_params": {}, "version": 1}', True, wm.NOT_ANONYMIZED),
+    ('{"anonymized": "false", "anonymization_timestamp": "t", "anonymization_params": [], "version": ""}', True, wm.VALID),
+    ('{"anonymized": [], "anonymization_timestamp": "t", "anonymization_params": [], "version": ""}', True, wm.NOT_ANONYMIZED),
+    ('{"anonymized": true, "anonymization_timestamp": "t", "anonymization_params": {}}', True, wm.MISSING + "version"),
+    ("{", False, wm.NOT_AN_OBJECT),
+)
+_BODY_CASES = " ".join(f"WHEN {i} THEN {{'marked': {marked}, 'reason': '{reason}'}}" for i, (_, marked, reason) in enumerate(BODIES))
+
+
+@query(
+    "detect_watermark_strict",
+    f"""SELECT c_nationkey, count(*) AS customers, b.marked AS is_watermarked, b.reason AS reason FROM (
+        SELECT c_nationkey, CASE c_nationkey % {len(BODIES)} {_BODY_CASES} END AS b FROM customer) GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    """Files of each nation start with some JSON or nearly JSON; only strict JSON is a mark, and only an object a good one."""
+    path = scratch_path(spark, "strict")
+    customer = table(spark, sf_dir, "customer")
+    lines = customer.select("c_nationkey", F.lit(1).alias("place"), F.to_csv(F.struct(*customer.columns)).alias("value"))
+    body = F.element_at(F.array(*[F.lit(f"{wm.PREFIX} {b}") for b, _, _ in BODIES]), F.pmod("c_nationkey", F.lit(len(BODIES))) + 1)
+    marks = customer.select("c_nationkey").distinct().select("c_nationkey", F.lit(0).alias("place"), body.alias("value"))
+    ordered = lines.unionAll(marks).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place")
+    ordered.drop("place").write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int")
+    found = watermarks(spark, path).select(nation.alias("c_nationkey"), "is_watermarked", "reason")
+    rows = spark.read.text(path).where(~F.col("value").startswith(wm.PREFIX)).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    return found.join(rows, "c_nationkey")
+
+
 def _order_marks(spark, sf_dir) -> DataFrame:
     """A watermark per order, its fields taken from the order; some are broken."""
     params = F.map_from_arrays(
@@ -404,16 +482,15 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionByName, out)
 
 
-@query("align_by_position", "SELECT s_suppkey, s_suppkey AS other FROM supplier")
+@query(
+    "align_by_position",
+    "SELECT o_orderkey, o_orderkey AS other, o_totalprice - o_totalprice AS apart FROM orders WHERE o_orderkey IS NOT NULL",
+)
 def _(spark, sf_dir):
-    """The same rows in one file and in files of unequal size, matched by their place."""
-    supplier, paths = table(spark, sf_dir, "supplier"), [scratch_path(spark, "one"), scratch_path(spark, "several")]
-    supplier.coalesce(1).sortWithinPartitions("s_suppkey").write.parquet(paths[0])
-    last = supplier.agg(F.max("s_suppkey")).first()[0]
-    for name, low, high in (("a", -1, last // 9), ("b", last // 9, last // 2), ("c", last // 2, last)):
-        part = supplier.where((F.col("s_suppkey") > low) & (F.col("s_suppkey") <= high))
-        part.coalesce(1).sortWithinPartitions("s_suppkey").write.parquet(f"{paths[1]}/{name}")
-    one = spark.read.parquet(paths[0])
-    several = spark.read.option("recursiveFileLookup", "true").parquet(paths[1])
-    left, right = align_by_position(one, several, "place")
-    return left.select("place", "s_suppkey").join(right.select("place", F.col("s_suppkey").alias("other")), "place").drop("place")
+    """The same rows in Parquet files and in CSV files of other sizes, matched by their place."""
+    orders, paths = table(spark, sf_dir, "orders"), [scratch_path(spark, "some"), scratch_path(spark, "others")]
+    for path, parts, write in ((paths[0], 3, src.write_parquet), (paths[1], 7, src.write_csv)):
+        write(orders.repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    left, right = align_by_position(spark.read.parquet(paths[0]), src.read_csv(spark, paths[1], place=True), "place")
+    other = right.select("place", F.col("o_orderkey").alias("other"), F.col("o_totalprice").alias("price"))
+    return left.join(other, "place").select("o_orderkey", "other", (F.col("o_totalprice") - F.col("price")).alias("apart"))

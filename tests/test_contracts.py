@@ -10,7 +10,7 @@ from veilwright import Policy, anonymize_table
 from veilwright.functions.numbers import fixed_point_1, tenths
 from veilwright.operators import quantiles
 from veilwright.operators.generalize import microaggregate
-from veilwright.operators.ordered import with_file_position
+from veilwright.operators.ordered import NoFileOrder, with_file_position
 from veilwright.operators.privacy import enforce_k_numeric
 from veilwright.operators.quality import Comparison
 from veilwright.plans.report import align_by_position
@@ -96,7 +96,9 @@ def test_positions_follow_the_files(spark, tmp_path):
     left, right = align_by_position(spark.read.parquet(str(tmp_path / "one")), two, "n")
     pairs = left.join(right.select("n", F.col("id").alias("other")), "n")
     assert pairs.count() == 3000 and pairs.where("id <> other").count() == 0
-    assert with_file_position(whole).where("position = id").count() == 3000
+    assert with_file_position(whole, scan_order=True).where("position = id").count() == 3000
+    with pytest.raises(NoFileOrder):
+        with_file_position(whole)
 
 
 def test_surplus_cells_and_unknown_booleans_raise(spark, tmp_path):

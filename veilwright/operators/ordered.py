@@ -63,22 +63,37 @@ def check_row_key(df: DataFrame, row_key: str) -> None:
         raise ValueError(f"row key {row_key!r}: {nulls or 0} null keys, {repeated or 0} keys shared by {rows or 0} rows")
 
 
-def with_file_position(df: DataFrame, position: str = "position") -> DataFrame:
-    """0-based row number by file path, place in the file and row, for a table read directly from files.
+#: The column in which a reader leaves the place of each row, in an order that sorts as the rows do.
+PLACE = "__place__"
 
-    How Spark packs files into tasks does not matter. Other tables are numbered
-    in the order their source delivers the rows.
+
+class NoFileOrder(ValueError):
+    """The rows of a table have no order of their own."""
+
+
+def with_file_position(df: DataFrame, position: str = "position", scan_order: bool = False) -> DataFrame:
+    """0-based row number by file path, place in the file and row.
+
+    For tables read directly from Parquet or other files, and for CSV read with
+    ``place=True``. How Spark packs files into tasks does not matter. Other tables
+    raise, or with ``scan_order`` are numbered as their source delivers the rows.
     """
-    if not df.inputFiles() or "_metadata" in df.columns:
-        return with_scan_position(df, position)
+    if PLACE in df.columns:
+        return with_position(df, [F.col(PLACE)], position).drop(PLACE)
     try:
+        if not df.inputFiles() or "_metadata" in df.columns:
+            raise NoFileOrder("the table is not read from files")
         placed = df.select(
             "*",
             F.col("_metadata.file_path").alias("file_place"),
             F.col("_metadata.file_block_start").alias("block_place"),
         )
-    except AnalysisException:  # not a direct scan
-        return with_scan_position(df, position)
+    except (AnalysisException, NoFileOrder) as error:
+        if scan_order:
+            return with_scan_position(df, position)
+        raise NoFileOrder(
+            "only tables read directly from files have an order (CSV: with place=True); scan_order=True takes the order of the scan"
+        ) from error
     placed = placed.withColumn("row_place", F.monotonically_increasing_id())
     return with_position(placed, [F.col("file_place"), F.col("block_place"), F.col("row_place")], position).drop(
         "file_place", "block_place", "row_place"

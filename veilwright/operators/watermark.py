@@ -7,11 +7,11 @@ tables of watermarks, so that a lake of files is checked in one job.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .overview import column_info
 
@@ -84,41 +84,70 @@ def watermark_json(
     )
 
 
-def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line): the first line of every file under ``path``."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
-    # Ids grow along a file within its first block, which one task reads.
-    return (
-        lines.where("start = 0")
-        .withColumn("line_id", F.monotonically_increasing_id())
-        .groupBy("file")
-        .agg(F.min_by("value", "line_id").alias("line"))
-    )
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _parsed(text: Column) -> Column:
+    """A text as VARIANT; null if it is not strict JSON.
+
+    The parser ignores what follows a value, so it gets the text as the first of two
+    elements, and the second must come out, too.
+    """
+    seal = F.sha2(text, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+
+    def first(pair: Column) -> Column:
+        return F.when(F.try_variant_get(pair, "$[1]", "string") == seal, F.try_variant_get(pair, "$[0]", "variant"))
+
+    return _let(both, first)
+
+
+def _kind(value: Column) -> Column:
+    """VOID, BOOLEAN, STRING, a number's type, ARRAY<..> or OBJECT<..>."""
+    return F.schema_of_variant(value)
 
 
 def detect_watermark(lines: DataFrame) -> DataFrame:
-    """Adds ``watermark`` (its JSON, NULL if absent or broken) and ``is_watermarked``."""
-    body = F.trim(F.substr(F.col("line"), F.lit(len(PREFIX) + 1)))
-    whole = F.when(F.col("line").startswith(PREFIX) & F.from_json(body, FIELDS).isNotNull(), body)
+    """Adds ``watermark`` (its JSON, NULL if absent or broken) and ``is_watermarked``.
+
+    Any JSON value but ``null`` is a mark; whether it is a good one, validation says.
+    """
+    body = F.trim(F.regexp_replace(F.substr(F.col("line"), F.lit(len(PREFIX) + 1)), r"^\s+|\s+$", ""))
+    is_json = F.coalesce(_kind(_parsed(body)) != "VOID", F.lit(False))
+    whole = F.when(F.col("line").startswith(PREFIX) & is_json, body)
     return lines.withColumn("watermark", whole).withColumn("is_watermarked", F.col("watermark").isNotNull())
 
 
+def _says(mark: Column) -> Column:
+    def truth(flag: Column) -> Column:
+        kind, text = _kind(flag), F.to_json(flag)
+        number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return (
+            F.when(kind == "VOID", False)
+            .when(number, F.try_variant_get(flag, "$", "double") != 0)
+            .otherwise(~text.isin("false", '""', "{}", "[]"))
+        )
+
+    return F.coalesce(_let(F.try_variant_get(mark, "$.anonymized", "variant"), truth), F.lit(False))
+
+
 def says_anonymized(watermark: Column) -> Column:
-    """Whether a watermark's ``anonymized`` field is there and not empty, zero or false."""
-    flag = F.element_at(F.from_json(watermark, FIELDS), F.lit("anonymized"))
-    return F.coalesce(~flag.isin("", "false", "0", "0.0", "{}", "[]"), F.lit(False))
+    """Whether a watermark's ``anonymized`` field is there and not empty, zero, false or null."""
+    return _let(_parsed(watermark), _says)
 
 
 def validate_watermark(df: DataFrame, column: str = "watermark") -> DataFrame:
     """Adds ``is_valid`` and ``reason``."""
-    fields = F.from_json(F.col(column), FIELDS)
-    reason = F.when(fields.isNull(), NOT_AN_OBJECT)
-    for name in REQUIRED_FIELDS:
-        reason = reason.when(~F.map_contains_key(fields, name), MISSING + name)
-    reason = reason.when(~says_anonymized(F.col(column)), NOT_ANONYMIZED).otherwise(VALID)
-    return df.withColumn("reason", reason).withColumn("is_valid", F.col("reason") == VALID)
+
+    def told(mark: Column) -> Column:
+        reason = F.when(F.coalesce(~_kind(mark).startswith("OBJECT"), F.lit(True)), NOT_AN_OBJECT)
+        for name in REQUIRED_FIELDS:
+            reason = reason.when(F.try_variant_get(mark, f"$.{name}", "variant").isNull(), MISSING + name)
+        return reason.when(~_says(mark), NOT_ANONYMIZED).otherwise(VALID)
+
+    return df.withColumn("reason", _let(_parsed(F.col(column)), told)).withColumn("is_valid", F.col("reason") == VALID)
 
 
 RUN = "anonymization_timestamp string, anonymization_params map<string,string>"

@@ -52,8 +52,8 @@ def quality_report(original: DataFrame, anonymized: DataFrame, row_key: str, **o
     return QualityReport(q.Comparison(original, anonymized, row_key, **options))
 
 
-def align_by_position(original: DataFrame, anonymized: DataFrame, row_key: str = "row_number"):
-    """Both tables with a row number in file order, for pairs without a common key."""
+def align_by_position(original: DataFrame, anonymized: DataFrame, row_key: str = "row_number", scan_order: bool = False):
+    """Both tables with a row number in file order, for pairs without a common key; see ``with_file_position``."""
     from ..operators.ordered import with_file_position
 
-    return with_file_position(original, row_key), with_file_position(anonymized, row_key)
+    return with_file_position(original, row_key, scan_order), with_file_position(anonymized, row_key, scan_order)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import nan_to_null, ref
 from ..functions.text import parse_number
+from .records import PLACE, read_records
 
 # Cell texts that mean "missing" in a CSV file.
 NA_TOKENS = (
@@ -29,56 +30,26 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-#: The column in which the reader leaves rows whose cells do not fit the header.
-MISFIT = "__misfit_row__"
-
-
-def text_schema(names: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(name, T.StringType()) for name in [*names, MISFIT]])
-
-
-def csv_reader(spark: SparkSession, header: bool, multiline: bool) -> DataFrameReader:
-    return spark.read.options(
-        header=header, multiLine=multiline, columnPruning=False, columnNameOfCorruptRecord=MISFIT, **CSV_OPTIONS
-    )
-
-
-def without_surplus(texts: DataFrame) -> DataFrame:
-    """The text columns; reading a row with more cells than there are columns raises.
-
-    Missing cells at the end of a row are nulls.
-    """
-    names = [c for c in texts.columns if c != MISFIT]
-    outside_quotes = F.regexp_replace(MISFIT, r'(^|,)"(?:[^"]|"")*"', "$1")
-    surplus = F.regexp_count(outside_quotes, F.lit(",")) >= len(names)
-    # Naming the first cell keeps a data column in every query: Spark reads none with the misfits alone.
-    start = F.coalesce(ref(names[0]), F.lit(""))
-    message = F.concat(F.lit(f"a row has more than {len(names)} cells, from "), start, F.lit(" on: "), F.substring(MISFIT, 1, 200))
-    # A filter, because a column that a query does not use is not computed.
-    fits = F.when(F.coalesce(surplus, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return texts.where(fits).select(*[ref(c) for c in names])
-
-
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
     multiline: bool = True,
+    place: bool = False,
 ) -> DataFrame:
-    """CSV with a header. Without ``schema``, one pass over the file finds the types.
-
-    Line breaks inside quotes are part of the cell; such files cannot be split.
-    ``multiline=False`` splits large files that are known to have none. A row with
-    surplus cells and a cell that is not of its declared type raise.
+    """CSV with a header in every file. Without ``schema``, one pass over the files finds the types.
+
+    Line breaks inside quotes are part of the cell; large files are read by several
+    tasks all the same (``multiline=False`` spares the pass that looks for such
+    breaks). Files may order their columns differently; files with other columns, a
+    row with surplus cells and a cell that is not of its declared type raise. Missing
+    cells at a row's end are nulls. ``place`` keeps each row's place in its file, for
+    ``align_by_position``.
     """
-    if schema is None:
-        names = spark.read.options(header=True, multiLine=multiline, **CSV_OPTIONS).csv(path).columns
-    else:
-        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        names = schema.fieldNames()
-    texts = csv_reader(spark, True, multiline).schema(text_schema(names)).csv(path)
-    return typed(without_surplus(texts), schema, na_tokens)
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = schema.fieldNames() if schema is not None else None
+    return typed(read_records(spark, path, names, "", False, multiline, place), schema, na_tokens)
 
 
 def typed(texts: DataFrame, schema: T.StructType | None, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
@@ -86,11 +57,12 @@ def typed(texts: DataFrame, schema: T.StructType | None, na_tokens: Sequence[str
 
     Inferred types are boolean, bigint, double or string: dates stay text.
     """
+    place = [PLACE] if PLACE in texts.columns else []
     present = texts.select(
-        *[F.when(~ref(c).isin(list(na_tokens)), ref(c)).alias(c) for c in texts.columns]
+        *[F.when(~ref(c).isin(list(na_tokens)), ref(c)).alias(c) for c in texts.columns if c != PLACE], *place
     )
-    schema = schema or infer_types(present)
-    return nan_to_null(present.select(*[_convert(f).alias(f.name) for f in schema.fields]))
+    schema = schema or infer_types(present.drop(PLACE))
+    return nan_to_null(present.select(*[_convert(f).alias(f.name) for f in schema.fields], *place))
 
 
 def _is_whole(text: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import csv
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -15,12 +13,12 @@ from ..functions.columns import ref
 from ..operators.watermark import (
     PREFIX,
     detect_watermark,
-    first_lines,
     says_anonymized,
     validate_watermark,
     watermark_line,
 )
-from .tables import CSV_OPTIONS, NA_TOKENS, csv_reader, text_schema, typed, without_surplus
+from .records import file_heads, read_records
+from .tables import CSV_OPTIONS, NA_TOKENS, typed
 
 SIDECAR = "_watermark"
 
@@ -69,8 +67,12 @@ def _sidecar(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def watermarks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, watermark, is_watermarked, reason, is_valid) per file under ``path``."""
-    return validate_watermark(detect_watermark(first_lines(spark, path)))
+    """(file, line, watermark, is_watermarked, reason, is_valid) per file under ``path``.
+
+    Only first lines are read, whatever the size of a file; ``line`` is null if it is no mark.
+    """
+    heads = file_heads(spark, path, PREFIX, recursive=True)
+    return validate_watermark(detect_watermark(heads.select("file", F.col("mark").alias("line"))))
 
 
 def read_watermarked(
@@ -79,55 +81,17 @@ def read_watermarked(
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
     multiline: bool = True,
+    place: bool = False,
 ) -> DataFrame:
     """The data rows of watermarked (or plain) CSV files with a header each.
 
-    Each file loses its first line if that is a mark, and the line after as its
-    header: by place, so that data rows that look like either stay. ``multiline``
-    as in ``read_csv``.
+    Each file loses its first line if that is a mark, and the record after as its
+    header: by place, so that data rows that look like either stay. All else is as in
+    ``read_csv``.
     """
-    if schema is None:
-        names = _header(spark, path)
-    else:
-        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        names = schema.fieldNames()
-    rows = csv_reader(spark, False, multiline).schema(text_schema(names)).csv(path)
-    placed = rows.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(START))
-    kept = placed.mapInArrow(_without_lead, placed.schema).drop(FILE, START)
-    return typed(without_surplus(kept), schema, na_tokens)
-
-
-FILE, START = "__file__", "__block_start__"
-
-
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """The column names in the first file that has a header; empty part files have none."""
-    for file in sorted(spark.read.text(path).inputFiles()):
-        head = [r["value"] for r in spark.read.text(file).head(2)]
-        head = head[1:] if head and head[0].startswith(PREFIX) else head[:1]
-        if head:
-            return next(csv.reader(head))
-    raise ValueError(f"no header in {path}")
-
-
-def _without_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the mark and the header of each file. The rows of a file's first block come in order, in one task."""
-    current, expected = None, ""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        files = batch.column(FILE).to_pylist()
-        starts = batch.column(START).to_pylist()
-        cells = batch.column(0)
-        keep = [True] * batch.num_rows
-        for i, (file, start) in enumerate(zip(files, starts)):
-            if file != current:
-                current, expected = file, "mark or header" if start == 0 else ""
-            if expected:
-                marked = expected == "mark or header" and (cells[i].as_py() or "").startswith(PREFIX)
-                keep[i] = False
-                expected = "header" if marked else ""
-        yield batch.filter(pa.array(keep))
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = schema.fieldNames() if schema is not None else None
+    return typed(read_records(spark, path, names, PREFIX, True, multiline, place), schema, na_tokens)
 
 
 class AlreadyAnonymized(ValueError):
