@@ -41,7 +41,7 @@ from .piece_text import SYMBOLS, Pieces, load_tokenizer, piece_ids
 
 BATCH_CHARS = 1_000_000
 CHUNK_CHARS = 16_000_000
-CACHED_SEGMENTS = 500_000
+CACHED_PIECES = 700_000
 
 DOCS, LINKS = 0, 1
 PARTS = (
@@ -99,31 +99,33 @@ def _sentence_pieces(path: str):
 
 
 class _Ids:
-    """The ids of strings, or None where the ids do not spell the string's bytes. Pieces are encoded once each."""
+    """The ids of strings as packed int32, or None where the ids do not spell the string's bytes.
+
+    ``encode`` gets several strings at once; pieces are encoded once each.
+    """
 
     def __init__(self, vocabulary: _Vocabulary, encode):
         self.vocabulary, self.encode = vocabulary, encode
-        self.known: dict[str, np.ndarray | None] = {}
+        self.known: dict[str, bytes | None] = {}
 
-    def once(self, text: str) -> np.ndarray | None:
-        ids = self.encode(text)
-        tokens = self.vocabulary.tokens
-        return np.array(ids, np.int32) if b"".join([tokens[i] for i in ids]) == utf8(text) else None
+    def spelled(self, texts: list[str]) -> list[bytes | None]:
+        token = self.vocabulary.tokens.__getitem__
+        return [
+            np.array(ids, np.int32).tobytes() if b"".join(map(token, ids)) == utf8(text) else None
+            for text, ids in zip(texts, self.encode(texts))
+        ]
 
-    def __call__(self, piece: str) -> np.ndarray | None:
-        try:
-            return self.known[piece]
-        except KeyError:
-            if len(self.known) >= CACHED_SEGMENTS:
-                self.known.clear()
-            got = self.known[piece] = self.once(piece)
-            return got
+    def of(self, pieces: list[str]) -> list[bytes | None]:
+        new = list(set(pieces).difference(self.known))
+        if len(self.known) + len(new) > CACHED_PIECES:
+            self.known.clear()
+            new = list(set(pieces))
+        self.known.update(zip(new, self.spelled(new)))
+        return list(map(self.known.__getitem__, pieces))
 
 
-def _joined(parts: list[np.ndarray | None]) -> np.ndarray | None:
-    if any(p is None for p in parts):
-        return None
-    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+def _joined(parts: list[bytes | None]) -> np.ndarray | None:
+    return None if None in parts else np.frombuffer(b"".join(parts), np.int32)
 
 
 @lru_cache(4)
@@ -132,34 +134,35 @@ def _encoders(path_a: str, path_b: str) -> tuple[_Ids, _Ids]:
     vocabulary_b, model = _sentence_pieces(path_b)
     blank = model.piece_to_id(BLANK_SIGN)
 
-    def segment_ids(segment: str) -> list[int]:
+    def segment_ids(segments: list[str]) -> list[list[int]]:
         # the model puts a blank before what it gets, but gives an empty string no token
-        return model.encode(segment[1:], num_threads=1) if len(segment) > 1 else [blank]
+        return [ids or [blank] for ids in model.encode([s[1:] for s in segments], num_threads=1)]
 
-    return _Ids(vocabulary_a, lambda piece: piece_ids(path_a, piece)), _Ids(vocabulary_b, segment_ids)
+    return _Ids(vocabulary_a, lambda pieces: [piece_ids(path_a, p) for p in pieces]), _Ids(vocabulary_b, segment_ids)
 
 
 def both_ids(path_a: str, path_b: str, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
     """The A and B ids of a blank and each text; None for texts without tokens."""
     of_a, of_b = _encoders(path_a, path_b)
     vocabulary, tokenizer = _byte_level(path_a)
-    plain = _Ids(vocabulary, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
-    whole = [" " + t for t in texts]
+    plain = _Ids(vocabulary, lambda some: [tokenizer.encode(t, add_special_tokens=False).ids for t in some])
+    whole = [" " + t if t else "" for t in texts]
     pieces = Pieces(whole)
-    ids = [of_a(p) for p in pieces.distinct]
+    ids = of_a.of(pieces.distinct)
     edges = np.searchsorted(pieces.doc, np.arange(len(texts) + 1)).tolist()
     of, hard = pieces.of.tolist(), set(pieces.hard)
-    out = []
+    segments = list(map(SEGMENT.findall, whole))
+    b_parts = of_b.of([s for own in segments for s in own])
+    out, at = [], 0
     for i, text in enumerate(texts):
+        own = b_parts[at : at + len(segments[i])]
+        at += len(segments[i])
         if not text:
             out.append(None)
             continue
-        if i in hard:
-            a = plain.once(whole[i])
-        else:
-            a = _joined([ids[k] for k in of[edges[i] : edges[i + 1]]])
-        b = _joined(list(map(of_b, SEGMENT.findall(whole[i])))) if a is not None else None
-        out.append(None if b is None else (a, b))
+        a = _joined(plain.spelled([whole[i]]) if i in hard else [ids[k] for k in of[edges[i] : edges[i + 1]]])
+        b = _joined(own)
+        out.append(None if a is None or b is None else (a, b))
     return out
 
 
