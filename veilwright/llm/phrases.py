@@ -42,7 +42,7 @@ SCALE = 2_000_000
 INSIDE = 80  # percent of a phrase's occurrences that lie in a longer one
 
 BATCH_CHARS = 2_000_000
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 16_000_000
 SIDE = 512
 DENSE = 16  # a tile is counted densely if it has at least one pair for so many cells
 FAN = 24
@@ -62,6 +62,17 @@ _MAP[9] = 32
 _MAP = bytes(_MAP)
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from -1 on in as few bytes each as the largest needs, after a byte that says how many."""
+    most = int(numbers.max()) + 1 if len(numbers) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + (numbers + 1).astype(f"<u{width}").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64) - 1
+
+
 class _Numbers(dict):
     """A number for each word, in order of appearance; 0 is the end of a piece."""
 
@@ -93,7 +104,7 @@ class _Chunk:
         n = np.bincount(sequence, minlength=len(self.numbers))[1:]
         words = [w.decode("utf-8", "surrogatepass") for w in self.numbers][1:]
         yield _batch(_PARTS, len(words), kind=WORD_ROWS, chunk=chunk, lang=lang, no=range(1, len(words) + 1), word=words, n=n)
-        yield _batch(_PARTS, 1, kind=SEQUENCES, chunk=chunk, lang=lang, sequence=[sequence.tobytes()])
+        yield _batch(_PARTS, 1, kind=SEQUENCES, chunk=chunk, lang=lang, sequence=[pack(sequence)])
 
 
 def _fields(schema: str) -> pa.Schema:
@@ -194,7 +205,7 @@ def looked_up(left: np.ndarray, right: np.ndarray, known: Triple) -> np.ndarray:
 
 def _unpacked(rows: pa.Table) -> Triple:
     def joined(name: str) -> np.ndarray:
-        return np.frombuffer(b"".join(rows[name].to_pylist()), np.int64)
+        return np.concatenate([np.empty(0, np.int64), *map(unpack, rows[name].to_pylist())])
 
     return joined("left"), joined("right"), joined("n")
 
@@ -209,14 +220,14 @@ def _bucket(left, right, buckets: int):
 
 def _step_rows(chunk: int, sequence: np.ndarray, buckets: int) -> pa.Table:
     """A sequence of ids (-1: none) and its pairs, by bucket."""
-    rows = [_batch(_STEP, 1, kind=SEQUENCES, chunk=chunk, sequence=[sequence.tobytes()])]
+    rows = [_batch(_STEP, 1, kind=SEQUENCES, chunk=chunk, sequence=[pack(sequence)])]
     both = np.flatnonzero((sequence[:-1] >= 0) & (sequence[1:] >= 0))
     left, right, n = summed(sequence[both], sequence[both + 1], np.ones(len(both)))
     bucket = _bucket(left, right, buckets)
     order = np.argsort(bucket, kind="stable")
     used, first = np.unique(bucket[order], return_index=True)
     if len(used):
-        columns = {k: [x.tobytes() for x in np.split(v[order], first[1:])] for k, v in (("left", left), ("right", right), ("n", n))}
+        columns = {k: [pack(x) for x in np.split(v[order], first[1:])] for k, v in (("left", left), ("right", right), ("n", n))}
         rows.append(_batch(_STEP, len(used), kind=PAIRS, chunk=chunk, bucket=used, **columns))
     return pa.Table.from_batches(rows)
 
@@ -225,7 +236,7 @@ def _named_words(buckets: int):
     def fn(sequences: pa.Table, words: pa.Table) -> pa.Table:
         if not sequences.num_rows:
             return _STEP.empty_table()
-        own = np.frombuffer(sequences["sequence"][0].as_py(), np.int32)
+        own = unpack(sequences["sequence"][0].as_py())
         ids = np.full(int(own.max()) + 1, -1, np.int64)
         ids[words["no"].to_numpy()] = words["id"].to_numpy()
         return _step_rows(sequences["chunk"][0].as_py(), ids[own], buckets)
@@ -237,7 +248,7 @@ def _named_pairs(buckets: int):
     def fn(sequences: pa.Table, pairs: pa.Table) -> pa.Table:
         if not sequences.num_rows:
             return _STEP.empty_table()
-        own = np.frombuffer(sequences["sequence"][0].as_py(), np.int64)
+        own = unpack(sequences["sequence"][0].as_py())
         ids = looked_up(own[:-1], own[1:], _unpacked(pairs))
         return _step_rows(sequences["chunk"][0].as_py(), ids, buckets)
 
@@ -246,7 +257,7 @@ def _named_pairs(buckets: int):
 
 def _merge(rows: pa.Table) -> pa.Table:
     left, right, n = tile_counts(*_unpacked(rows))
-    packed = {"left": [left.tobytes()], "right": [right.tobytes()], "n": [n.tobytes()]}
+    packed = {"left": [pack(left)], "right": [pack(right)], "n": [pack(n)]}
     return pa.Table.from_batches([_batch(_MERGED, 1, bucket=rows["bucket"][0].as_py(), node=rows["parent"][0].as_py(), **packed)])
 
 
@@ -264,17 +275,17 @@ def _down(rows: pa.Table, known: pa.Table) -> pa.Table:
     out = []
     ids = _unpacked(known)
     for bucket, node, left, right in zip(*(rows[c].to_pylist() for c in ("bucket", "node", "left", "right"))):
-        left, right = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
+        left, right = unpack(left), unpack(right)
         found = looked_up(left, right, ids)
         has = found >= 0
         if has.any():
-            packed = {k: [v[has].tobytes()] for k, v in (("left", left), ("right", right), ("n", found))}
+            packed = {k: [pack(v[has])] for k, v in (("left", left), ("right", right), ("n", found))}
             out.append(_batch(_MERGED, 1, bucket=bucket, node=node, **packed))
     return pa.Table.from_batches(out, _MERGED)
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    packed = {k: [rows[c].to_numpy().tobytes()] for k, c in (("left", "left"), ("right", "right"), ("n", "id"))}
+    packed = {k: [pack(rows[c].to_numpy())] for k, c in (("left", "left"), ("right", "right"), ("n", "id"))}
     return pa.Table.from_batches([_batch(_MERGED, 1, bucket=rows["bucket"][0].as_py(), node=0, **packed)])
 
 
@@ -300,7 +311,7 @@ class _Tree:
         placed = ranked.select("left", "right", "id", _bucket(F.col("left"), F.col("right"), self.buckets).alias("bucket"))
         known = placed.groupBy("bucket").applyInArrow(_pack, MERGED)
         for level in reversed(self.levels):
-            own = level.groupBy("bucket", "parent")
+            own = level.drop("n").groupBy("bucket", "parent")
             known = own.cogroup(known.groupBy("bucket", "node")).applyInArrow(_down, MERGED)
         return known
 
@@ -368,13 +379,16 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP) ->
     chunks, total = sequences.count(), words.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_WORDS))
 
-    counted = words.groupBy("lang", "word").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+    everywhere = F.sum("n").over(Window.partitionBy("lang", "word"))  # a row for each chunk at most
+    often = stage(words.withColumn("total", everywhere).where(F.col("total") >= least).drop("n"), "often")
+    counted = often.select("lang", "word", "total").distinct()
     none = F.lit(None).cast("long")
     symbols = with_position(counted, [F.col("total").desc(), F.col("lang"), F.col("word")], "id").select(
         "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "total",
         F.col("total").alias("first_n"), F.col("total").alias("last_n"), none.alias("head_n"), none.alias("tail_n"),
     )
-    names = words.join(symbols.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("chunk", "no", "id")
+    ids = symbols.select("lang", F.col("phrase").alias("word"), "id")
+    names = often.select("chunk", "no", "lang", "word").join(ids, ["lang", "word"]).select("chunk", "no", "id")
     step = sequences.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_named_words(buckets), STEP)
     levels = []
     while len(levels) < WORDS - 1:
