@@ -53,7 +53,7 @@ def same(df, want):
 def test_pieces_are_the_librarys():
     tokenizer = piece_text.load_tokenizer(BPE)
     draw = random.Random(1)
-    texts = ["".join(draw.choice("a b1'  \n\t'stmdrevl!é’ 一😀x") for _ in range(draw.randint(0, 14))) for _ in range(20_000)]
+    texts = ["".join(draw.choice("a b1'  \n\t'stmdrevl!é’ 一😀x\x00") for _ in range(draw.randint(0, 14))) for _ in range(20_000)]
     found = piece_text.Pieces(texts)
     assert not found.hard
     per = [[] for _ in texts]

@@ -40,7 +40,7 @@ def classes() -> np.ndarray:
 
 @lru_cache(1)
 def _common_symbols() -> np.ndarray:
-    return mix(np.arange(0x400))
+    return mix(np.arange(1, 0x401))  # no symbol is zero, which would vanish at the end of a piece
 
 
 def _symbols(points: np.ndarray) -> np.ndarray:
@@ -48,7 +48,7 @@ def _symbols(points: np.ndarray) -> np.ndarray:
     out = np.take(common, points, mode="clip")
     rare = np.flatnonzero(points >= len(common))
     if len(rare):
-        out[rare] = mix(points[rare])
+        out[rare] = mix(points[rare] + np.uint32(1))
     return out
 
 
