@@ -22,9 +22,10 @@ import io
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyarrow import csv as arrow_csv
+from pyarrow import csv as arrow_csv, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.ordered import PLACE
@@ -34,11 +35,12 @@ QUOTE = b'"'
 CELL_STARTS = b",\n\r"
 BOM = b"\xef\xbb\xbf"
 MOST_HEADERS = 1000  # different orders of columns in one read
-WHOLE_FILE = 1 << 50  # bytes of a range: no file is cut
-FEW_LINES = 8
+BLOCK = 1 << 14
+FEW_LINES = 1000  # of a file that only Spark opens; a header has fewer
+FILES_AT_ONCE = 100
 PLACED = T.StructType().add("file", "string").add("start", "long").add("row", "long")
 
-HEADS = "file string, file_key long, size long, mark string, header binary"
+HEADS = "file string, file_key long, size long, mark string, header binary, opened boolean"
 
 
 class Quotes:
@@ -109,52 +111,112 @@ def _lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = Fal
 # --- the first lines of files --------------------------------------------------
 
 
-def _head(mark: bytes):
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The mark and the header of the one file of a task. Returning early ends the reading."""
-        quotes, parts, found = Quotes(), [], None
-        for of, lines in _runs(batches):
-            if of["start"]:
-                return
-            for line in lines:
-                if found is None:
-                    line = line.removeprefix(BOM)
-                    found = {"file": of["file"], "file_key": of["file_key"], "size": of["size"], "mark": None, "header": None}
-                    if line.startswith(mark):
-                        found["mark"] = line.decode("utf-8", "replace")
-                        continue
-                parts.append(line + b"\n")
-                if quotes.feed(parts[-1])[1] >= 0:
-                    found["header"] = b"".join(parts)
-                    break
-            if found and found["header"] is not None:
-                break
-        if found:
-            yield pa.RecordBatch.from_pylist([found], _HEADS)
-
-    return head
+def head_of(file, mark: bytes, header: bool) -> tuple[bytes | None, bytes | None]:
+    """(mark, header record) at the start of an open file; no more of it is read than they need.
+
+    Without ``header``, what follows the mark is not read, and of a file without one
+    only as many bytes as show it.
+    """
+    data, ended = b"", False
+
+    def more() -> None:
+        nonlocal data, ended
+        block = file.read(BLOCK)
+        ended = not block
+        data += block
+
+    while not ended and len(data) < len(BOM + mark):
+        more()
+    found, data = None, data.removeprefix(BOM)
+    if mark and data.startswith(mark):
+        while not ended and b"\n" not in data:
+            more()
+        found, _, data = data.partition(b"\n")
+    if not header:
+        return found, None
+    quotes, fed = Quotes(), 0
+    while True:
+        whole = data.rfind(b"\n") + 1
+        first, _ = quotes.feed(data[fed:whole]) if whole > fed else (-1, -1)
+        if first >= 0:
+            return found, data[: fed + first]
+        fed = max(fed, whole)
+        if ended:
+            return found, data + b"\n" if data else None
+        more()
+
+
+def _open(path: str):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
+
+def _heads(mark: bytes, header: bool):
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                path = row.pop("path")
+                try:
+                    with _open(path) as file:
+                        first, record = head_of(file, mark, header)
+                    row |= {"mark": None if first is None else first.decode("utf-8", "replace"), "header": record, "opened": True}
+                except (OSError, pa.ArrowException):  # a store that only Spark reaches
+                    row |= {"mark": None, "header": None, "opened": False}
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, _HEADS)
+
+    return heads
 
 
 _HEADS = pa.schema(
-    [("file", pa.string()), ("file_key", pa.int64()), ("size", pa.int64()), ("mark", pa.string()), ("header", pa.binary())]
-)
+    [
+        ("file", pa.string()), ("file_key", pa.int64()), ("size", pa.int64()), ("mark", pa.string()), ("header", pa.binary()),
+        ("opened", pa.bool_()),
+    ]
+)
+
 
+def _limited_head(spark: SparkSession, files: Sequence[str], mark: bytes) -> DataFrame:
+    """The first lines of files by Spark's own reader, which stops at a limit."""
+    parts = []
+    for file in files:
+        parts.append(_lines(spark, file).limit(FEW_LINES))
+    lines = reduce(DataFrame.unionAll, parts)
 
-def file_heads(spark: SparkSession, path: str | Sequence[str], mark: str, recursive: bool = False) -> DataFrame:
-    """file, file_key, size, mark (the first line if it starts with ``mark``) and header of every file with a line.
+    def heads(rows: pa.Table) -> pa.Table:
+        first = rows.slice(0, 1).to_pylist()[0]
+        found, record = head_of(io.BytesIO(b"\n".join(rows["value"].to_pylist()) + b"\n"), mark, True)
+        row = {k: first[k] for k in ("file", "file_key", "size")}
+        row |= {"mark": None if found is None else found.decode("utf-8", "replace"), "header": record, "opened": True}
+        return pa.Table.from_pylist([row], _HEADS)
 
-    A task for each file stops after the header, so a file costs the same whatever its size.
+    return lines.groupBy("file").applyInArrow(heads, HEADS)
+
+
+def file_heads(
+    spark: SparkSession, path: str | Sequence[str], mark: str, header: bool = True, recursive: bool = False
+) -> DataFrame:
+    """file, file_key, size, mark (the first line if it starts with ``mark``) and header of every file that is not empty.
+
+    Tasks open the listed files and read up to the end of the header, so a file costs
+    the same whatever its size. Files in stores that only Spark reaches are read by
+    Spark up to a few lines, ``FILES_AT_ONCE`` in a job.
     """
-    reading = spark.newSession()  # with settings of its own; the user's session keeps its ranges
-    for key, value in (
-        ("spark.sql.files.maxPartitionBytes", WHOLE_FILE),
-        ("spark.sql.files.openCostInBytes", WHOLE_FILE),
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", FEW_LINES),
-    ):
-        reading.conf.set(key, str(value))
-    where = scratch_path(spark, "heads")
-    _lines(reading, path, recursive).mapInArrow(_head(mark.encode()), HEADS).write.parquet(where)
-    return spark.read.schema(HEADS).parquet(where)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    where = F.col("_metadata.file_path")
+    files = listed.select("path", where.alias("file"), F.xxhash64(where).alias("file_key"), F.col("length").alias("size"))
+    heads = stage(files.where("size > 0").mapInArrow(_heads(mark.encode(), header), HEADS), "heads")
+    closed = [r[0] for r in heads.where("NOT opened").select("file").orderBy("file").toLocalIterator()]
+    if closed:
+        parts = [
+            stage(_limited_head(spark, closed[i : i + FILES_AT_ONCE], mark.encode()), "heads")
+            for i in range(0, len(closed), FILES_AT_ONCE)
+        ]
+        heads = reduce(DataFrame.unionAll, parts, heads.where("opened"))
+    return heads
 
 
 # --- headers -------------------------------------------------------------------
@@ -434,7 +496,7 @@ def read_records(
     sorts as the rows do by file path and place in the file. ``multiline=False``
     spares the pass over large files that finds quoted line breaks.
     """
-    heads = file_heads(spark, path, mark if skip_mark else "\n")
+    heads = file_heads(spark, path, mark if skip_mark else "")
     headers = Headers.of(heads, names, path)
     lines = _lines(spark, path)
     if not place:

@@ -71,7 +71,7 @@ def watermarks(spark: SparkSession, path: str) -> DataFrame:
 
     Only first lines are read, whatever the size of a file; ``line`` is null if it is no mark.
     """
-    heads = file_heads(spark, path, PREFIX, recursive=True)
+    heads = file_heads(spark, path, PREFIX, header=False, recursive=True)
     return validate_watermark(detect_watermark(heads.select("file", F.col("mark").alias("line"))))
 
 
