@@ -207,3 +207,44 @@ def test_rare_values_beyond_memory(spark, monkeypatch):
     monkeypatch.setattr(generalize, "FREQUENT_IN_MEMORY", 1)
     got = sorted(map(str, (r.a for r in generalize.suppress_rare(df, "a", 0.005).collect())))
     assert got == want and got.count("None") == 300 and got.count("hot") == 500 and "SUPPRESSED" in got
+
+
+def test_spread_join_equals_a_plain_one(spark):
+    """Hot keys, null keys and keys without a partner; a task gets no more than a split of a hot key."""
+    from veilwright.operators.spread import spread_join
+
+    left = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise((F.col("id") % 700).cast("string")).alias("k"),
+        "id",
+    )
+    weights = left.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    right = weights.where("k IS NULL OR k <> '5'").select("k", (F.col("rows") * 2).alias("x"))
+    for how in ("inner", "left"):
+        got = spread_join(left, right, ["k"], weights, 6000, how, heavy=100)
+        want = left.alias("l").join(right.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), how).select("l.k", "id", "x")
+        assert sorted(map(tuple, got.select("k", "id", "x").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_t_closeness_with_a_hot_class(spark, monkeypatch):
+    """A class with a third of the rows, an attribute of unique values and one of two values, rows without a class."""
+    from veilwright.operators import privacy, spread
+
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.col("id") % 97).cast("int").alias("g"),
+        F.concat(F.lit("v"), "id").alias("own"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("two"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    plain = {(r["g"], r["attribute"]): r["distance"] for r in privacy.group_distance(df, ["g"], ["own", "two", "none"]).collect()}
+    monkeypatch.setattr(privacy, "spread_join", lambda *a, **k: spread.spread_join(*a, **k, heavy=50))
+    hot = {(r["g"], r["attribute"]): r["distance"] for r in privacy.group_distance(df, ["g"], ["own", "two", "none"]).collect()}
+    assert hot.keys() == plain.keys() and all(abs(hot[k] - plain[k]) < 1e-12 for k in hot)
+    rows = [r.asDict() for r in df.collect()]
+    for attribute in ("own", "two"):
+        seen = [r[attribute] for r in rows if r[attribute] is not None]
+        share = {v: seen.count(v) / len(seen) for v in set(seen)} if attribute == "two" else dict.fromkeys(seen, 1 / len(seen))
+        mine = [r[attribute] for r in rows if r["g"] == 0 and r[attribute] is not None]
+        held = {v: mine.count(v) / len(mine) for v in set(mine)}
+        want = sum(abs(held.get(v, 0) - p) for v, p in share.items()) / 2
+        assert abs(plain[0, attribute] - want) < 1e-9
+    assert not any(k[1] == "none" or k[0] is None for k in plain)

@@ -20,6 +20,7 @@ from ..functions.text import as_text, group_token
 from ..session import stage
 from .frequency import look_up
 from .ranges import ColumnRange, column_ranges
+from .spread import spread_join
 
 OTHER = "Other"  # fixed value: the label rare values are merged under
 
@@ -105,45 +106,39 @@ def group_distance(df: DataFrame, quasi: Sequence[str], sensitive: Sequence[str]
     Only values present in a class are visited: absent ones contribute their
     overall share, and all shares sum to 1, so
     distance = (1 + sum over present v of (|p_class - p| - p)) / 2.
+
+    The table is read once, into counts per (class, attribute, value), from which
+    class totals and overall shares are added up. A class with many values, and a
+    value in many classes, are spread over tasks when they look for theirs.
     """
     keys = _keys(quasi)
-    counts = sensitive_counts(df, quasi, sensitive, null_as_group)
-    sizes = counts.groupBy(*keys, "attribute").agg(
-        F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("class_total")
+    # With all classes, since rows that are in none count for the overall shares.
+    every = stage(sensitive_counts(df, quasi, sensitive, null_as_group=True), "counts")
+    counts = every if null_as_group else every.dropna(subset=keys)
+    rows = every.count()
+    values = every.where(F.col("value").isNotNull()).groupBy("attribute", "value").agg(
+        F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("rows")
+    )
+    sums = values.groupBy("attribute").agg(F.sum("total").alias("all_rows"))  # one row per attribute
+    shares = values.join(F.broadcast(sums), "attribute").select(
+        "attribute", "value", (F.col("total") / F.col("all_rows")).alias("share")
+    )
+    classes = counts.groupBy(*keys, "attribute").agg(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("class_total"), F.count(F.lit(1)).alias("rows")
     )
-    overall = _overall(df, sensitive)
-    classes = sizes.withColumnsRenamed({k: f"right_{k}" for k in keys}).withColumnRenamed("attribute", "right_attribute")
-    same_class = F.col("attribute") == F.col("right_attribute")
-    for k in keys:
-        same_class = same_class & F.col(k).eqNullSafe(F.col(f"right_{k}"))
+    of_class = spread_join(counts, classes.drop("rows"), [*keys, "attribute"], classes, rows)
+    told = spread_join(of_class, shares, ["attribute", "value"], values, rows, "left")
     here = F.col("cnt") / F.col("class_total")
     term = F.abs(here - F.col("share")) - F.col("share")
     return _named(
-        counts.join(classes, same_class)
-        .join(overall, ["attribute", "value"], "left")
-        .groupBy(*keys, "attribute")
-        .agg(F.sum(F.coalesce(term, F.lit(0.0))).alias("change"), F.max("class_total").alias("class_total"))
-        .join(_present(overall), "attribute")
+        told.groupBy(*keys, "attribute")
+        .agg(F.sum(F.coalesce(term, F.lit(0.0))).alias("change"))
+        .join(F.broadcast(sums.select("attribute")), "attribute")  # for attributes without values no distance is defined
         .select(*keys, "attribute", ((F.lit(1.0) + F.col("change")) / 2).alias("distance")),
         quasi,
     )
 
 
-def _overall(df: DataFrame, sensitive: Sequence[str]) -> DataFrame:
-    """(attribute, value, share) over the whole table, nulls excluded."""
-    long = melt(df, {s: group_token(as_text(df, s)) for s in sensitive}, variable="attribute")
-    counts = long.where(F.col("value").isNotNull()).groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("total"))
-    sums = counts.groupBy("attribute").agg(F.sum("total").alias("all_rows"))
-    return counts.join(F.broadcast(sums), "attribute").select(  # one row per attribute
-        "attribute", "value", (F.col("total") / F.col("all_rows")).alias("share")
-    )
-
-
-def _present(overall: DataFrame) -> DataFrame:
-    """Attributes with any value; for the others no distance is defined."""
-    return F.broadcast(overall.groupBy("attribute").agg(F.count(F.lit(1)).alias("values_seen")).drop("values_seen"))
-
-
 def t_closeness(df: DataFrame, quasi: Sequence[str], sensitive: Sequence[str], t: float, null_as_group: bool = False) -> DataFrame:
     """(satisfied, max_distance) over classes and attributes."""
     if not quasi or not sensitive:
