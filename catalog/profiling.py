@@ -9,7 +9,7 @@ from veilwright.functions import text as tx
 from veilwright.functions.columns import melt, numeric_columns
 from veilwright.operators import classify as cl
 from veilwright.operators.association import profile_association
-from veilwright.operators.batch import batch_profile
+from veilwright.operators.batch import batch_classify, batch_profile, directory_profile
 from veilwright.operators.compression import profile_compression
 from veilwright.operators.frequency import profile_frequency
 from veilwright.operators.ordered import profile_monotonic
@@ -17,6 +17,8 @@ from veilwright.operators.overview import column_info, dataset_overview, preview
 from veilwright.operators.quality import fill_median
 from veilwright.operators.shape import profile_shape
 from veilwright.operators.strings import profile_strings, string_features
+from veilwright.session import scratch_path
+from veilwright.sources.tables import scan_directory
 
 from .registry import long_sql, query, r, rounded, table
 
@@ -297,6 +299,7 @@ def score_cte(name: str, columns: list[str], numeric: list[str]) -> str:
         ELSE 'Tier 3 (Low Risk)' END AS tier FROM five),
     decided AS (
       SELECT column_name, any_value(s1) AS s1, any_value(s2) AS s2, any_value(s3) AS s3,
+             CASE WHEN min(s4) = max(s4) THEN min(s4) END AS s4, CASE WHEN min(s5) = max(s5) THEN min(s5) END AS s5,
              CASE WHEN min(tier) = max(tier) THEN min(tier) ELSE 'depends on gzip' END AS risk_tier
       FROM tiers GROUP BY column_name)"""
 
@@ -305,15 +308,25 @@ def score_cte(name: str, columns: list[str], numeric: list[str]) -> str:
     "classify_columns",
     f"WITH {score_cte('customer', CUSTOMER, ['c_custkey', 'c_nationkey', 'c_acctbal'])} "
     f"SELECT column_name, risk_tier, {r('s1')} AS identifier_score, {r('s2')} AS high_risk_sensitive_score, "
-    f"{r('s3')} AS low_risk_sensitive_score FROM decided",
+    f"{r('s3')} AS low_risk_sensitive_score, {r('s4')} AS quasi_identifier_score, {r('s5')} AS non_identifying_score FROM decided",
 )
 def _(spark, sf_dir):
+    """Scores that gzip enters, those of a column with a pattern, are left out on both sides."""
     scores = cl.column_scores(table(spark, sf_dir, "customer"))
-    return rounded(
-        scores.select(
-            "column_name", "risk_tier", "identifier_score", "high_risk_sensitive_score", "low_risk_sensitive_score"
-        )
-    )
+    packed = {"quasi_identifier_score", "non_identifying_score"}
+    shown = [F.when(F.col("pattern_ratio") == 0, F.col(c)).alias(c) if c in packed else c for c in cl.SCORES]
+    return rounded(scores.select("column_name", "risk_tier", *shown))
+
+
+@query(
+    "classify_supplier",
+    f"WITH {score_cte('supplier', SUPPLIER, ['s_suppkey', 's_nationkey', 's_acctbal'])} "
+    f"SELECT column_name, risk_tier, {r('s1')} AS identifier_score, {r('s2')} AS high_risk_sensitive_score, "
+    f"{r('s3')} AS low_risk_sensitive_score, {r('s4')} AS quasi_identifier_score, {r('s5')} AS non_identifying_score FROM decided",
+)
+def _(spark, sf_dir):
+    """No column of this table has a pattern, so all five scores are exact."""
+    return rounded(cl.column_scores(table(spark, sf_dir, "supplier")).select("column_name", "risk_tier", *cl.SCORES))
 
 
 @query(
@@ -397,4 +410,75 @@ BATCH_LONG = (
 )
 def _(spark, sf_dir):
     names = ("customer", "supplier")
-    return rounded(batch_profile({n: table(spark, sf_dir, n) for n in names}))
+    profile = batch_profile({n: table(spark, sf_dir, n) for n in names})
+    return rounded(profile.drop("skewness", "kurtosis", "outlier_ratio", "association", "compression_ratio"))
+
+
+SEGMENT_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
+SEGMENT_NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+def directory_sql() -> str:
+    """Every family of features by segment."""
+    long = long_sql("customer", SEGMENT_COLUMNS, ids="c_mktsegment AS dataset")
+    numbers = long_sql("customer", SEGMENT_NUMERIC, "DOUBLE", ids="c_mktsegment AS dataset")
+    keys = "dataset, column_name"
+    pairs = " UNION ALL ".join(
+        f"SELECT c_mktsegment AS dataset, '{a}' AS column_name, abs(corr({a}::DOUBLE, {b}::DOUBLE)) AS r FROM customer GROUP BY ALL"
+        for a in SEGMENT_NUMERIC
+        for b in SEGMENT_NUMERIC
+        if a != b
+    )
+    return f"""
+    WITH {frequency_cte(long, keys)}, {string_cte(long, keys)}, numbers AS ({numbers}),
+    stats AS (SELECT {keys}, avg(v) AS m, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM numbers GROUP BY {keys}),
+    central AS (SELECT {keys}, avg((v - m) ** 2) AS m2, avg((v - m) ** 3) AS m3, avg((v - m) ** 4) AS m4,
+                  avg(CASE WHEN v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) THEN 1.0 ELSE 0.0 END) AS o
+                FROM numbers JOIN stats USING ({keys}) GROUP BY {keys}),
+    linear AS (SELECT {keys}, avg(r) AS score FROM ({pairs}) WHERE NOT isnan(r) GROUP BY {keys})
+    SELECT dataset, column_name, non_null, distinct_count, {FREQUENCY_OUT}, {STRING_OUT},
+      {r('coalesce(CASE WHEN m2 > 0 THEN m3 / m2 ** 1.5 ELSE 0 END, 0)')} AS skewness,
+      {r('coalesce(CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END, 0)')} AS kurtosis, {r('coalesce(o, 0)')} AS outlier_ratio,
+      {r("CASE WHEN non_null < 2 THEN 0 WHEN column_name = 'c_name' THEN frequency_spread ELSE coalesce(score, 0) END")} AS association
+    FROM freq JOIN strings USING ({keys}) LEFT JOIN central USING ({keys}) LEFT JOIN linear USING ({keys})"""
+
+
+def _segments(spark, sf_dir):
+    """A folder with a file or more for each segment, in one scan."""
+    path = scratch_path(spark, "folder")
+    table(spark, sf_dir, "customer").repartition("c_mktsegment").write.partitionBy("c_mktsegment").parquet(path)
+    files = scan_directory(spark, path)
+    return files.withColumn("dataset", F.regexp_extract("dataset", "c_mktsegment=([^/]*)/", 1)).drop("c_mktsegment")
+
+
+@query("scan_directory", directory_sql())
+def _(spark, sf_dir):
+    """All features of every dataset of a folder."""
+    return rounded(directory_profile(_segments(spark, sf_dir)).drop("compression_ratio"))
+
+
+@query("scan_directory_refined", directory_sql())
+def _(spark, sf_dir):
+    """The quantile search for datasets too large for one task."""
+    return rounded(directory_profile(_segments(spark, sf_dir), small_rows=0).drop("compression_ratio"))
+
+
+CLASSIFIED = {
+    "customer": (CUSTOMER, ["c_custkey", "c_nationkey", "c_acctbal"]),
+    "orders": (ORDERS, ["o_orderkey", "o_custkey", "o_totalprice"]),
+    "part": (PART, ["p_partkey", "p_size", "p_retailprice"]),
+    "supplier": (SUPPLIER, ["s_suppkey", "s_nationkey", "s_acctbal"]),
+}
+
+
+@query(
+    "batch_classify",
+    " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {score_cte(name, columns, numeric)}
+        SELECT '{name}' AS dataset, column_name AS "Column Name", risk_tier AS "Risk Tier" FROM decided)"""
+        for name, (columns, numeric) in CLASSIFIED.items()
+    ),
+)
+def _(spark, sf_dir):
+    """Tiers of four tables of different shapes at once."""
+    return batch_classify({name: table(spark, sf_dir, name) for name in CLASSIFIED})

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwright import Policy
 from veilwright.operators import watermark as wm
-from veilwright.operators.batch import directory_profile
 from veilwright.operators.classify import classify_columns, validate_classification
 from veilwright.plans.report import align_by_position, quality_report
 from veilwright.plans.run import write_classification
@@ -72,21 +71,6 @@ def _(spark, sf_dir):
     return src.read_csv(spark, path, multiline=True)
 
 
-@query(
-    "scan_directory",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count({c}) AS non_null FROM customer"
-        for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    ),
-)
-def _(spark, sf_dir):
-    """Profiles of every file of a folder in one scan, added up per column."""
-    path = scratch_path(spark, "folder")
-    table(spark, sf_dir, "customer").repartition(4, "c_mktsegment").write.parquet(path)
-    profiles = directory_profile(src.scan_directory(spark, path))
-    return profiles.groupBy("column_name").agg(F.sum("non_null").alias("non_null"))
-
-
 @query("write_watermarked", "SELECT * FROM customer")
 def _(spark, sf_dir):
     """Written with a watermark, read back without it."""

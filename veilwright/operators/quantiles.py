@@ -56,7 +56,7 @@ def _magnitude(x: float) -> float:
     return math.copysign(math.log(abs(x)) + ABOVE_SMALLEST, x) if x else 0.0
 
 
-def _magnitude_column(x: Column) -> Column:
+def magnitude_column(x: Column) -> Column:
     # LN is monotonic by its specification, so buckets cut by it are ranges of values.
     return F.when(x != 0.0, F.signum(x) * (F.log(F.abs(x)) + F.lit(ABOVE_SMALLEST))).otherwise(F.lit(0.0))
 
@@ -130,8 +130,8 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
 
         value, scale, low = F.col("value"), F.col("scale"), F.col("low")
         by_value = (value * scale - low * scale) / (F.col("high") * scale - low * scale)
-        start = _magnitude_column(low)
-        by_magnitude = (_magnitude_column(value) - start) / (_magnitude_column(F.col("high")) - start)
+        start = magnitude_column(low)
+        by_magnitude = (magnitude_column(value) - start) / (magnitude_column(F.col("high")) - start)
         place = F.when(F.col("wide"), by_magnitude).otherwise(by_value)
         part = F.least(F.floor(place * BUCKETS).cast("double"), F.lit(float(BUCKETS - 1)))
         buckets = (
