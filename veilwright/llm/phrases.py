@@ -42,7 +42,7 @@ SCALE = 2_000_000
 INSIDE = 80  # percent of a phrase's occurrences that lie in a longer one
 
 BATCH_CHARS = 2_000_000
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 32_000_000
 SIDE = 512
 DENSE = 16  # a tile is counted densely if it has at least one pair for so many cells
 FAN = 24
