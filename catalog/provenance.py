@@ -218,7 +218,7 @@ def _(spark, sf_dir):
     return part.agg(F.count(F.lit(1)).alias("part_rows")).crossJoin(counts).select(F.lit("part").alias("dataset"), "*")
 
 
-@query("write_report")
+@query("write_report", pair.REPORT_SQL)
 def _(spark, sf_dir):
     """The quality report as JSON files, read back."""
     path = scratch_path(spark, "report")

@@ -13,11 +13,11 @@ from veilwright.operators.association import numeric_association
 from veilwright.plans.report import quality_report
 
 from .profiling import pair_corr_cte
+from .rotations import eigen_cte
 from .registry import long_sql, query, r, rounded, table
 
 KEY = "o_orderkey"
 COLUMNS = ["custkey", "price", "month", "day", "year"]
-TWO = ["custkey", "price"]
 
 ORIGINAL_SQL = """
 SELECT o_orderkey, o_custkey::DOUBLE AS custkey, CASE WHEN o_custkey % 10 <> 3 THEN o_totalprice END AS price,
@@ -208,35 +208,32 @@ def _(spark, sf_dir):
 # --- PCA -------------------------------------------------------------------------------
 
 
-def pca_cte() -> str:
-    """Two columns: the eigenvalues and axes of 2 x 2 covariance matrices in closed form."""
-
-    def axes(side: str, alias: str) -> str:
-        return f"""{alias} AS (
-          SELECT *, CASE WHEN abs(y) > abs(x) * (1 + 1e-9) THEN sign(y) ELSE sign(x) END AS s1,
-                 CASE WHEN abs(x) > abs(y) * (1 + 1e-9) THEN sign(x) ELSE sign(-y) END AS s2
-          FROM (SELECT l1, l2, b / hypot2 AS x, (l1 - a) / hypot2 AS y FROM (
-            SELECT *, sqrt(b * b + (l1 - a) * (l1 - a)) AS hypot2 FROM (
-              SELECT a, b, c, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1,
-                     (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2
-              FROM (SELECT var_samp(u{side}) AS a, covar_samp(u{side}, w{side}) AS b, var_samp(w{side}) AS c FROM scaled)))))"""
-
-    return f"""{pair_cte(TWO)},
-    spread AS (SELECT quantile_cont(custkey, 0.75) - quantile_cont(custkey, 0.25) AS q1,
-                      quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS q2 FROM orig),
-    scaled AS (SELECT o.custkey / q1 AS uo, o.price / q2 AS wo, a.custkey / q1 AS ua, a.price / q2 AS wa
-               FROM orig o JOIN anon a USING (o_orderkey), spread),
-    {axes('o', 'ao')}, {axes('a', 'aa')},
-    crossed AS (SELECT covar_samp(uo, ua) AS uu, covar_samp(uo, wa) AS uw, covar_samp(wo, ua) AS wu,
-                       covar_samp(wo, wa) AS ww FROM scaled),
-    pca AS (
-      SELECT 1 AS component, ao.l1 / (ao.l1 + ao.l2) AS ro, aa.l1 / (aa.l1 + aa.l2) AS ra, ao.l1 / (ao.l1 + ao.l2) AS co,
-             aa.l1 / (aa.l1 + aa.l2) AS ca, ao.s1 * aa.s1 * (ao.x * (uu * aa.x + uw * aa.y) + ao.y * (wu * aa.x + ww * aa.y))
-             / sqrt(ao.l1 * aa.l1) AS cc FROM ao, aa, crossed
-      UNION ALL
-      SELECT 2, ao.l2 / (ao.l1 + ao.l2), aa.l2 / (aa.l1 + aa.l2), 1, 1,
-             ao.s2 * aa.s2 * (ao.y * (uu * aa.y - uw * aa.x) - ao.x * (wu * aa.y - ww * aa.x)) / sqrt(ao.l2 * aa.l2)
-      FROM ao, aa, crossed)"""
+def pca_cte(columns=COLUMNS) -> str:
+    """Axes of both tables, scaled by the original's quartiles, and how their scores go together."""
+    d = len(columns)
+    spread = ", ".join(
+        f"coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1)::DOUBLE" for c in columns
+    )
+
+    def scaled(side: str) -> str:
+        return "[" + ", ".join(f"{side}.{c} / spread[{i + 1}]" for i, c in enumerate(columns)) + "]"
+
+    def cells(x: str, y: str) -> str:
+        grid = f"(SELECT unnest(range({d})) AS i), (SELECT unnest(range({d})) AS j)"
+        return f"SELECT i, j, covar_samp({x}[i + 1], {y}[j + 1]) AS x FROM scaled, {grid} GROUP BY i, j"
+
+    both = f"SELECT 'o' AS side, * FROM ({cells('xo', 'xo')}) UNION ALL SELECT 'a', * FROM ({cells('xa', 'xa')})"
+    return f"""{pair_cte(columns)},
+    scaled AS (SELECT o_orderkey, {scaled('o')} AS xo, {scaled('a')} AS xa
+               FROM orig o JOIN anon a USING (o_orderkey), (SELECT [{spread}] AS spread FROM orig)),
+    {eigen_cte('axes', both, d)},
+    crossed AS ({cells('xo', 'xa')}),
+    ratios AS (SELECT *, value / sum(value) OVER (PARTITION BY side) AS ratio,
+                 sum(value) OVER (PARTITION BY side ORDER BY component) / sum(value) OVER (PARTITION BY side) AS running FROM axes),
+    together AS (SELECT o.component, sum(o.axis[i + 1] * x * a.axis[j + 1]) / sqrt(any_value(o.value) * any_value(a.value)) AS cc
+                 FROM axes o JOIN axes a USING (component), crossed WHERE o.side = 'o' AND a.side = 'a' GROUP BY o.component),
+    pca AS (SELECT component, o.ratio AS ro, a.ratio AS ra, o.running AS co, a.running AS ca, cc
+            FROM ratios o JOIN ratios a USING (component) JOIN together USING (component) WHERE o.side = 'o' AND a.side = 'a')"""
 
 
 @query(
@@ -245,49 +242,52 @@ def pca_cte() -> str:
     f"{r('co')} AS original_cumulative, {r('ca')} AS anonymized_cumulative, {r('cc')} AS component_correlation FROM pca",
 )
 def _(spark, sf_dir):
-    return rounded(q.pca_metrics(comparison(spark, sf_dir, TWO)))
+    return rounded(q.pca_metrics(comparison(spark, sf_dir)))
 
 
 @query(
     "variance_retention",
     f"WITH {pca_cte()} SELECT component, {r('co * 100')} AS original_percent, {r('ca * 100')} AS anonymized_percent, "
-    f"{r('ca / co * 100')} AS retention_percent FROM pca WHERE component = 2",
+    f"{r('ca / co * 100')} AS retention_percent FROM pca WHERE component IN (2, 5, 10)",
 )
 def _(spark, sf_dir):
-    return rounded(q.variance_retention(comparison(spark, sf_dir, TWO)))
+    return rounded(q.variance_retention(comparison(spark, sf_dir)))
 
 
 METRICS_CTE = (
-    f"{pca_cte()}, {error_cte(TWO)}, {ks_cte(TWO)}, metrics AS (SELECT * FROM ({stats_select(TWO)}), "
+    f"{pca_cte()}, {error_cte()}, {ks_cte()}, metrics AS (SELECT * FROM ({stats_select()}), "
     f"({PRIVACY_SELECT}), (SELECT avg(cc) AS comp FROM pca))"
 )
 
-SCORES_SQL = f"""
-WITH {METRICS_CTE},
-points AS (SELECT least(100, greatest(0, comp * 25) + greatest(0, correlation_preservation * 25)
+POINTS_CTE = f"""{METRICS_CTE},
+points AS (SELECT *, least(100, greatest(0, comp * 25) + greatest(0, correlation_preservation * 25)
                   + greatest(0, (1 - mean_ks_statistic) * 25) + least(25, variance_preservation * 12.5)) AS utility,
-                  least(100, uniqueness_reduction * 50 + (1 - abs(correlation_preservation)) * 50) AS privacy FROM metrics)
-SELECT {r('utility')} AS utility_score, {r('privacy')} AS privacy_score, CASE
+                  least(100, uniqueness_reduction * 50 + (1 - abs(correlation_preservation)) * 50) AS privacy FROM metrics),
+assessed AS (SELECT *, CASE
   WHEN utility >= 80 AND privacy >= 70 THEN 'EXCELLENT - Strong privacy with high utility'
   WHEN utility >= 70 AND privacy >= 60 THEN 'GOOD - Balanced privacy-utility tradeoff'
   WHEN utility >= 50 AND privacy >= 50 THEN 'FAIR - Acceptable with room for improvement'
   WHEN utility >= 30 THEN 'POOR - Significant utility loss or weak privacy'
-  ELSE 'VERY POOR - Consider re-evaluating anonymization approach' END AS assessment FROM points
-"""
+  ELSE 'VERY POOR - Consider re-evaluating anonymization approach' END AS assessment FROM points)"""
 
+SCORES = f"{r('utility')} AS utility_score, {r('privacy')} AS privacy_score, assessment"
 
-@query("quality_scores", SCORES_SQL)
+
+@query("quality_scores", f"WITH {POINTS_CTE} SELECT {SCORES} FROM assessed")
 def _(spark, sf_dir):
-    metrics = q.all_metrics(comparison(spark, sf_dir, TWO))
+    metrics = q.all_metrics(comparison(spark, sf_dir))
     return rounded(q.quality_scores(metrics).select("utility_score", "privacy_score", "assessment"))
 
 
+VERDICT = """CASE WHEN correlation_preservation > 0.8 AND uniqueness_reduction > 0.3 THEN 'EXCELLENT'
+           WHEN correlation_preservation > 0.6 THEN 'GOOD' ELSE 'FAIR' END"""
+
+
 @query(
     "quality_verdict",
     f"""WITH {pair_cte()}, {error_cte()}, {ks_cte()}
     SELECT {out(('correlation_preservation', 'uniqueness_reduction'))},
-      CASE WHEN correlation_preservation > 0.8 AND uniqueness_reduction > 0.3 THEN 'EXCELLENT'
-           WHEN correlation_preservation > 0.6 THEN 'GOOD' ELSE 'FAIR' END AS verdict
+      {VERDICT} AS verdict
     FROM ({stats_select()}), ({PRIVACY_SELECT})""",
 )
 def _(spark, sf_dir):
@@ -296,13 +296,33 @@ def _(spark, sf_dir):
     return rounded(verdict.select("correlation_preservation", "uniqueness_reduction", "verdict"))
 
 
-@query("quality_report")
+REPORT_SQL = f"""WITH {POINTS_CTE} SELECT {out((*STATS, *PRIVACY))}, {r('comp')} AS mean_component_correlation, {SCORES},
+    {VERDICT} AS verdict FROM assessed"""
+
+
+@query("quality_report", REPORT_SQL)
 def _(spark, sf_dir):
     """The whole report over five columns, one row."""
     return rounded(quality_report(original(spark, sf_dir), anonymized(spark, sf_dir), KEY).summary())
 
 
-@query("pc_sample")
+def _score_sql(side: str, k: int) -> str:
+    alias = side[0]
+    return (
+        f"(SELECT list_dot_product(axis, list_transform(range({len(COLUMNS)}), lambda e: x{alias}[e + 1] - m{alias}[e + 1])) "
+        f"FROM axes WHERE side = '{alias}' AND component = {k})"
+    )
+
+
+@query(
+    "pc_sample",
+    f"""WITH {pca_cte()},
+    means AS (SELECT [{', '.join(f'avg(xo[{i + 1}])' for i in range(len(COLUMNS)))}] AS mo,
+                     [{', '.join(f'avg(xa[{i + 1}])' for i in range(len(COLUMNS)))}] AS ma FROM scaled),
+    chosen AS (SELECT o_orderkey FROM orders ORDER BY sha256('sample|' || o_orderkey), o_orderkey LIMIT 1000)
+    SELECT o_orderkey AS row_key, {', '.join(f'{r(_score_sql(side, k))} AS {side}_pc{k}' for side in ('original', 'anonymized') for k in (1, 2))}
+    FROM scaled JOIN chosen USING (o_orderkey), means""",
+)
 def _(spark, sf_dir):
     return rounded(q.pc_sample(comparison(spark, sf_dir)))
 

@@ -12,6 +12,7 @@ from veilwright.plans.anonymize import column_rules, transform_columns
 
 from .privacy import delta_sql, distance_sql, diversity_sql, interval_sql, k_sql
 from .registry import INTERVAL_LABEL, laplace_sql, query, r, redact_sql, right_bin_sql, rounded, table, uniform_sql
+from .rotations import eigen_cte
 
 SECRET = "catalog"
 
@@ -210,19 +211,43 @@ def _(spark, sf_dir):
     return _pca(spark, sf_dir, 0.5)
 
 
-@query("pca_anonymize_wide")
-def _(spark, sf_dir):
-    """Five numeric columns: a component count chosen from the data."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        "o_custkey",
-        "o_totalprice",
-        F.month("o_orderdate").alias("o_month"),
-        F.dayofmonth("o_orderdate").alias("o_day"),
-        F.year("o_orderdate").alias("o_year"),
+WIDE = {
+    "o_custkey": "o_custkey", "o_totalprice": "CASE WHEN o_custkey % 10 <> 3 THEN o_totalprice END",
+    "o_month": "month(o_orderdate)", "o_day": "day(o_orderdate)", "o_year": "year(o_orderdate)",
+}
+
+
+def pca_wide_sql(threshold: float, digits: int) -> str:
+    """Nulls are filled with the mean; as many components as pass the threshold together."""
+    d, names = len(WIDE), list(WIDE)
+    grid = f"(SELECT unnest(range({d})) AS i), (SELECT unnest(range({d})) AS j)"
+    cells = f"SELECT 's' AS side, i, j, corr(z[i + 1], z[j + 1]) AS x FROM standard, {grid} GROUP BY i, j"
+    noise = ", ".join(laplace_sql(SECRET, f"pca:{k}", "o_orderkey", 2.0) for k in range(d))
+    outputs = ", ".join(
+        r(f"abs(m[{j + 1}] + s[{j + 1}] * list_sum(list_transform(range(kept), lambda k: ax[k + 1][{j + 1}] * t[k + 1])))", digits)
+        + f" AS {c}"
+        for j, c in enumerate(names)
     )
-    columns = ["o_custkey", "o_totalprice", "o_month", "o_day", "o_year"]
-    return rounded(pca_anonymize(orders, columns, "o_orderkey", SECRET))
+    return f"""
+    WITH raw AS (SELECT o_orderkey, {', '.join(f'({sql})::DOUBLE AS {c}' for c, sql in WIDE.items())} FROM orders),
+    means AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in names)} FROM raw),
+    filled AS (SELECT o_orderkey, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in names)} FROM raw, means),
+    scales AS (SELECT [{', '.join(f'avg({c})' for c in names)}] AS m, [{', '.join(f'stddev_pop({c})' for c in names)}] AS s FROM filled),
+    standard AS (SELECT o_orderkey, m, s, [{', '.join(f'({c} - m[{j + 1}]) / s[{j + 1}]' for j, c in enumerate(names))}] AS z FROM filled, scales),
+    {eigen_cte('e', cells, d)},
+    axes AS (SELECT list(axis ORDER BY component) AS ax FROM e),
+    running AS (SELECT sum(value) OVER (ORDER BY component) / sum(value) OVER () AS c FROM e),
+    chosen AS (SELECT least({d}, 1 + count(*) FILTER (c <= {threshold})) AS kept FROM running),
+    noisy AS (SELECT *, [{noise}] AS noise FROM standard, axes, chosen),
+    scored AS (SELECT *, list_transform(range(kept), lambda k: list_dot_product(ax[k + 1], z) + noise[k + 1]) AS t FROM noisy)
+    SELECT o_orderkey, {outputs}, 7 AS constant FROM scored"""
+
+
+@query("pca_anonymize_wide", pca_wide_sql(0.85, 4))
+def _(spark, sf_dir):
+    """Five numeric columns, one with nulls, and a constant that is left out: as many components as the data ask for."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(sql).alias(c) for c, sql in WIDE.items()], F.lit(7).alias("constant"))
+    return rounded(pca_anonymize(orders, [*WIDE, "constant"], "o_orderkey", SECRET), 4)
 
 
 # --- the whole run --------------------------------------------------------------------------
@@ -262,6 +287,33 @@ def _(spark, sf_dir):
     return anonymize_table(orders, classify_columns(orders), Policy(secret=SECRET), "o_orderkey").df
 
 
+RUN_PCA_SQL = f"""
+WITH clustered AS ({cluster_sql('customer', 'c_custkey', 'c_nationkey')}),
+merged AS (SELECT customer.*, m, abs(c_custkey + {laplace_sql(SECRET, 'c_custkey', 'c_custkey', 0.1)}) AS ck
+           FROM customer JOIN clustered USING (c_custkey)),
+stats AS (SELECT avg(m) AS m1, stddev_pop(m) AS d1, avg(ck) AS m2, stddev_pop(ck) AS d2, corr(m, ck) AS c FROM merged),
+scored AS (SELECT *, CASE WHEN c < 0 THEN -1 ELSE 1 END AS s, CASE WHEN (1 + abs(c)) / 2 > 0.85 THEN 0 ELSE 1 END AS second,
+             (m - m1) / d1 AS z1, (ck - m2) / d2 AS z2 FROM merged, stats),
+axes AS (SELECT *, (z1 + s * z2) / sqrt(2) + {laplace_sql(SECRET, 'pca:0', 'c_custkey', 2.0)} AS t1,
+           second * ((z1 - s * z2) / sqrt(2) + {laplace_sql(SECRET, 'pca:1', 'c_custkey', 2.0)}) AS t2 FROM scored),
+rebuilt AS (SELECT *, abs(m1 + d1 * (t1 + t2) / sqrt(2)) AS nk, abs(m2 + d2 * s * (t1 - t2) / sqrt(2)) AS pk FROM axes),
+smallest AS (SELECT min(c) AS least FROM (SELECT count(*) AS c FROM rebuilt GROUP BY nk, c_mktsegment)),
+span AS (SELECT min(nk) AS lo, max(nk) AS hi, greatest(2, count(nk) // 10) AS b FROM rebuilt),
+binned AS ({right_bin_sql('SELECT *, nk AS x FROM rebuilt, span, smallest')})
+SELECT {r('pk')} AS c_custkey, {redact_sql('c_name', 0.1)} AS c_name,
+       CASE WHEN least >= 5 THEN CAST(nk AS VARCHAR) ELSE {INTERVAL_LABEL} END AS c_nationkey,
+       {noisy_sql('c_acctbal', 'c_custkey', 1.0)} AS c_acctbal, c_mktsegment
+FROM binned
+"""
+
+
+@query("anonymize_table_pca_tiers", RUN_PCA_SQL)
+def _(spark, sf_dir):
+    """With PCA over the Tier 2 and 3 numbers, and the classes that it breaks up brought back to k."""
+    customer = table(spark, sf_dir, "customer")
+    return rounded(anonymize_table(customer, TIERS, Policy(secret=SECRET), "c_custkey").df)
+
+
 QUASI, SENSITIVE = ["c_nationkey", "c_mktsegment"], ["c_name", "c_acctbal"]
 NOISY_BALANCE = f"abs(c_acctbal + {laplace_sql(SECRET, 'c_acctbal', 'c_custkey', 1.0)}) AS c_acctbal"
 STATUS_SQL = f"""
