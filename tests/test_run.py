@@ -1,6 +1,8 @@
 """Scans, sinks, watermarks and the whole run."""
 
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from veilwright import Policy, anonymize_files, anonymize_table, quality_report
 from veilwright.operators import watermark as wm
 from veilwright.operators.privacy import group_sizes
 from veilwright.plans.anonymize import ROW_KEY, choose
+from veilwright.operators.generalize import laplace_noise
 from veilwright.plans.report import align_by_position
-from veilwright.session import scratch_dir
+from veilwright.plans.run import anonymize_folder
+from veilwright.session import owned_scratch, scratch_dir, stage
 from veilwright.sources.tables import read_csv, scan_directory, write_csv
 from veilwright.sources.watermarked import (
     AlreadyAnonymized,
@@ -232,16 +236,77 @@ def test_run_over_an_empty_table(spark):
 
 def test_positional_report(spark):
     df = people(spark).coalesce(1).select("salary", "score")
-    left, right = align_by_position(df, df.withColumn("salary", F.col("salary") + 1))
+    left, right = align_by_position(df, df.withColumn("salary", F.col("salary") + 1), scan_order=True)
     row = quality_report(left, right, "row_number").summary().first()
     assert row["mean_correlation"] == pytest.approx(1) and row["uniqueness_reduction"] == 0
 
 
+def _staged(spark):
+    folder = scratch_dir(spark).removeprefix("file:")
+    return os.listdir(folder) if os.path.isdir(folder) else []
+
+
+def _jobs(spark):
+    return spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+
+
+def test_a_failed_run_leaves_nothing(spark):
+    before = set(_staged(spark))
+    with pytest.raises(RuntimeError), owned_scratch(spark) as owner:
+        kept = stage(people(spark), "try")
+        assert kept.count() == 300 and len(owner.paths) == 1
+        raise RuntimeError
+    assert set(_staged(spark)) == before
+
+
+def test_custom_rules_in_a_run(spark):
+    rules = {"full name": "hash", "age": "generalize_5_years", "score": "add_noise_10percent"}
+    result = anonymize_table(people(spark), TIERS, Policy(secret="s", custom_rules=rules), "account", keep_row_key=True)
+    rows = {r[ROW_KEY]: r for r in result.df.collect()}
+    for r in people(spark).collect():
+        out = rows[r["account"]]
+        assert out["full name"] == hashlib.sha256(("s" + r["full name"]).encode()).hexdigest()
+        assert (out["score"] is None) == (r["score"] is None)
+        assert r["score"] is None or abs(out["score"] - r["score"]) <= 0.1 * r["score"] + 1e-9
+    techniques = {r["column_name"]: r["technique"] for r in result.techniques().collect()}
+    assert techniques["age"] == "Custom: intervals of five"
+    for wrong in ({"no such": "hash"}, {"age": "encrypt"}, {"city": "generalize_5_years"}):
+        with pytest.raises(ValueError, match="cannot be applied"):
+            anonymize_table(people(spark), TIERS, Policy(secret="s", custom_rules=wrong), "account")
+
+
+def test_noise_without_a_key_raises(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, 2.0)], "k int, x double")
+    with pytest.raises(Exception, match="null in a row"):
+        laplace_noise(df, ["x"], "k", "s").collect()
+
+
+def test_a_run_for_each_file_of_a_folder(spark, tmp_path):
+    source, output = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    people(spark).toPandas().to_csv(source / "a.csv", index=False)
+    people(spark, 120).drop("member", "score").toPandas().to_csv(source / "b.csv", index=False)
+    done = {r["dataset"]: r for r in anonymize_folder(spark, str(source), output, Policy(secret="s"), "account").collect()}
+    assert set(done) == {"a.csv", "b.csv"}
+    for name, n in (("a.csv", 300), ("b.csv", 120)):
+        back = read_watermarked(spark, done[name]["output"])
+        assert back.count() == n and watermarks(spark, done[name]["output"]).where("NOT is_valid").isEmpty()
+        assert 0 <= done[name]["utility_score"] <= 100
+    with pytest.raises(AlreadyAnonymized):
+        anonymize_folder(spark, output, str(tmp_path / "again"), Policy(secret="s"), "account")
+
+
 def test_files_from_end_to_end(spark, tmp_path):
     source, output, plain = (str(tmp_path / n) for n in ("in", "out", "plain"))
     write_csv(people(spark), source)
     policy = Policy(secret="s")
-    anonymize_files(spark, source, output, policy, "account", plain_output=plain)
+    before = set(_staged(spark))
+    jobs = _jobs(spark)
+    result = anonymize_files(spark, source, output, policy, "account", plain_output=plain)
+    print("jobs of a run:", _jobs(spark) - jobs)
+    assert result.df.count() == 300 and len(set(_staged(spark)) - before) == 1
+    result.release()
+    assert set(_staged(spark)) == before
     found = watermarks(spark, output).first()
     mark = json.loads(found["watermark"])
     assert mark["anonymization_params"] == {"k_anonymity": 5, "epsilon": 1.0, "pca_threshold": 0.85, "use_pca": True}

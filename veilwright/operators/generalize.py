@@ -29,11 +29,17 @@ HEAVY = 1000
 def laplace_column(
     df: DataFrame, name: str, row_key: str, secret: str, sensitivity: float = 1.0, epsilon: float = 1.0
 ) -> Column:
-    """``abs(x + Laplace(0, sensitivity / epsilon))``; nulls stay null."""
-    noise = laplace(keyed_uniform(secret, name, ref(row_key)), sensitivity / epsilon)
+    """``abs(x + Laplace(0, sensitivity / epsilon))``; nulls stay null. A null row key raises."""
+    noise = laplace(keyed_uniform(secret, name, present_key(row_key)), sensitivity / epsilon)
     return F.abs(as_number(df, name, infinite=True) + noise)
 
 
+def present_key(row_key: str) -> Column:
+    """The row key, which noise needs in every row: without one, the value itself would be lost."""
+    key = ref(row_key)
+    return F.coalesce(key.cast("string"), F.raise_error(F.lit(f"row key {row_key!r} is null in a row that gets noise")).cast("string"))
+
+
 def laplace_noise(
     df: DataFrame, columns: Sequence[str], row_key: str, secret: str, sensitivity: float = 1.0, epsilon: float = 1.0
 ) -> DataFrame:
@@ -215,5 +221,5 @@ def rule_generalize_5(df: DataFrame, name: str) -> DataFrame:
 
 def rule_noise_10pct(df: DataFrame, name: str, row_key: str, secret: str) -> DataFrame:
     """The value changed by up to 10 percent either way."""
-    swing = keyed_uniform(secret, name, ref(row_key)) * F.lit(2.0) - F.lit(1.0)
+    swing = keyed_uniform(secret, name, present_key(row_key)) * F.lit(2.0) - F.lit(1.0)
     return df.withColumn(name, as_number(df, name) * (F.lit(1.0) + F.lit(0.1) * swing))

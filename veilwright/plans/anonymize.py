@@ -14,13 +14,16 @@ from ..operators.generalize import (
     generalize_numeric,
     laplace_column,
     microaggregate,
+    rule_generalize_5,
+    rule_hash,
+    rule_noise_10pct,
     top_category_columns,
     with_redacted_words,
 )
 from ..operators.ordered import check_row_key, with_scan_position
 from ..operators.pca import PcaModel, fit_pca, reconstruct
 from ..operators.privacy import enforce_k_anonymity, group_sizes, k_anonymity, privacy_status, suppress_groups
-from ..session import stage
+from ..session import ScratchOwner, stage
 from .policy import Policy
 
 ROW_KEY = "veilwright_row_key"
@@ -42,6 +45,8 @@ DEFAULT_TECHNIQUE = "Default (Tier 3)"
 UNLISTED_TECHNIQUE = "Default (Tier 3) - Not in classification"
 UNCHANGED_NOTE = " - numeric identifier left unchanged"
 BOOLEAN_NOTE, KEPT_NOTE = " - boolean left unchanged", " - left unchanged"
+# The names of the rules that a policy may set for a column.
+CUSTOM_RULES = {"hash": "Custom: salted hash", "generalize_5_years": "Custom: intervals of five", "add_noise_10percent": "Custom: noise of 10 percent"}
 #: Types without a text form of their own cannot be published as anonymized.
 NO_TEXT = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
@@ -90,9 +95,22 @@ def choose(df: DataFrame, name: str, level: str, strict: bool = False) -> tuple[
     return "keep", 0.0
 
 
-def column_rules(df: DataFrame, tiers: Mapping[str, str], strict: bool = False) -> list[ColumnRule]:
+def column_rules(
+    df: DataFrame, tiers: Mapping[str, str], strict: bool = False, custom: Mapping[str, str] | None = None
+) -> list[ColumnRule]:
+    """``custom``: rules of CUSTOM_RULES by column, which go before the techniques of the tiers."""
+    custom = custom or {}
+    unknown = {f"{c}: {r}" for c, r in custom.items() if c not in df.columns or r not in CUSTOM_RULES}
+    unknown |= {f"{c}: {r}, not numeric" for c, r in custom.items() if c in df.columns and r != "hash" and not is_numeric(data_type(df, c))}
+    if unknown:
+        raise ValueError(f"custom rules that cannot be applied: {', '.join(sorted(unknown))}")
     rules = []
     for name in df.columns:
+        if name in custom:
+            tier = tiers.get(name)
+            level = next((t for t in TECHNIQUES if tier and t in tier), "Tier 3")
+            rules.append(ColumnRule(name, level, tier, CUSTOM_RULES[custom[name]], custom[name]))
+            continue
         tier = tiers.get(name)
         level = next((t for t in TECHNIQUES if tier and t in tier), None)
         if tier is None:
@@ -126,6 +144,12 @@ class AnonymizedTable:
     k_met: bool | None = None
     pca: PcaModel | None = None
     notes: dict[str, str] = field(default_factory=dict)
+    scratch: ScratchOwner | None = None
+
+    def release(self) -> None:
+        """Delete what was staged for this table; it cannot be read afterwards."""
+        if self.scratch is not None:
+            self.scratch.release()
 
     def techniques(self) -> DataFrame:
         """(column_name, tier, technique), as many rows as columns and notes."""
@@ -162,6 +186,12 @@ def transform_columns(df: DataFrame, rules: list[ColumnRule], policy: Policy, ro
     changed = changed.withColumns(values) if values else changed
     ratios = {r.column: r.amount for r in rules if r.action == "redact"}
     changed = with_redacted_words(changed, ratios) if ratios else changed
+    for name in named("hash"):
+        changed = rule_hash(changed, name, policy.secret)
+    for name in named("generalize_5_years"):
+        changed = rule_generalize_5(changed, name)
+    for name in named("add_noise_10percent"):
+        changed = rule_noise_10pct(changed, name, row_key, policy.secret)
     clusters = named("clusters")
     return microaggregate(changed, clusters, row_key, policy.k, checked=False) if clusters else changed
 
@@ -182,7 +212,7 @@ def anonymize_table(
     report; drop it before publishing.
     """
     columns = df.columns
-    rules = column_rules(df, tier_map(classification), policy.strict)
+    rules = column_rules(df, tier_map(classification), policy.strict, policy.custom_rules)
     quasi = [r.column for r in rules if r.level == "Tier 2"]
     sensitive = [r.column for r in rules if r.level == "Tier 1"]
     if row_key is None:
@@ -198,6 +228,7 @@ def anonymize_table(
     result = AnonymizedTable(out, rules, policy, quasi, sensitive)
 
     modelled = quasi + [r.column for r in rules if r.level == "Tier 3"]
+    modelled = [c for c in modelled if c not in policy.custom_rules]  # a rule says what a column becomes
     if policy.use_pca and len(modelled) >= 2:
         result.pca = fit_pca(out, modelled, policy.pca_threshold)
         if result.pca is not None:

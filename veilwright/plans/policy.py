@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 
@@ -25,6 +26,7 @@ class Policy:
     use_pca: bool = True
     strict: bool = False  # redact numeric identifiers too
     guarantee: bool = False  # drop the classes that still miss k
+    custom_rules: Mapping[str, str] = field(default_factory=dict)  # column to a rule of CUSTOM_RULES, instead of its tier's technique
 
     def watermark_params(self) -> dict[str, Any]:
         """What a watermark records; never the secret."""

@@ -11,6 +11,10 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +72,47 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/veilwright-{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+@dataclass
+class ScratchOwner:
+    """The folders that a run has staged; ``release`` deletes them."""
+
+    spark: SparkSession
+    paths: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+_owners: ContextVar[tuple[ScratchOwner, ...]] = ContextVar("owners", default=())
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession, keep: bool = False) -> Iterator[ScratchOwner]:
+    """What is staged inside belongs to one owner and is deleted at the end, or with ``keep`` when it is released.
+
+    Tables that read from it are of no use afterwards. A failed run is cleaned up, too.
+    """
+    owner = ScratchOwner(spark)
+    token = _owners.set((*_owners.get(), owner))
+    try:
+        yield owner
+    except BaseException:
+        owner.release()
+        raise
+    finally:
+        _owners.reset(token)
+    if not keep:
+        owner.release()
+
+
+def stage(df: DataFrame, label: str, owner: ScratchOwner | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back. It belongs to ``owner`` or the innermost run."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for own in [owner] if owner else _owners.get()[-1:]:
+        own.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

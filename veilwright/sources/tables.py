@@ -121,3 +121,15 @@ def scan_directory(spark: SparkSession, path: str, fmt: str = "parquet", **optio
     folder = path.rstrip("/").rsplit("/", 1)[-1]
     below = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?/\Q{folder}\E/", "")
     return nan_to_null(files.select("*", below.alias("dataset")))
+
+
+def input_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size) of every file under ``path``; nothing of them is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.select(F.col("path").alias("file"), F.col("length").alias("size")).where("size > 0")
+
+
+def dataset_name(path: str, file: str) -> str:
+    """A file's path below the scanned folder."""
+    folder = path.rstrip("/").rsplit("/", 1)[-1]
+    return file.split(f"/{folder}/", 1)[-1]
