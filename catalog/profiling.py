@@ -220,7 +220,22 @@ def _(spark, sf_dir):
 
 @query("profile_compression")
 def _(spark, sf_dir):
-    return rounded(profile_compression(table(spark, sf_dir, "documents")).drop("column_position"))
+    return rounded(profile_compression(table(spark, sf_dir, "documents")).select("column_name", "compression_ratio"))
+
+
+@query(
+    "profile_compression_keyed",
+    f"""WITH long AS ({long_sql('documents', DOCUMENTS, ids='doc_id')}),
+    placed AS (SELECT column_name, strlen(v) + 1 AS s, floor((sum(strlen(v) + 1) OVER (PARTITION BY column_name ORDER BY doc_id
+        ROWS UNBOUNDED PRECEDING) - strlen(v) - 1) / 1048576) AS chunk FROM long WHERE v IS NOT NULL)
+    SELECT column_name, (sum(s) - count(DISTINCT chunk))::BIGINT AS raw_bytes, true AS packed, column_name IN ('lang', 'source') AS by_half
+    FROM placed GROUP BY column_name""",
+)
+def _(spark, sf_dir):
+    """Chunks by row key: gzip has no SQL form, but the bytes it gets have one, and its ratio has bounds."""
+    ratio = F.col("compression_ratio")
+    found = profile_compression(table(spark, sf_dir, "documents"), row_key="doc_id")
+    return found.select("column_name", "raw_bytes", ((ratio > 0) & (ratio < 1)).alias("packed"), (F.col("column_name").isin("lang", "source") & (ratio < 0.5)).alias("by_half"))
 
 
 # --- association -------------------------------------------------------------------

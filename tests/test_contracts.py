@@ -1,6 +1,7 @@
 """What inputs must hold, and what happens at the edges of numbers and types."""
 
 import datetime
+import gzip
 
 import numpy as np
 import pytest
@@ -248,3 +249,44 @@ def test_t_closeness_with_a_hot_class(spark, monkeypatch):
         want = sum(abs(held.get(v, 0) - p) for v, p in share.items()) / 2
         assert abs(plain[0, attribute] - want) < 1e-9
     assert not any(k[1] == "none" or k[0] is None for k in plain)
+
+
+def test_long_categories_are_counted_by_digest(spark):
+    """Texts of a kilobyte are told apart, kept whole, and not shuffled."""
+    from veilwright.operators.generalize import generalize_categorical, top_tokens, top_values
+
+    long = F.concat(F.expr("repeat('same start ', 100)"), (F.col("id") % 30).cast("string"))
+    df = spark.range(900).select(F.when(F.col("id") % 30 < 25, long).otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("t"))
+    counts = {r["t"]: r["count"] for r in df.groupBy("t").count().collect()}
+    top = top_values(df, ["t"], 4)["t"]
+    assert [counts[t] for t in top] == sorted(counts.values(), reverse=True)[:4]
+    assert top[:3] == ["s1", "s2", "s0"] and len(top[3]) > 1000
+    assert all(len(t) <= 71 for t in top_tokens(df, ["t"], 30)["t"])
+    kept = {r["t"]: r["count"] for r in generalize_categorical(df, ["t"], 5).groupBy("t").count().collect()}
+    assert len(kept) == 5 and sum(kept.values()) == 900 and all(kept[t] == counts[t] for t in kept if t != "Other")
+
+
+def test_keyed_compression_does_not_depend_on_partitions(spark):
+    from veilwright.operators import compression as cp
+
+    df = spark.range(4000).select(
+        "id", F.concat(F.lit("value "), F.col("id") * 7919 % 1013).alias("v"), F.when(F.col("id") % 3 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("h"),
+        F.lit(None).cast("string").alias("n"),
+    )
+
+    def run(parts):
+        found = cp.compression_by_key(df.repartition(parts), "id", ["v", "h", "n"], chunk_bytes=9000)
+        return sorted(map(tuple, found.collect()))
+
+    want = []
+    texts = sorted((r.id, r.v, r.h) for r in df.collect())
+    for i in (0, 1):
+        chunks, before = {}, 0
+        for row in texts:
+            if row[i + 1] is not None:
+                chunks.setdefault(before // 9000, []).append(row[i + 1].encode())
+                before += len(row[i + 1]) + 1
+        joined = [b" ".join(c) for c in chunks.values()]
+        want.append((i, sum(map(len, joined)), sum(len(gzip.compress(j)) for j in joined)))
+    assert run(1) == run(8) == want
+    assert cp.profile_compression(df, row_key="id").where("column_name = 'n'").first()["compression_ratio"] == 1.0

@@ -85,17 +85,26 @@ def generalize_numeric(df: DataFrame, columns: Sequence[str], bins: int = 5) ->
 # --- categories ------------------------------------------------------------
 
 
-def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
-    """The ``limit`` most frequent values per column, ties by value ascending."""
+TIE_CHARACTERS = 16
+
+
+def top_tokens(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """The ``limit`` most frequent values per column, as ``group_token`` names them.
+
+    Ties go by the first 16 characters, then by the token, which is the value itself
+    unless it is longer than 64 bytes. No longer text is shuffled.
+    """
     if not columns:
         return {}
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("value"))
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("start"), F.asc("token"))
+    start = F.substring(F.col("value"), 1, TIE_CHARACTERS)
     # Each task keeps its own top rows before the window's shuffle, so a column
     # with many values does not meet in one task.
     rows = (
         melt(df, {c: ref(c) for c in columns})
         .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
+        .select("column_name", start.alias("start"), group_token(F.col("value")).alias("token"))
+        .groupBy("column_name", "start", "token")
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("place", F.row_number().over(by_count))
         .where(F.col("place") <= limit)
@@ -103,17 +112,30 @@ def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, l
     )
     found: dict[str, list[str]] = {c: [] for c in columns}
     for r in sorted(rows, key=lambda r: r["place"]):
-        found[r["column_name"]].append(r["value"])
+        found[r["column_name"]].append(r["token"])
     return found
 
 
+def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """``top_tokens`` as values: long texts are fetched at the end, one for each token that won."""
+    found = top_tokens(df, columns, limit)
+    long = {c: [t for t in tokens if t.startswith("sha256:")] for c, tokens in found.items()}
+    parts = [
+        df.where(group_token(ref(c)).isin(tokens)).groupBy(group_token(ref(c)).alias("token")).agg(F.first(ref(c)).alias("value"))
+        for c, tokens in long.items()
+        if tokens
+    ]
+    text = {r["token"]: r["value"] for part in parts for r in part.collect()}  # ``limit`` texts a column
+    return {c: [text.get(t, t) for t in tokens] for c, tokens in found.items()}
+
+
 def top_category_columns(df: DataFrame, columns: Sequence[str], max_categories: int = 10) -> dict[str, Column]:
     texts = [c for c in columns if isinstance(data_type(df, c), T.StringType)]
     result = {}
-    for name, values in top_values(df, texts, max_categories + 1).items():
-        if len(values) > max_categories:
-            keep = values[: max_categories - 1]
-            result[name] = F.when(ref(name).isin(keep), ref(name)).otherwise(F.lit(OTHER))
+    for name, tokens in top_tokens(df, texts, max_categories + 1).items():
+        if len(tokens) > max_categories:
+            stays = group_token(ref(name)).isin(tokens[: max_categories - 1])
+            result[name] = F.when(stays, ref(name)).otherwise(F.lit(OTHER))
     return result
 
 

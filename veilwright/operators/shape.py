@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_number, column_frame, melt, numeric_columns
+from ..session import stage
 from .quantiles import SMALL_ROWS, exact_quantiles
+from .ranges import ColumnRange
 
 IQR_FACTOR = 1.5  # fixed value
 
@@ -26,22 +28,31 @@ def profile_shape(
     if not numeric:
         return names.select("*", *[F.lit(0.0).alias(c) for c in ("skewness", "kurtosis", "outlier_ratio")])
 
-    quartiles = exact_quantiles(df, numeric, (0.25, 0.75), small_rows)
-    outside = {}
-    for name, value in numeric.items():
-        q1, q3 = quartiles[name]
-        if q1 is not None:
-            reach = IQR_FACTOR * (q3 - q1)
-            outside[name] = ((value < F.lit(q1 - reach)) | (value > F.lit(q3 + reach))).cast("double")
-    moments = (
+    # Three scans: ranges and moments, quartiles, and the values outside.
+    moments = stage(
         melt(df, numeric)
         .groupBy("column_name")
         .agg(
             F.count("value").alias("n"),
+            F.count(F.lit(1)).alias("rows"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.avg("value").alias("mean"),
             F.skewness("value").alias("skewness"),
             F.kurtosis("value").alias("kurtosis"),
-        )
+        ),
+        "moments",
     )
+    ranges = {
+        r["column_name"]: ColumnRange(r["n"], r["rows"] - r["n"], r["low"], r["high"], r["mean"]) for r in moments.collect()
+    }
+    quartiles = exact_quantiles(df, numeric, (0.25, 0.75), small_rows, ranges)
+    outside = {}
+    for name, value in numeric.items():
+        q1, q3 = quartiles[name]
+        if q1 is not None:
+            reach = IQR_FACTOR * (q3 - q1)
+            outside[name] = ((value < F.lit(q1 - reach)) | (value > F.lit(q3 + reach))).cast("double")
     if outside:
         outliers = melt(df, outside).groupBy("column_name").agg(F.avg("value").alias("outlier_ratio"))
         moments = moments.join(outliers, "column_name", "left")
