@@ -14,7 +14,7 @@
 
 Tiles meet in buckets. Chunks of a bucket merge as a tree with ``FAN`` children,
 and ids go down the same tree to the chunks, so a tile that every text uses is
-never in one task: a task gets the pairs of at most ``FAN`` chunks, each once.
+never in one task: a task gets the pairs of at most ``FAN`` chunks, each once, packed.
 What is read twice is written to the shared folder.
 
 Null texts count as empty, null languages as ``und``. Counts are exact below 2^53.
@@ -42,10 +42,11 @@ SCALE = 2_000_000
 INSIDE = 80  # percent of a phrase's occurrences that lie in a longer one
 
 BATCH_CHARS = 2_000_000
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 16_000_000
 SIDE = 512
 DENSE = 16  # a tile is counted densely if it has at least one pair for so many cells
-FAN = 24
+FAN = 512
+AT_ONCE = 32  # chunks that a task unpacks together
 BUCKET_WORDS = 6_000_000
 SPREAD = 1_000_003
 
@@ -203,6 +204,15 @@ def looked_up(left: np.ndarray, right: np.ndarray, known: Triple) -> np.ndarray:
     return np.where(at < 0, -1, number[order][at] if len(number) else -1)
 
 
+def _merged(rows: pa.Table) -> Triple:
+    """The pairs of many chunks added up, ``AT_ONCE`` chunks after another, so that memory follows the distinct pairs."""
+    total: Triple = (np.empty(0, np.int64),) * 3
+    for at in range(0, rows.num_rows, AT_ONCE):
+        part = _unpacked(rows.slice(at, AT_ONCE))
+        total = tile_counts(*(np.concatenate([a, b]) for a, b in zip(total, part)))
+    return total
+
+
 def _unpacked(rows: pa.Table) -> Triple:
     def joined(name: str) -> np.ndarray:
         return np.concatenate([np.empty(0, np.int64), *map(unpack, rows[name].to_pylist())])
@@ -256,14 +266,14 @@ def _named_pairs(buckets: int):
 
 
 def _merge(rows: pa.Table) -> pa.Table:
-    left, right, n = tile_counts(*_unpacked(rows))
+    left, right, n = _merged(rows)
     packed = {"left": [pack(left)], "right": [pack(right)], "n": [pack(n)]}
     return pa.Table.from_batches([_batch(_MERGED, 1, bucket=rows["bucket"][0].as_py(), node=rows["parent"][0].as_py(), **packed)])
 
 
 def _frequent(least: int):
     def fn(rows: pa.Table) -> pa.Table:
-        left, right, n = tile_counts(*_unpacked(rows))
+        left, right, n = _merged(rows)
         keep = n >= least
         return pa.table({"left": left[keep], "right": right[keep], "total": n[keep]})
 
