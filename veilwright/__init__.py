@@ -5,7 +5,7 @@ from .operators.privacy import delta_presence, k_anonymity, l_diversity, privacy
 from .plans.anonymize import AnonymizedTable, anonymize_table
 from .plans.policy import Policy
 from .plans.report import QualityReport, quality_report
-from .plans.run import anonymize_files
+from .plans.run import anonymize_files, anonymize_folder
 from .session import build_session
 
 __all__ = [
@@ -13,6 +13,7 @@ __all__ = [
     "Policy",
     "QualityReport",
     "anonymize_files",
+    "anonymize_folder",
     "anonymize_table",
     "build_session",
     "classify_columns",
