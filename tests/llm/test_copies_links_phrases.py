@@ -249,3 +249,11 @@ def test_tiles_count_like_a_dictionary():
     found = phrases.looked_up(left, right, got)
     assert found.tolist() == [want[x] for x in zip(left.tolist(), right.tolist())]
     assert phrases.looked_up(left + (1 << 40), right, got).max() == -1
+
+
+@pytest.mark.parametrize("top", [0, 200, 254, 255, 256, 70_000, 1 << 24, 1 << 40, (1 << 62)])
+def test_packed_numbers_come_back(top):
+    numbers = np.random.default_rng(3).integers(-1, top + 1, 500)
+    numbers[0] = top
+    assert phrases.unpack(phrases.pack(numbers)).tolist() == numbers.tolist()
+    assert len(phrases.unpack(phrases.pack(numbers[:0]))) == 0
