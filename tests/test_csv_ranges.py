@@ -58,6 +58,19 @@ def test_ranges_give_the_rows_of_the_file(spark, tmp_path, small_ranges, size):
     assert df.rdd.getNumPartitions() > 2 or size > 30_000
 
 
+def test_ranges_of_files_of_many_sizes(spark, tmp_path, small_ranges):
+    """The size of ranges depends on all files of a scan; no scan may leave some of them out."""
+    rows = table_of(8, 900)
+    edges = [0, 1, 2, 3, 5, 8, 9, 10, 500, 520, 900]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        write(tmp_path / f"{i:02d}.csv", rows[a:b], (0, 1, 2) if i % 2 else (2, 1, 0))
+    small_ranges(100)
+    spark.conf.set(SIZES[0], "1000000")  # so that ranges are cut by the bytes for each core
+    df = read_csv(spark, str(tmp_path), "key string, text string, name string", na_tokens=[], place=True)
+    assert [tuple(r)[:3] for r in df.orderBy(records.PLACE).collect()] == rows
+    assert df.count() == 900
+
+
 def test_each_file_has_its_own_header(spark, tmp_path, small_ranges):
     rows = table_of(5, 300)
     write(tmp_path / "a.csv", rows[:100], (0, 1, 2), MARK)

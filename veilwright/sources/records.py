@@ -504,10 +504,13 @@ def read_records(
     skipped = mark.encode() if skip_mark else b""
     uncut = _uncut(spark)
     cut = F.col("size") > F.lit(uncut)
+    # Names the line, too, so that Spark does not leave out files by it: the size of
+    # ranges depends on all files of a scan, and each scan must have the same ranges.
+    of_cut_file = F.when(cut, F.col("value")).isNotNull()
     several = multiline and not heads.where(cut).limit(1).isEmpty()
     crossing = False
     if several:
-        starts = range_starts(_lines(spark, path).where(cut), skipped)  # smaller files are not opened
+        starts = range_starts(_lines(spark, path).where(of_cut_file), skipped)
         crossing = not starts.where("inside").limit(1).isEmpty()
         # One row for each range, as in Spark's own list of them.
         lines = lines.join(F.broadcast(starts), ["file_key", "start"], "left")
@@ -527,7 +530,7 @@ def read_records(
         schema = schema.add(PLACE, PLACED)
     rows = lines.mapInArrow(_rows(headers.orders, headers.names, skipped, place), schema)
     if crossing:
-        pieces = lines.where("cut").mapInArrow(_loose_pieces(skipped), PIECES)
+        pieces = lines.where(F.when(F.col("cut"), F.col("value")).isNotNull()).mapInArrow(_loose_pieces(skipped), PIECES)
         if place:
             pieces = pieces.join(F.broadcast(heads.select("file_key", "file")), "file_key")
         rows = rows.unionAll(
