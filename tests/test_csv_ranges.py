@@ -5,7 +5,6 @@ import io
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from veilwright.operators import watermark as wm
 from veilwright.sources import records

@@ -29,7 +29,7 @@ from pyarrow import csv as arrow_csv, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.ordered import PLACE
-from ..session import scratch_path, stage
+from ..session import stage
 
 QUOTE = b'"'
 CELL_STARTS = b",\n\r"
@@ -247,11 +247,13 @@ class Headers:
     names: list[str]
     texts: list[bytes]  # each different header
     orders: list[list[int]]  # for each, where the file has each of ``names``
+    largest: int  # bytes of the largest file
 
     @classmethod
     def of(cls, heads: DataFrame, wanted: Sequence[str] | None, path) -> Headers:
         found = (
-            heads.where("header IS NOT NULL").groupBy("header").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("files"))
+            heads.where("header IS NOT NULL").groupBy("header")
+            .agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("files"), F.max("size").alias("size"))
             .orderBy("file").limit(MOST_HEADERS + 1).collect()
         )
         if not found:
@@ -268,7 +270,7 @@ class Headers:
                     f"{r['file']} ({r['files']} files with this header): columns not expected {unknown}, columns missing {missing}"
                 )
             orders.append([own.index(n) for n in names])
-        return cls(names, [bytes(r["header"]) for r in found], orders)
+        return cls(names, [bytes(r["header"]) for r in found], orders, max(r["size"] for r in found))
 
 
 # --- where ranges start --------------------------------------------------------
@@ -507,7 +509,7 @@ def read_records(
     # Names the line, too, so that Spark does not leave out files by it: the size of
     # ranges depends on all files of a scan, and each scan must have the same ranges.
     of_cut_file = F.when(cut, F.col("value")).isNotNull()
-    several = multiline and not heads.where(cut).limit(1).isEmpty()
+    several = multiline and headers.largest > uncut
     crossing = False
     if several:
         starts = range_starts(_lines(spark, path).where(of_cut_file), skipped)
