@@ -303,7 +303,7 @@ def test_files_from_end_to_end(spark, tmp_path):
     before = set(_staged(spark))
     jobs = _jobs(spark)
     result = anonymize_files(spark, source, output, policy, "account", plain_output=plain)
-    print("jobs of a run:", _jobs(spark) - jobs)
+    assert _jobs(spark) - jobs < 130  # 102 when this was written; adaptive execution counts each shuffle
     assert result.df.count() == 300 and len(set(_staged(spark)) - before) == 1
     result.release()
     assert set(_staged(spark)) == before
