@@ -13,7 +13,7 @@ import oracle  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from veilwright.llm import catalog, decontaminate, language, mixture, neighbours, secrets  # noqa: E402
+from veilwright.llm import catalog, decontaminate, language, mixture, near_copies, neighbours, secrets  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog().QUERIES, catalog().SQL
@@ -332,3 +332,21 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and min(r.start for r in out) == 0
+
+
+def test_pipeline_takes_near_copies_by_fingerprint(spark):
+    """The rows that stay are the first ones of the components that op1 finds."""
+    words = [f"w{i}" for i in range(400)]
+    text = " ".join(words)
+    # Unlike as sets of shingles, but their fingerprints are close: one repeated passage, and other last words.
+    texts = [(9, text), (4, text.upper()), (4, text), (None, text), (None, "other " + " ".join(words[::-1])), (6, None), (5, " "), (7, "a b")]
+    texts += [(20 + i, " ".join([*words[:20] * 60, *(f"x{i}.{j}" for j in range(30))])) for i in range(12)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in texts], "doc_id long, text string, fingerprint string").cache()
+    step = dict(corpus_pipeline.STAGES)["near_copies"]
+    kept = step(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = near_copies.near_copies(docs).collect()
+    want = {r.component_id for r in found}
+    assert {None, 4, 5, 20} <= want and len(want) < 17
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert step(spark, docs.limit(0), SF).count() == 0

@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stage
 from .common import U64, hashed_words, query, rolling_hash, table, text_batches, utf8, with_row_id
@@ -69,15 +69,17 @@ def _signed(values: Sequence[int]) -> pa.Array:
     return pa.array(np.array(values, U64).view(np.int64), pa.int64())
 
 
-def shingle_fingerprints(docs: DataFrame, key: str, size: int) -> DataFrame:
-    """``key`` and a 64-bit fingerprint of the word shingles of each text; zero where there are no words."""
+def shingle_fingerprints(docs: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """``keys`` (longs) and a 64-bit fingerprint of the word shingles of each text; zero where there are no words."""
+    keys = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text", 4_000_000):
             found = [majority(shingle_hashes(utf8(t), size)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), _signed(found)], ["key", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, _signed(found)], [*keys, "fingerprint"])
 
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, "key long, fingerprint long")
+    longs = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text")
+    return longs.mapInArrow(run, ", ".join(f"`{k}` long" for k in [*keys, "fingerprint"]))
 
 
 # --- collisions -------------------------------------------------------------------
@@ -293,6 +295,13 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
+def _rooted(prints: DataFrame, radius: int, low: Column) -> DataFrame:
+    """fingerprint, low and root (the smallest fingerprint reachable) of every fingerprint."""
+    found = components(ball_links(prints, radius)).withColumnRenamed("node", "fingerprint")
+    rooted = prints.groupBy("fingerprint").agg(low).join(found, "fingerprint", "left")
+    return rooted.withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of each document.
 
@@ -300,23 +309,38 @@ def near_copies(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> Data
     id reachable over links; null ids do not count, and a component without any
     id has null.
     """
-    prints = shingle_fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", shingle)
-    prints = stage(prints.withColumnRenamed("key", "doc_id"), "prints")
-    found = components(ball_links(prints, radius)).withColumnRenamed("node", "fingerprint")
-    smallest = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))
-    rooted = smallest.join(found, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    prints = stage(shingle_fingerprints(docs, ["doc_id"], shingle), "prints")
+    rooted = _rooted(prints, radius, F.min("doc_id").alias("low"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fingerprint", "component_id")
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return prints.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _first_row(key: str) -> Column:
+    """The smallest id (null ids last), then the first row."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key).alias("key"))
+
+
+def one_of_each_component(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without copies and near copies.
+
+    Of each component that ``near_copies`` finds, the row with the smallest id
+    stays (null ids last, then in row order).
+    """
+    rows, key = with_row_id(docs, "near")
+    prints = stage(shingle_fingerprints(rows, ["doc_id", key], shingle), "prints")
+    rooted = _rooted(prints, radius, F.min(_first_row(key)).alias("low"))
+    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
+
+
 @query("op1_near_copies")
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
-# --- one document of each group -----------------------------------------------------
+# --- one document of each group, by the similarity of shingle sets ---------------------
 
 SHINGLE, SIMILARITY = 5, 0.8
 ORDER_BITS = 20  # counters of shingles, which order them
@@ -479,8 +503,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     rows, key = with_row_id(docs, "near")
     own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), "text")
     prints = stage(own.mapInArrow(_set_digests(shingle), "doc_id long, key long, digest binary"), "prints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))
-    texts = prints.groupBy("digest").agg(F.min(order).alias("first"))
+    texts = prints.groupBy("digest").agg(F.min(_first_row("key")).alias("first"))
     texts = stage(texts.select(F.col("first.key").alias("node"), "first"), "texts")
     distinct = own.join(texts.select(F.col("node").alias("key")), "key", "left_semi").select("key", "text")
     found = similar_components(distinct, shingle, similarity)
