@@ -215,3 +215,14 @@ def test_only_strict_json_is_a_mark(spark, body, marked, reason):
     lines = spark.createDataFrame([(f"{wm.PREFIX} {body}",)], "line string")
     found = wm.validate_watermark(wm.detect_watermark(lines)).first()
     assert (found["is_watermarked"], found["reason"]) == (marked, reason)
+
+
+def test_long_lines_are_fed_in_bounded_parts():
+    lines = [b"k%d," % i + b"a" * (i * 90_000) for i in range(40)] + [b"", b"x" * 5_000_000, b"y"]
+    batch = records.pa.RecordBatch.from_pydict(
+        {"file_key": [1] * 20 + [2] * (len(lines) - 20), "start": [0] * len(lines), "value": records.pa.array(lines, records.pa.binary())}
+    )
+    runs = [(of["file_key"], part) for of, part in records._runs(iter([batch]))]
+    assert [line for _, part in runs for line in part] == lines
+    assert [key for key, part in runs for _ in part] == batch.column("file_key").to_pylist()
+    assert all(len(part) == 1 or sum(map(len, part)) <= 1 << 21 for _, part in runs)

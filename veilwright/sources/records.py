@@ -24,8 +24,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import csv as arrow_csv, fs
+from pyarrow import compute as pc, csv as arrow_csv, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.ordered import PLACE
@@ -36,6 +37,7 @@ CELL_STARTS = b",\n\r"
 BOM = b"\xef\xbb\xbf"
 MOST_HEADERS = 1000  # different orders of columns in one read
 BLOCK = 1 << 14
+PART = 1 << 21  # bytes of lines that a task parses at once, whatever the length of lines
 FEW_LINES = 1000  # of a file that only Spark opens; a header has fewer
 FILES_AT_ONCE = 100
 PLACED = T.StructType().add("file", "string").add("start", "long").add("row", "long")
@@ -81,8 +83,18 @@ def _without_mark(data: bytes, mark: bytes) -> bytes:
     return data[data.index(b"\n") + 1 :] if mark and data.startswith(mark) else data
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes]]]:
-    """((all columns but the line), lines) of each run of rows of one range in a batch."""
+def _parts(lines: pa.Array) -> Iterator[list[bytes]]:
+    """The lines in parts of about ``PART`` bytes (one line at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, before + PART, side="right")))
+        yield lines.slice(at, to - at).to_pylist()
+        at, before = to, int(ends[to - 1])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+    """((all columns but the line), lines) of each run of rows of one range in a batch, in parts of bounded size."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,7 +104,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes
         lines = batch.column("value")
         for a, b in zip(cuts, cuts[1:]):
             first = {n: batch.column(n)[a].as_py() for n in batch.schema.names if n != "value"}
-            yield first, lines.slice(a, b - a).to_pylist()
+            for part in _parts(lines.slice(a, b - a)):
+                yield first, part
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
