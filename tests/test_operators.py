@@ -21,6 +21,7 @@ from veilwright.operators.ordered import profile_monotonic, with_position, with_
 from veilwright.operators.overview import column_info, dataset_overview
 from veilwright.operators.pca import fit_pca, kept_components, oriented, reconstruct
 from veilwright.operators.quantiles import exact_quantiles
+from veilwright.operators import quantiles
 from veilwright.operators.shape import profile_shape
 from veilwright.operators.strings import profile_strings
 
@@ -68,6 +69,21 @@ def test_shape(spark, small_rows):
     assert got["same"] == (0, 0, 0) and got["t"] == (0, 0, 0)
 
 
+@pytest.mark.parametrize("factor,shift", [(1e200, 0.0), (1e-200, 0.0), (1.0, 1e9)])
+def test_shape_does_not_depend_on_unit_and_origin(spark, factor, shift):
+    df = frame(spark, [x * factor + shift for x in (1.0, 2.0, 3.0, 10.0)])
+    got = rows(profile_shape(df), "column_name", "skewness", "kurtosis", "outlier_ratio")["x"]
+    assert got == (pytest.approx(1.018234, abs=1e-6), pytest.approx(-0.7696, abs=1e-4), 0.25)
+
+
+def test_two_passes_find_the_quartiles_of_keys(spark, monkeypatch):
+    passes, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: passes.append(narrow(*a)))
+    df = spark.range(1, 400_001, numPartitions=4)
+    found = quantiles.exact_quantiles(df, {"id": F.col("id")}, (0.25, 0.75), small_rows=0, few_rows=100)
+    assert found["id"] == [100_000.75, 300_000.25] and passes[0] <= 2
+
+
 def test_shape_of_one_value(spark):
     assert rows(profile_shape(frame(spark, [4.0, None]), ["x"]), "column_name", "skewness", "outlier_ratio")["x"] == (0, 0)
 

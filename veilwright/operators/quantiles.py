@@ -7,10 +7,11 @@ narrowing: each pass counts the values of the current bracket in equal buckets
 holding the wanted rank, until its lowest and highest value coincide. A bracket of
 few rows counts every value by itself, which settles it.
 
-A wide bracket is cut by the logarithms of its values, a narrow one by the values.
-Logarithms of doubles span less than 3,000, so two passes bring any bracket to
-values that differ by half a percent, and five more settle every bit of them:
-seven passes at most, whatever the data. NaN and infinities are missing values.
+A bracket whose ends differ by more than a factor of e^16 is cut by the logarithms
+of its values, a narrower one by the values. Logarithms of doubles span less than
+3,000, so one pass brings any bracket below that factor, and six more settle every
+bit of it: seven passes at most, whatever the data. NaN and infinities are missing
+values.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from ..functions.columns import finite, melt
 from .ranges import ColumnRange, column_ranges
 
 SMALL_ROWS = 250_000
-BUCKETS = 1024
+BUCKETS = 8192
 FEW_ROWS = 20_000
 ABOVE_SMALLEST = 746.0  # added to a logarithm, makes that of the smallest positive double positive
-WIDE = 0.01
+WIDE = 16.0  # logarithms that a bracket may span and still be cut by its values
 
 
 @dataclass
@@ -130,8 +131,10 @@ def _narrow(df: DataFrame, exprs: Mapping[str, Column], brackets: list[_Bracket]
 
         value, scale, low = F.col("value"), F.col("scale"), F.col("low")
         by_value = (value * scale - low * scale) / (F.col("high") * scale - low * scale)
-        start = magnitude_column(low)
-        by_magnitude = (magnitude_column(value) - start) / (magnitude_column(F.col("high")) - start)
+        # The bounds' logarithms are numbers of the range, so a value needs one logarithm.
+        start = of_range([_magnitude(low) for _, low, _, _ in ranges])
+        reach = of_range([_magnitude(high) - _magnitude(low) or 1.0 for _, low, high, _ in ranges])
+        by_magnitude = (magnitude_column(value) - start) / reach
         place = F.when(F.col("wide"), by_magnitude).otherwise(by_value)
         part = F.least(F.floor(place * BUCKETS).cast("double"), F.lit(float(BUCKETS - 1)))
         buckets = (
