@@ -112,6 +112,22 @@ def test_planted_items_are_found(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in found}
 
 
+def test_texts_are_read_once_for_all_passes(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(20)
+    texts = [r.text for r in documents(spark).orderBy("doc_id").limit(40).collect()] + [bench.first().text, "", None]
+    read = spark.sparkContext.accumulator(0)
+
+    def text_of(i):
+        read.add(1)
+        return texts[i]
+
+    docs = spark.range(len(texts)).select(F.col("id").alias("doc_id"), F.udf(text_of, "string")("id").alias("text"))
+    assert [r.doc_id for r in decontaminate.contaminated(docs, "doc_id", bench).collect()] == [40]
+    assert read.value == len(texts)
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {*range(len(texts))} - {40}
+    assert read.value == 2 * len(texts)
+
+
 def test_paraphrases_at_every_offset_are_found(spark):
     draw = random.Random(3)
     items = [(i, [f"i{i}x{k}" for k in range(n)]) for i, n in enumerate((64, 59, 40))]

@@ -9,13 +9,17 @@
    basis. Only matrices of (benchmark words x rank) and (rank x rank) are gathered.
 3. A candidate is a region of the text, the passage and an item's length on both
    sides, that holds as many of the item's words as the verification asks for;
-   words that weigh nothing count as held. Of a hit, the cosine of the projected
-   passages in the region with the projected item is given.
+   words that weigh nothing count as held. Only documents that hold as many as a
+   whole are looked at by region. Of a hit, the cosine of the projected passages in
+   the region with the projected item is given.
 4. Candidates are verified on the words: the longest common subsequence with the
    item, in the text around the passage, and the same for the item's answer, its
    last sentence. A large common subsequence is a copy; a smaller one together
    with the answer is a paraphrase.
 
+Texts are read once for a block of items and written as the numbers of the words
+that items hold; every later pass reads these numbers.
+
 Items are processed in blocks of ``BLOCK_BYTES`` of text, which bounds the model
 that tasks get. Items longer than a passage are cut up; any part counts. Items of
 fewer than ``SHORTEST`` words name nothing and are left out. Words are runs of
@@ -33,8 +37,10 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LETTERS, hashed_words, query, table, text_batches, utf8
+from ..session import stage
+from .common import LETTERS, fresh_name, hashed_words, query, table, text_batches, utf8
 
 PASSAGE = 64
 STEP = PASSAGE // 2
@@ -45,6 +51,7 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
 SHORTEST = 8
 BLOCK_BYTES = 2_000_000
 BATCH_CHARS = 1_000_000
+BATCH_WORDS = 200_000
 ROWS = 64  # terms in a row of a gathered matrix
 PIECE = 2048
 CELLS = 4_000_000  # pairs of region and item that are counted at once
@@ -86,7 +93,7 @@ class Items:
     ids: list[int | None]
     words: list[np.ndarray]
     answers: list[np.ndarray]
-    terms: np.ndarray  # all words in them, sorted
+    terms: np.ndarray  # all words in them and in their answers, sorted
     weighs: np.ndarray  # which of the terms count in the vectors
 
     @classmethod
@@ -101,7 +108,7 @@ class Items:
                 ids.append(item)
                 parts.append(part)
                 answers.append(answer_words(text) if pieces == 1 else part[-max(1, len(part) // 4) :])
-        terms = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+        terms = np.unique(np.concatenate([*parts, *answers])) if parts else np.empty(0, np.uint64)
         return cls(ids, parts, answers, terms, np.ones(len(terms), bool))
 
     def without_common(self, share: np.ndarray) -> Items:
@@ -115,7 +122,11 @@ class Items:
 
     @cached_property
     def lists(self) -> list[list[int]]:
-        return [w.tolist() for w in self.words]
+        return [self.number(w).tolist() for w in self.words]
+
+    @cached_property
+    def answer_lists(self) -> list[list[int]]:
+        return [self.number(w).tolist() for w in self.answers]
 
     @cached_property
     def holders(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,22 +149,42 @@ class Items:
         return np.where(self.terms[at] == words, at, -1)
 
 
-class Steps:
-    """The words of some texts in steps of ``STEP``; a passage is two steps of one document, or its only one."""
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and how often each occurs."""
+    pairs = np.sort(pairs)
+    start = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, int)
+    return pairs[start], np.diff(np.append(start, len(pairs)))
+
+
+def numbered(texts: list[str], items: Items) -> list[bytes]:
+    """Of each text, the words as numbers: 0 for words in no item, else the term's number from 1."""
+    data = [utf8(t.lower()) for t in texts]
+    starts, _, words = hashed_words(np.frombuffer(b"\n".join(data) + b"\n", np.uint8), LETTERS)
+    edges = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in data])).tolist()
+    numbers = (items.number(words) + 1).astype(_width(items))
+    return [numbers[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
-    def __init__(self, texts: list[str], items: Items):
-        data = [utf8(t.lower()) for t in texts]
-        starts, _, self.words = hashed_words(np.frombuffer(b"\n".join(data) + b"\n", np.uint8), LETTERS)
-        edges = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in data]))
-        self.first, count = edges[:-1], np.diff(edges)
+
+def _width(items: Items) -> str:
+    return "<u2" if len(items.terms) < 1 << 16 else "<u4"
+
+
+class Steps:
+    """The words of some texts (``numbered``) in steps of ``STEP``; a passage is two steps of one document, or its only one."""
+
+    def __init__(self, texts: list[bytes], items: Items):
+        width = np.dtype(_width(items))
+        #: The term number of each word, -1 for words in no item.
+        self.words = np.frombuffer(b"".join(texts), width).astype(np.int64) - 1
+        count = np.array([len(t) // width.itemsize for t in texts], np.int64)
+        self.first = np.cumsum(count) - count
         steps = -(-count // STEP)
         self.step_doc = np.repeat(np.arange(len(texts)), steps)
         self.step_of_doc = np.cumsum(steps) - steps
-        place = np.arange(len(self.words)) - np.repeat(self.first, count)
-        term = items.number(self.words)
-        known = np.flatnonzero((term >= 0) & items.weighs[term])
-        self.term = term[known]
-        self.step = (np.repeat(self.step_of_doc, count) + place // STEP)[known]
+        known = np.flatnonzero((self.words >= 0) & items.weighs[self.words])
+        self.term = self.words[known]
+        doc = np.repeat(np.arange(len(texts)), count)[known]
+        self.step = self.step_of_doc[doc] + (known - self.first[doc]) // STEP
         self.count = count
         self.steps = int(steps.sum())
 
@@ -167,7 +198,7 @@ class Steps:
     def weighted(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, term, weight) by passage; the weights of a passage have length 1."""
         passage = self.passages()[self.step]
-        pair, times = np.unique(passage * len(idf) + self.term, return_counts=True)
+        pair, times = _distinct(passage * len(idf) + self.term)
         passage, term = pair // len(idf), pair % len(idf)
         weight = times * idf[term]
         length = np.sqrt(np.bincount(passage, weights=weight**2))
@@ -203,16 +234,22 @@ def _add(parts: pa.Table) -> pa.Table:
     return pa.table({"part": parts["part"].slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
 
 
-def _gather(docs: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
-    """The sum over tasks of a matrix of the given shape; ``add(total, texts)`` adds a batch of texts to it."""
+def _batches(batches: Iterator[pa.RecordBatch], column: str, items: Items) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches whose numbered texts have about ``BATCH_WORDS`` words together."""
+    for batch, texts in text_batches(batches, column, BATCH_WORDS * np.dtype(_width(items)).itemsize):
+        yield batch, [t or b"" for t in texts]
+
+
+def _gather(docs: DataFrame, terms: str, shape: tuple[int, int], held, add) -> np.ndarray:
+    """The sum over tasks of a matrix of the given shape; ``add(total, steps)`` adds the steps of a batch to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for _, texts in text_batches(batches, "text", BATCH_CHARS):
-            add(total, texts)
+        for _, texts in _batches(batches, terms, held.value):
+            add(total, Steps(texts, held.value))
         yield from _matrix_rows(total)
 
-    sums = docs.select("text").mapInArrow(run, "part int, cells binary").groupBy("part").applyInArrow(_add, "part int, cells binary")
+    sums = docs.select(terms).mapInArrow(run, "part int, cells binary").groupBy("part").applyInArrow(_add, "part int, cells binary")
     out = np.zeros(shape)
     for row in sums.collect():
         cells = np.frombuffer(row["cells"], "<f8").reshape(-1, shape[1])
@@ -227,19 +264,32 @@ class Model:
     coordinates: np.ndarray  # (item passages, rank)
 
 
-def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model:
-    """Latent coordinates of the benchmark's words, from the passages of all documents."""
+def with_terms(docs: DataFrame, items: Items) -> tuple[DataFrame, str]:
+    """``docs`` (text and any others), written once with each text as term numbers, and that column's name."""
+    name = fresh_name(docs, "terms")
+    held = docs.sparkSession.sparkContext.broadcast(items)  # bounded by BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, "text", BATCH_CHARS):
+            terms = pa.array(numbered(texts, held.value), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, terms], [*batch.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
+    return stage(docs.mapInArrow(run, schema), "terms"), name
+
+
+def fit(docs: DataFrame, terms: str, items: Items, rank: int = RANK) -> Model:
+    """Latent coordinates of the benchmark's words, from the passages of all documents (their column ``terms``)."""
     spark, n = docs.sparkSession, len(items.terms)
     held = spark.sparkContext.broadcast(items)  # bounded by BLOCK_BYTES
 
-    def count(total: np.ndarray, texts: list[str]) -> None:
-        steps = Steps(texts, held.value)
+    def count(total: np.ndarray, steps: Steps) -> None:
         passage = steps.passages()
-        pair = np.unique(passage[steps.step] * n + steps.term)
+        pair, _ = _distinct(passage[steps.step] * n + steps.term)
         total[:n, 0] += np.bincount(pair % n, minlength=n)
         total[n, 0] += int(passage.max()) + 1 if len(passage) else 0
 
-    counts = _gather(docs, (n + 1, 1), count)[:, 0]
+    counts = _gather(docs, terms, (n + 1, 1), held, count)[:, 0]
     idf = np.log((1 + counts[n]) / (1 + counts[:n])) + 0.01
     items = items.without_common(counts[:n] / max(1, counts[n]))
     idf[~items.weighs] = 0
@@ -247,98 +297,121 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Model:
     width = min(rank + EXTRA, n)
     random = np.random.default_rng(SEED).standard_normal((n, width)).astype("f4")
 
-    def spread(total: np.ndarray, texts: list[str]) -> None:
-        passage, term, weight = Steps(texts, held.value).weighted(idf)
+    def spread(total: np.ndarray, steps: Steps) -> None:
+        passage, term, weight = steps.weighted(idf)
         if len(term):
             rows = _sum_rows(random, term, passage, int(passage[-1]) + 1, weight)
             order = np.argsort(term, kind="stable")
             total += _sum_rows(rows, passage[order], term[order], n, weight[order])
 
-    basis = np.linalg.qr(_gather(docs, (n, width), spread))[0].astype("f4")
+    basis = np.linalg.qr(_gather(docs, terms, (n, width), held, spread))[0].astype("f4")
 
-    def gram(total: np.ndarray, texts: list[str]) -> None:
-        passage, term, weight = Steps(texts, held.value).weighted(idf)
+    def gram(total: np.ndarray, steps: Steps) -> None:
+        passage, term, weight = steps.weighted(idf)
         if len(term):
             rows = _sum_rows(basis, term, passage, int(passage[-1]) + 1, weight)
             total += rows.T @ rows
 
-    _, turn = np.linalg.eigh(_gather(docs, (width, width), gram))
+    _, turn = np.linalg.eigh(_gather(docs, terms, (width, width), held, gram))
     project = (basis @ turn[:, ::-1][:, :rank] * idf[:, None]).astype("f4")
     coordinates = np.stack([project[items.number(w)].sum(axis=0) for w in items.words])
     return Model(items, project, coordinates)
 
 
+def _held(row: np.ndarray, term: np.ndarray, rows: int, items: Items) -> np.ndarray:
+    """How many of each item's words each row holds; (row, term) are distinct and known."""
+    start, item, times = items.holders
+    size = start[term + 1] - start[term]
+    at = np.arange(size.sum()) + np.repeat(start[term] - (np.cumsum(size) - size), size)
+    cell = np.repeat(row, size) * len(items.words) + item[at]
+    return np.bincount(cell, weights=times[at], minlength=rows * len(items.words)).reshape(rows, -1)
+
+
+def _able(row: np.ndarray, term: np.ndarray, rows: int, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, item) where a row holds enough of the item's words, some rows at a time; (row, term) ascend."""
+    some = max(1, CELLS // len(items.words))
+    for low in range(0, rows, some):
+        high = min(low + some, rows)
+        a, b = np.searchsorted(row, [low, high])
+        able, which = np.nonzero(_held(row[a:b] - low, term[a:b], high - low, items) >= items.needed)
+        yield able + low, which
+
+
 def _candidates(steps: Steps, items: Items, around: range) -> Iterator[tuple[int, int]]:
     """(step, item) where the region of the steps ``around`` it may hold the item."""
-    n, count = len(items.terms), len(items.words)
-    start, item, times = items.holders
-    pair = np.unique(steps.step * n + steps.term)
+    n = len(items.terms)
+    doc = steps.step_doc[steps.step]
+    pair, _ = _distinct(doc * n + steps.term)
+    hopeful = np.zeros(len(steps.first), bool)  # no region holds more than its document
+    for able, _ in _able(pair // n, pair % n, len(hopeful), items):
+        hopeful[able] = True
+    chosen = np.flatnonzero(hopeful[steps.step_doc])  # the steps looked at, numbered anew
+    number = np.full(steps.steps, -1)
+    number[chosen] = np.arange(len(chosen))
+    inside = hopeful[doc]
+    pair, _ = _distinct(number[steps.step[inside]] * n + steps.term[inside])
     step, term = pair // n, pair % n
+    of_doc = steps.step_doc[chosen]
     found = []
     for off in around:
         region = step - off
-        inside = (region >= 0) & (region < steps.steps)
-        inside[inside] = steps.step_doc[region[inside]] == steps.step_doc[step[inside]]
-        found.append(region[inside] * n + term[inside])
-    pair = np.unique(np.concatenate(found))
-    region, term = pair // n, pair % n
-    rows = max(1, CELLS // count)
-    for low in range(0, steps.steps, rows):
-        high = min(low + rows, steps.steps)
-        a, b = np.searchsorted(region, [low, high])
-        own = term[a:b]
-        size = start[own + 1] - start[own]
-        at = np.arange(size.sum()) + np.repeat(start[own] - (np.cumsum(size) - size), size)
-        cell = np.repeat(region[a:b] - low, size) * count + item[at]
-        held = np.bincount(cell, weights=times[at], minlength=(high - low) * count).reshape(-1, count)
-        able, which = np.nonzero(held >= items.needed)
-        yield from zip((able + low).tolist(), which.tolist())
-
-
-def _search(model: Model, texts: list[str]) -> Iterator[tuple[int, int | None, float, float, float]]:
-    """(text, item, cosine, LCS share, answer share) of every verified candidate."""
-    steps = Steps(texts, model.items)
+        real = (region >= 0) & (region < len(chosen))
+        real[real] = of_doc[region[real]] == of_doc[step[real]]
+        found.append(region[real] * n + term[real])
+    pair, _ = _distinct(np.concatenate(found))
+    for able, which in _able(pair // n, pair % n, len(chosen), items):
+        yield from zip(chosen[able].tolist(), which.tolist())
+
+
+def _cosine(model: Model, steps: Steps, low: int, high: int, item: int) -> float:
+    """The largest cosine of the item with a passage that starts in the steps from ``low`` to ``high``, all of one document."""
+    end = min(high + 1, steps.steps)
+    a, b = np.searchsorted(steps.step, [low, end])
+    passages = _sum_rows(model.project, steps.term[a:b], steps.step[a:b] - low, end - low)
+    follows = steps.step_doc[low + 1 : end] == steps.step_doc[low]
+    passages[:-1][follows] += passages[1:][follows].copy()
+    passages = passages[: high - low]
+    wanted = model.coordinates[item]
+    length = np.linalg.norm(passages, axis=1) * np.linalg.norm(wanted)
+    return float((passages @ wanted / np.maximum(length, 1e-12)).max())
+
+
+def _search(model: Model, texts: list[bytes]) -> Iterator[tuple[int, int | None, float, float, float]]:
+    """(text, item, cosine, LCS share, answer share) of every verified candidate; texts are ``numbered``."""
+    items = model.items
+    steps = Steps(texts, items)
     if not steps.steps:
         return
-    sums = _sum_rows(model.project, steps.term, steps.step, steps.steps)
-    follows = np.zeros(steps.steps, bool)
-    follows[:-1] = steps.step_doc[1:] == steps.step_doc[:-1]
-    passages = sums.copy()
-    passages[:-1][follows[:-1]] += sums[1:][follows[:-1]]
-    size = np.linalg.norm(model.coordinates, axis=1)
-    length = np.linalg.norm(passages, axis=1)
-    longest = max(map(len, model.items.words))
+    longest = max(map(len, items.words))
     around = range(-longest // STEP, -(-(PASSAGE + longest) // STEP))
     seen = set()
     last, text, present = -1, [], frozenset()
-    for at, item in _candidates(steps, model.items, around):
+    for at, item in _candidates(steps, items, around):
         doc = int(steps.step_doc[at])
         if (doc, item) in seen:
             continue
+        begin, begin_step = int(steps.first[doc]), int(steps.step_of_doc[doc])
+        end = begin + int(steps.count[doc])
         if at != last:
-            begin = int(steps.first[doc])
-            own = begin + (at - int(steps.step_of_doc[doc])) * STEP
-            text = steps.words[max(begin, own - longest) : min(begin + int(steps.count[doc]), own + PASSAGE + longest)].tolist()
+            own = begin + (at - begin_step) * STEP
+            text = steps.words[max(begin, own - longest) : min(end, own + PASSAGE + longest)].tolist()
             last, present = at, frozenset(text)
-        words = model.items.lists[item]
+        words = items.lists[item]
         if sum(map(present.__contains__, words)) < PARAPHRASE * len(words):  # no subsequence can be longer
             continue
         share = longest_common_subsequence(words, text) / len(words)
         if share < PARAPHRASE:
             continue
-        answer = model.items.answers[item]
-        answered = longest_common_subsequence(answer.tolist(), text) / len(answer)
+        answer = items.answer_lists[item]
+        answered = longest_common_subsequence(answer, text) / len(answer)
         if share >= COPY or answered >= ANSWER:
             seen.add((doc, item))
-            near = np.arange(max(0, at + around[0]), min(steps.steps, at + around[-1] + 1))
-            near = near[steps.step_doc[near] == doc]
-            dots = passages[near] @ model.coordinates[item]
-            cosine = float((dots / np.maximum(length[near] * size[item], 1e-12)).max())
-            yield doc, model.items.ids[item], cosine, share, answered
+            low, high = max(begin_step, at + around[0]), min(begin_step - (-int(steps.count[doc]) // STEP), at + around[-1] + 1)
+            yield doc, items.ids[item], _cosine(model, steps, low, high, item), share, answered
 
 
-def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
-    """A model for each block of items."""
+def blocks_of_items(benchmark: DataFrame) -> Iterator[Items]:
+    """The items, ``BLOCK_BYTES`` of text at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-int(total) // BLOCK_BYTES)
@@ -346,40 +419,43 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         items = Items.of([(r["item_id"], r["text"]) for r in part.collect()])
         if items.ids:
-            yield fit(docs, items)
+            yield items
 
 
 def contaminated(docs: DataFrame, key: str, benchmark: DataFrame) -> DataFrame:
     """key, item_id, cosine, lcs_share and answer_share of the documents that hold benchmark items."""
     spark = docs.sparkSession
     found = spark.createDataFrame([], HITS)
-    for model in models(docs, benchmark):
-        held = spark.sparkContext.broadcast(model)
+    for items in blocks_of_items(benchmark):
+        rows, terms = with_terms(docs.select(F.col(key).alias("key"), "text"), items)
+        held = spark.sparkContext.broadcast(fit(rows, terms, items))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch, texts in text_batches(batches, "text", BATCH_CHARS):
+        def run(batches: Iterator[pa.RecordBatch], held=held, terms=terms) -> Iterator[pa.RecordBatch]:
+            for batch, texts in _batches(batches, terms, held.value.items):
                 keys = batch.column("key").to_pylist()
                 hits = [(keys[doc], *rest) for doc, *rest in _search(held.value, texts)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 columns = [pa.array([h[i] for h in hits], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "item_id", "cosine", "lcs_share", "answer_share"])
 
-        found = found.union(docs.select(F.col(key).alias("key"), "text").mapInArrow(run, HITS))
+        found = found.union(rows.select("key", terms).mapInArrow(run, HITS))
     best = [F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")]
     return found.groupBy("key", "item_id").agg(*best).withColumnRenamed("key", key)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (text and any others) that hold no benchmark item."""
-    for model in models(docs, benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(model)
+    wanted = docs.columns
+    for items in blocks_of_items(benchmark):
+        rows, terms = with_terms(docs, items)
+        held = docs.sparkSession.sparkContext.broadcast(fit(rows, terms, items))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch, texts in text_batches(batches, "text", BATCH_CHARS):
+        def run(batches: Iterator[pa.RecordBatch], held=held, terms=terms) -> Iterator[pa.RecordBatch]:
+            for batch, texts in _batches(batches, terms, held.value.items):
                 hit = {doc for doc, *_ in _search(held.value, texts)}
-                yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
+                yield batch.select(wanted).filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = rows.mapInArrow(run, docs.schema)
     return docs
 
 
