@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -281,3 +282,25 @@ def test_levels_merge_geometrically():
         assert found.tolist() == want
     sizes = [len(level[0]) for level in family.levels]
     assert len(sizes) <= 9 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_neighbouring_suffixes_share_their_bytes(monkeypatch):
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(draw.choices(words, k=600)) for _ in range(20)]
+    texts[7:9] = [texts[3][100:900], "short"]
+    n = len(texts)
+    rows = pa.table({"doc_id": range(n), "row_id": range(n), "chunk": [0] * n, "text": texts})
+    chunk = suffix_levels.Texts(rows, 50)
+    lows, _ = chunk.lows()
+    hashed, known = [], suffix_levels.window_hashes
+    monkeypatch.setattr(suffix_levels, "window_hashes", lambda data, length: hashed.append(len(data)) or known(data, length))
+    chunk.take(np.ones(len(lows), bool))
+    assert len(chunk.at) == sum(max(0, len(t) - 49) for t in texts)
+    assert sum(hashed) <= 1.1 * sum(map(len, texts))  # not the 49 bytes after each run again
+    joined, first = "".join(texts), {}
+    for at in chunk.at.tolist():
+        first.setdefault(joined[at : at + 50], at)
+    doc = np.searchsorted(np.cumsum([len(t) for t in texts]), chunk.at, side="right")
+    of_first = np.searchsorted(np.cumsum([len(t) for t in texts]), [first[joined[a : a + 50]] for a in chunk.at], side="right")
+    assert chunk.found.tolist() == (of_first < doc).tolist() and chunk.found.any()

@@ -134,6 +134,14 @@ class SliceHash:
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * SliceHash._inverse[starts])
 
+    def windows(self, length: int) -> np.ndarray:
+        """Hashes of all slices of ``length`` symbols, which are not mixed."""
+        if len(self.sums) <= length:
+            return np.empty(0, U64)
+        out = self.sums[length:] - self.sums[:-length]
+        out *= SliceHash._inverse[: len(out)]
+        return out
+
 
 BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=U64))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chunks import U64, Chunked, answer, answers, bits, questions, replies_in_order, unpack
-from .common import BYTE_SYMBOLS, group_equal, mix, query, rolling_hash, table, utf8, window_minima
+from .common import BYTE_SYMBOLS, SliceHash, group_equal, mix, query, table, utf8, window_minima
 
 CHUNK_BYTES = 3_000_000
 PIECE = 1 << 16
@@ -48,6 +48,11 @@ def run_positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """The hash of every ``length`` consecutive bytes."""
+    return SliceHash(BYTE_SYMBOLS[data]).windows(length)
+
+
 def suffix_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
     """The hash of the first ``length`` bytes of each suffix in runs of consecutive suffixes."""
     out = np.empty(int(lengths.sum()), U64)
@@ -58,8 +63,8 @@ def suffix_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, len
         to = max(at + 1, int(np.searchsorted(done, before + PIECE, side="right")))
         count = lengths[at:to]
         spans = count + (length - 1)
-        joined = BYTE_SYMBOLS[data[run_positions(starts[at:to], spans)]]
-        out[before : done[to - 1]] = rolling_hash(joined, length)[run_positions(np.cumsum(spans) - spans, count)]
+        joined = data[run_positions(starts[at:to], spans)]
+        out[before : done[to - 1]] = window_hashes(joined, length)[run_positions(np.cumsum(spans) - spans, count)]
         at = to
     return out
 
@@ -67,10 +72,13 @@ def suffix_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, len
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the ``length`` bytes at ``a`` equal those at ``b``."""
     out = np.ones(len(a), bool)
+    width = 8 if length >= 8 else 1
+    words = np.ndarray(max(0, len(data) - width + 1), f"<u{width}", data, strides=(1,))  # one at every byte
+    steps = [*range(0, length - width, width), length - width]
     for at in range(0, len(a), BATCH):
-        i, j = a[at : at + BATCH, None], b[at : at + BATCH, None]
-        step = np.arange(length)
-        out[at : at + BATCH] = (data[i + step] == data[j + step]).all(axis=1)
+        i, j = a[at : at + BATCH], b[at : at + BATCH]
+        for step in steps:
+            out[at : at + BATCH] &= words[i + step] == words[j + step]
     return out
 
 
@@ -134,7 +142,7 @@ class Texts:
     def _runs(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         gram = min(GRAM, self.length)
         part = self.data[at : at + PIECE + self.length - 1]
-        low = window_minima(rolling_hash(BYTE_SYMBOLS[part], gram), self.length - gram + 1)
+        low = window_minima(window_hashes(part, gram), self.length - gram + 1)
         if not len(low):
             return np.empty(0, int), np.empty(0, int), low
         change = np.ones(len(low), bool)
@@ -151,22 +159,34 @@ class Texts:
 
     def lows(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct smallest hashes, and which of them two documents have."""
-        order = np.argsort(self.low, kind="stable")
+        order = np.argsort(self.low)
         low, doc = self.low[order], self.doc[order]
         first = np.ones(len(low), bool)
         first[1:] = low[1:] != low[:-1]
         starts = np.flatnonzero(first)
+        self.low_number = np.empty(len(low), np.int64)  # of each run
+        self.low_number[order] = np.cumsum(first) - 1
         if not len(starts):
             return low, np.empty(0, bool)
         return low[starts], np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
 
-    def take(self, repeated: np.ndarray, lows: np.ndarray) -> None:
-        """Work with the suffixes whose smallest hash is repeated; find what this chunk itself can tell."""
-        chosen = repeated[np.searchsorted(lows, self.low)] if len(lows) else np.empty(0, bool)
+    def _hashes(self, wanted: np.ndarray) -> np.ndarray:
+        """The hashes of the suffixes at the ascending places ``wanted``; neighbours share their bytes."""
+        out = [np.empty(0, U64)]
+        for at in range(0, len(self.data), PIECE):
+            a, b = np.searchsorted(wanted, [at, at + PIECE])
+            if a < b:
+                low, high = int(wanted[a]), int(wanted[b - 1]) + self.length
+                out.append(window_hashes(self.data[low:high], self.length)[wanted[a:b] - low])
+        return np.concatenate(out)
+
+    def take(self, repeated: np.ndarray) -> None:
+        """Work with the suffixes whose smallest hash (by number in ``lows``) is repeated; find what this chunk itself can tell."""
+        chosen = repeated[self.low_number]
         start, count, low = self.start[chosen], self.count[chosen], self.low[chosen]
         self.at = run_positions(start, count)
         self.of_low = np.repeat(low, count)
-        hashes = suffix_hashes(self.data, start, count, self.length) if len(start) else np.empty(0, U64)
+        hashes = self._hashes(self.at)
         first, self.group = group_equal(hashes)
         doc = np.repeat(self.doc[chosen], count)
         rank = self.rank[doc]
@@ -174,7 +194,9 @@ class Texts:
         hit = np.flatnonzero(self.found)
         self.found[hit] = same_bytes(self.data, self.at[hit], self.at[first][self.group[hit]], self.length)
         #: Asked: each distinct suffix, where it starts first.
-        self.first = np.sort(first)
+        once = np.zeros(len(hashes), bool)
+        once[first] = True
+        self.first = np.flatnonzero(once)
         self.asked_at, self.asked_low, self.asked_rank = self.at[self.first], self.of_low[self.first], rank[self.first]
         self.rank_of, self.same = rank, first
 
@@ -225,7 +247,7 @@ def _ask_second(length: int, buckets: int):
             return questions(0, np.empty(0, U64), buckets)
         texts = Texts(rows, length)
         lows, _ = texts.lows()
-        texts.take(bits(replies, FIRST, lows, buckets), lows)
+        texts.take(bits(replies, FIRST, lows, buckets))
         bucket, start, count, rank = texts.runs_asked(buckets)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
@@ -282,15 +304,16 @@ def _remove(length: int, buckets: int):
         if rows.num_rows:
             texts = Texts(rows, length)
             lows, _ = texts.lows()
-            texts.take(bits(replies, FIRST, lows, buckets), lows)
+            texts.take(bits(replies, FIRST, lows, buckets))
             bucket, _, count, _ = texts.runs_asked(buckets)
             totals = np.bincount(bucket, weights=count, minlength=buckets).astype(np.int64)
             got = [np.unpackbits(np.frombuffer(a, np.uint8), count=totals[b]) for b, a in replies_in_order(replies, SECOND)]
             removed = texts.removed(np.concatenate(got).astype(bool) if got else np.empty(0, bool))
-            change = np.zeros(len(texts.data) + 1, np.int32)
-            np.add.at(change, removed, 1)
-            np.add.at(change, removed + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            apart = np.flatnonzero(np.diff(removed) > length) + 1
+            gone = np.zeros(len(texts.data), bool)
+            if len(removed):
+                begin, end = removed[np.append(0, apart)], removed[np.append(apart, len(removed)) - 1] + length
+                gone[run_positions(begin, end - begin)] = True
             begin = 0
             for doc_id, text, end in zip(texts.doc_ids, texts.texts, texts.ends.tolist()):
                 own = gone[begin:end]
