@@ -93,6 +93,16 @@ def test_token_files(spark, docs, rows, none):
     same(token_files.token_files(none, BPE), [])
 
 
+def test_known_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_PIECES", 50)
+    texts = [" ".join(f"w{i * k}x" for i in range(40)) + " the end" for k in range(1, 12)]
+    for _ in range(2):
+        for text in texts:
+            assert token_files.token_arrays(BPE, [text])[0].tolist() == piece_text.whole_ids(BPE, text)
+    known = token_files._cache(BPE)
+    assert len(known.young) <= 50 and len(known.old) <= 50 and known.ids(" the") is known.young[" the"]
+
+
 def test_token_files_round_trip(spark, docs, rows, tmp_path):
     encode = piece_text.load_tokenizer(BPE).encode
     token_files.write_token_files(docs, BPE, str(tmp_path / "ids"), block_ids=500)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from ..session import scratch_path
 from .common import query, table, text_batches
 from .piece_text import Pieces, piece_ids, whole_ids
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 BLOCK_IDS = 4_000_000
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 200_000  # in each of two parts, about 200 bytes each
 END_ID = 0
 
 BLOCKS = (
@@ -92,22 +93,35 @@ def decode_ids(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray
 
 # --- writing ------------------------------------------------------------------
 
-_cache: dict[tuple[str, str], bytes] = {}
+class PieceCache:
+    """The ids of pieces met lately: a full part replaces the one before it, and what is met again moves on."""
 
+    def __init__(self, path: str):
+        self.path = path
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-def _ids_of(path: str, piece: str) -> bytes:
-    got = _cache.get((path, piece))
-    if got is None:
-        if len(_cache) >= CACHED_PIECES:
-            _cache.clear()
-        got = _cache[path, piece] = np.array(piece_ids(path, piece), "<u4").tobytes()
-    return got
+    def ids(self, piece: str) -> bytes:
+        got = self.young.get(piece)
+        if got is None:
+            got = self.old.get(piece)
+            if got is None:
+                got = np.array(piece_ids(self.path, piece), "<u4").tobytes()
+            if len(self.young) >= CACHED_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = got
+        return got
+
+
+@lru_cache(1)
+def _cache(path: str) -> PieceCache:
+    return PieceCache(path)
 
 
 def token_arrays(path: str, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
     """The ids of each text, with ``end_id`` after them if given."""
     pieces = Pieces(texts)
-    coded = [_ids_of(path, p) for p in pieces.distinct]
+    coded = [*map(_cache(path).ids, pieces.distinct)]
     length = np.array([len(c) // 4 for c in coded], np.int64)
     pool = np.frombuffer(b"".join(coded), "<u4")
     first = np.cumsum(length) - length
