@@ -82,6 +82,31 @@ def test_mixed_documents_keep_their_columns(spark):
     assert mixture.mix_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [mixture.FEW_SOURCES, 0])
+def test_mixed_documents_are_dealt_out_without_their_texts(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(mixture, "FEW_SOURCES", few)
+    draw = random.Random(6)
+    rows = [(i // 2, " ".join(["w"] * int(draw.lognormvariate(3, 1.5))), f"s{i % 5 if i % 3 else 0}") for i in range(3000)]
+    rows += [(7, "a b", "s1")] * 20 + [(None, "a b c", None), (None, "a b c", None), (1, None, "s1"), (2, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    sized = docs.select("doc_id", "source", mixture.word_count(F.col("text")).alias("size"))
+    copies = mixture.mix_copies(sized.withColumn("key", F.monotonically_increasing_id())).collect()
+    want = collections.Counter()
+    for r in copies:
+        want[r.doc_id, r.source, r.size] += r.copies
+    out = mixture.mix_documents(docs)
+    got = collections.Counter((r.doc_id, r.source, len((r.text or "").split())) for r in out.collect())
+    assert got == +want
+    if few:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the documents were many
+        try:
+            plan = mixture.mix_documents(docs)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Broadcast" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 # --- decontamination --------------------------------------------------------------
 
 

@@ -16,8 +16,13 @@ The random numbers are digests of the document ids, so reruns agree. Running
 sums go over about sqrt(rows) slices of the order and then inside each slice,
 so a source that holds a third of all rows is never sorted in one task.
 
+Each pass takes a first part of its source's order, so what it left to fill and
+the last row that it took (``source_cuts``) decide for every row by itself.
+``mix_documents`` counts words twice and shuffles no text.
+
 Null texts and texts without words have size 0. Null sources are a source, the
-last one. Rows with equal ids get equal numbers and are taken in order of size.
+last one. Rows with equal ids get equal numbers and are taken in order of size,
+then of ``key``.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ SHARE = 1.5
 MAX_COPIES = 2
 ROUNDS = 3
 SEED = "mix"
+ORDER = ("rank", "doc_id", "size", "key")
+FEW_SOURCES = 10_000  # sources whose cuts, a row of about 200 bytes each, go to every task
 
 
 def word_count(text: Column) -> Column:
@@ -71,8 +78,8 @@ def source_targets(
     return sources.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def _fill(rows: DataFrame, slices: int, label: str) -> DataFrame:
-    """Take, in rank order, the documents that fit into what is left of each source."""
+def _fill(rows: DataFrame, slices: int, number: int, label: str) -> DataFrame:
+    """Take, in rank order, the documents that fit into what is left of each source, in round ``number``."""
     left = rows.groupBy("source_no").agg(
         (F.first("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("left")
     )
@@ -89,62 +96,98 @@ def _fill(rows: DataFrame, slices: int, label: str) -> DataFrame:
         .agg(F.sum("size").alias("words"))
         .select("source_no", "slice", F.lit(True).alias("fits"), F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("before"))
     )
-    inside = Window.partitionBy("source_no", "fits", "slice").orderBy("rank", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("source_no", "fits", "slice").orderBy(*ORDER).rowsBetween(
         Window.unboundedPreceding, 0
     )
     taken = F.col("fits") & (F.col("before") + F.sum("size").over(inside) <= F.col("left"))
-    done = wide.join(before, ["source_no", "fits", "slice"], "left").withColumn(
-        "extra", F.col("extra") + F.coalesce(taken, F.lit(False)).cast("int")
-    )
+    done = wide.join(before, ["source_no", "fits", "slice"], "left").withColumn("taken", F.coalesce(taken, F.lit(False)))
+    done = done.withColumn("round", F.when(F.col("taken"), F.lit(number)).otherwise(F.col("round")))
+    done = done.withColumn("extra", F.col("extra") + F.col("taken").cast("int"))
     return stage(done.select(*rows.columns), label)
 
 
-def mix_copies(
+def _ranked(rows: DataFrame, seed: str, max_copies: int) -> DataFrame:
+    """whole and rank of rows that know their source's target and liked."""
+    due = F.col("target") / F.col("liked") * F.col("preference")
+    chance = F.col("due") - F.col("whole")
+    random = keyed_uniform(seed, "pareto", F.col("doc_id"))
+    return (
+        rows.withColumn("due", F.when(F.col("liked") > 0, F.least(due, F.lit(float(max_copies)))).otherwise(F.lit(0.0)))
+        .withColumn("whole", F.floor("due").cast("int"))
+        .withColumn("u", F.coalesce(random, F.lit(0.5)))
+        .withColumn("rank", F.when(chance > 0, F.col("u") / (1.0 - F.col("u")) / (chance / (1.0 - chance))))
+        .drop("u", "due")
+    )
+
+
+def _filled(
     rows: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     max_copies: int = MAX_COPIES,
     seed: str = SEED,
     rounds: int = ROUNDS,
-) -> DataFrame:
-    """``rows`` (key, doc_id, source, size and, if wanted, preference > 0) with source_size, target and copies."""
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``mix_copies`` with the round that took them, and the sources."""
     if "preference" not in rows.columns:
         rows = rows.withColumn("preference", F.lit(1.0))
     rows = stage(rows.select("key", "doc_id", "source", "size", "preference"), "sizes")
     sources = source_targets(rows, weights, share, max_copies)
     liked = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("preference")).alias("liked"))
     sources = sources.join(liked, sources["source"].eqNullSafe(liked["source"])).drop(liked["source"])
+    sources = stage(sources, "sources")  # one sum of the preferences for all who read it
     named = sources.withColumnRenamed("source", "source_name")
-    due = F.col("target") / F.col("liked") * F.col("preference")
-    chance = F.col("due") - F.col("whole")
-    random = keyed_uniform(seed, "pareto", F.col("doc_id"))
-    ranked = (
-        rows.join(named, rows["source"].eqNullSafe(named["source_name"]))
-        .drop("source_name")
-        .withColumn("due", F.when(F.col("liked") > 0, F.least(due, F.lit(float(max_copies)))).otherwise(F.lit(0.0)))
-        .withColumn("whole", F.floor("due").cast("int"))
-        .withColumn("u", F.coalesce(random, F.lit(0.5)))
-        .withColumn("rank", F.when(chance > 0, F.col("u") / (1.0 - F.col("u")) / (chance / (1.0 - chance))))
-        .withColumn("extra", F.lit(0))
-        .drop("u", "due", "preference", "liked")
-    )
-    ranked = stage(ranked, "ranked")
+    ranked = _ranked(rows.join(named, rows["source"].eqNullSafe(named["source_name"])).drop("source_name"), seed, max_copies)
+    ranked = ranked.withColumn("extra", F.lit(0)).withColumn("round", F.lit(None).cast("int"))
+    ranked = stage(ranked.drop("preference", "liked"), "ranked")
     slices = max(1, math.isqrt(ranked.count()))
-    for _ in range(rounds):
-        ranked = _fill(ranked, slices, "filled")
-    return ranked.withColumn("copies", F.col("whole") + F.col("extra"))
+    for number in range(rounds):
+        ranked = _fill(ranked, slices, number, "filled")
+    return ranked, sources
+
 
+def mix_copies(rows: DataFrame, **options) -> DataFrame:
+    """``rows`` (key, doc_id, source, size and, if wanted, preference > 0) with source_size, target and copies.
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    ``options``: weights, share, max_copies, seed and rounds.
+    """
+    filled, _ = _filled(rows, **options)
+    return filled.drop("round").withColumn("copies", F.col("whole") + F.col("extra"))
+
+
+def source_cuts(filled: DataFrame, sources: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``sources`` with what each round had left to fill (left0, ...) and the last row that it took (cut0, ...)."""
+    sums = []
+    for k in range(rounds):
+        before = F.coalesce(F.col("round") < k, F.lit(False)).cast("int")
+        sums.append((F.first("target") - F.sum((F.col("whole") + before) * F.col("size"))).alias(f"left{k}"))
+        sums.append(F.max(F.when(F.col("round") == k, F.struct(*ORDER))).alias(f"cut{k}"))
+    cuts = filled.groupBy("source_no").agg(*sums) if sums else filled.select("source_no").distinct()
+    return sources.join(cuts, "source_no").drop("source_no", "source_size")
+
+
+def mix_documents(
+    docs: DataFrame, max_copies: int = MAX_COPIES, seed: str = SEED, rounds: int = ROUNDS, **options
+) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source and any others), each as often as the mix takes it."""
     rows, key = with_row_id(docs, "mix")
-    sized = rows.select(F.col(key).alias("key"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = mix_copies(sized, **options).where("copies > 0").select(F.col("key").alias(key), "copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies_taken")))
-    counted = rows.join(copies.withColumnRenamed("copies", "copies_taken"), key)
-    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("copy")).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    named = rows.select(F.struct(*own).alias("row"), F.col(key).alias("key"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    filled, sources = _filled(named.drop("row"), max_copies=max_copies, seed=seed, rounds=rounds, **options)
+    if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        cuts = stage(source_cuts(filled, sources, rounds).withColumnRenamed("source", "source_name"), "cuts")
+        wide = named.join(F.broadcast(cuts), named["source"].eqNullSafe(cuts["source_name"]))
+        wide = _ranked(wide.withColumn("preference", F.lit(1.0)), seed, max_copies)
+        taken = F.lit(False)
+        for k in range(rounds):
+            taken = taken | F.coalesce((F.col("size") <= F.col(f"left{k}")) & (F.struct(*ORDER) <= F.col(f"cut{k}")), F.lit(False))
+        taken = F.col("rank").isNotNull() & taken
+        counted = wide.select("row", (F.col("whole") + taken.cast("int")).alias("copies"))
+    else:
+        copies = filled.select("key", (F.col("whole") + F.col("extra")).alias("copies"))
+        counted = named.drop("doc_id", "source", "size").join(copies.where("copies > 0"), "key")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return counted.where("copies > 0").select("row", times).select("row.*")
 
 
 def _round_sql(k: int) -> str:
