@@ -345,6 +345,12 @@ def test_effort_grows_with_the_vectors():
     assert neighbours.DEGREE < small[0] < large[0] and neighbours.BEAM < small[1] < large[1]
 
 
+def test_effort_of_a_query_hardly_grows():
+    for n in (10_256, 51_282, 1_000_000):
+        (degree, beam), (degree5, beam5) = neighbours.effort(n), neighbours.effort(5 * n)
+        assert degree5 * beam5 <= 1.5 * degree * beam and degree5**2 <= 1.6 * degree**2
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(table).orderBy("rank").collect()]

@@ -10,7 +10,9 @@ that were compared before are left out, and rounds end when few edges change.
 A query walks the graph greedily from its own vector's edges or, if its vector
 is not in the graph, from vectors with a similar code: the best candidates not
 yet visited are expanded by a join with the graph until the best ``beam`` are
-all visited.
+all visited. Most of a result comes from the graph itself, whose work is in
+proportion to the vectors; a walk mends it and compares about ``beam`` times the
+links of a vector at most, however many vectors there are.
 
 Equal vectors are one vector of the graph; of each, the smallest ids are kept as
 many as a result can need, so a vector that a third of all rows share costs no
@@ -21,6 +23,7 @@ part. Rows that repeat both id and vector are one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import count
 
@@ -36,8 +39,9 @@ REVERSE = 30
 TREES = 4
 BLOCK = 128
 FEW = 0.01  # changed edges, as a share of all, that end the rounds
-BEAM, EXPAND = 160, 40
-SMALL = 10_000  # vectors; above, the degree grows with the fourth root of their number and the beam with the square root
+BEAM, EXPAND = 80, 40
+SMALL = 10_000  # vectors; above, degree and beam grow with the logarithm of their number
+DEGREE_GROWTH, BEAM_GROWTH = 0.15, 0.05  # for each factor of e
 SALTS = 64
 CELLS = 2_000_000  # similarities that a task holds at once
 
@@ -207,8 +211,8 @@ def _compare_around(degree: int):
 
 def effort(n: int) -> tuple[int, int]:
     """Degree and beam for ``n`` vectors."""
-    times = max(1.0, n / SMALL)
-    return round(DEGREE * times**0.25), round(BEAM * times**0.5)
+    grown = math.log(max(1.0, n / SMALL))
+    return round(DEGREE * (1 + DEGREE_GROWTH * grown)), round(BEAM * (1 + BEAM_GROWTH * grown))
 
 
 def neighbour_graph(vectors: DataFrame, degree: int = DEGREE) -> DataFrame:
