@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("veilwright.llm")
@@ -351,6 +352,45 @@ def test_effort_of_a_query_hardly_grows():
         assert degree5 * beam5 <= 1.5 * degree * beam and degree5**2 <= 1.6 * degree**2
 
 
+def test_a_run_over_few_vectors_takes_few_tasks(spark):
+    """However many partitions shuffles have."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("neighbours", "")
+        table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+        assert len(neighbours.nearest(table).collect()) == 50
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("neighbours") for s in tracker.getJobInfo(j).stageIds}
+    found = [tracker.getStageInfo(s) for s in stages]
+    assert 0 < sum(s.numCompletedTasks for s in found if s) < 2_000
+
+
+def test_edges_are_merged_by_pair_and_known_ones_are_not_fresh():
+    edges = pa.array([[(5, 0.75, 1), (6, 0.5, 0)], [(1, 0.25, 1)], []], pa.list_(pa.struct([("other", pa.int64()), ("sim", pa.float32()), ("fresh", pa.int32())])))
+    new = pa.array([[(7, 0.625), (5, 0.76), (7, 0.6251)], None, [(2, 0.5)]], pa.list_(pa.struct([("other", pa.int64()), ("sim", pa.float32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 5, 9]), pa.array([b"a", b"b", b"c"]), edges, new], ["node", "unit", "edges", "found"])
+    rows = [r for b in neighbours._keep_best(2)(iter([batch.slice(0, 1), batch.slice(1)])) for r in b.to_pylist()]
+    assert [[(e["other"], e["fresh"]) for e in r["edges"]] for r in rows] == [[(5, 0), (7, 1)], [(1, 0)], [(2, 1)]]
+    assert [r["worst"] for r in rows] == [pytest.approx(0.6251), -2, -2]  # a list that is not full takes any
+
+
+def test_a_vector_that_fell_out_of_a_beam_does_not_come_back():
+    unit = {i: np.array([np.cos(t), np.sin(t)], "<f4").tobytes() for i, t in enumerate((0.1, 0.2, 0.3, 0.4))}
+    walk = pa.table({"query": [1], "wanted": [np.array([1, 0], "<f4").tobytes()], "beam": pa.array([[]], pa.list_(pa.struct([("node", pa.int64()), ("sim", pa.float32()), ("visited", pa.int32())])))})
+    for nodes, kept in (([3], [(3, 0)]), ([2, 1], [(1, 0), (2, 0)]), ([3, 2, 0], [(0, 0), (1, 1)]), ([3], [(0, 1), (1, 1)]), ([], [(0, 1), (1, 1)])):
+        offered = pa.table({"walk": pa.array([1] * len(nodes), pa.int64()), "node": pa.array(nodes, pa.int64()), "unit": pa.array([unit[n] for n in nodes], pa.binary())})
+        walk = neighbours._walk(2)(walk, offered)
+        assert [(x["node"], x["visited"]) for x in walk["beam"].to_pylist()[0]] == kept
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(table).orderBy("rank").collect()]

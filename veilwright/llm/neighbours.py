@@ -3,16 +3,18 @@
 The graph holds, for each distinct vector, its ``degree`` nearest found so far.
 It starts from vectors that are neighbours in the order of random hyperplane
 codes. Each round then compares, around every vector, its neighbours with each
-other: neighbours of neighbours are likely neighbours. A round is a join of the
-graph's edges, both ways, with the vectors, and a top list for each vector. Pairs
-that were compared before are left out, and rounds end when few edges change.
-
-A query walks the graph greedily from its own vector's edges or, if its vector
-is not in the graph, from vectors with a similar code: the best candidates not
-yet visited are expanded by a join with the graph until the best ``beam`` are
-all visited. Most of a result comes from the graph itself, whose work is in
-proportion to the vectors; a walk mends it and compares about ``beam`` times the
-links of a vector at most, however many vectors there are.
+other: neighbours of neighbours are likely neighbours. A round gathers the edges,
+both ways, by centre, joins them with the vectors, and merges what it finds into
+the list of each vector, which is one row. Pairs that were compared before are
+left out, and rounds end when few edges change.
+
+A query walks the graph greedily from a vector of the graph, its own: the best
+candidates not yet visited are expanded by a join with the graph until the best
+``beam`` are all visited. Its beam is one row; a vector that fell out of it and is
+met again is compared again and falls out again, as the beam only gets better.
+Most of a result comes from the graph itself, whose work is in proportion to the
+vectors; a walk mends it and visits hardly more vectors than ``beam``, however
+many there are.
 
 Equal vectors are one vector of the graph; of each, the smallest ids are kept as
 many as a result can need, so a vector that a third of all rows share costs no
@@ -44,8 +46,11 @@ SMALL = 10_000  # vectors; above, degree and beam grow with the logarithm of the
 DEGREE_GROWTH, BEAM_GROWTH = 0.15, 0.05  # for each factor of e
 SALTS = 64
 CELLS = 2_000_000  # similarities that a task holds at once
+LEAST_VECTORS, LEAST_WALKS = 256, 8  # of a task; it costs more than to work on fewer
 
-EDGES = "node long, other long, sim float"
+GRAPH = "node long, unit binary, edges array<struct<other:long,sim:float,fresh:int>>, worst float"
+FOUND = "node long, found array<struct<other:long,sim:float>>"
+WALKS = "query long, wanted binary, beam array<struct<node:long,sim:float,visited:int>>"
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dtype="<f4") -> np.ndarray:
@@ -71,10 +76,18 @@ def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) -> np.
     return order[place < most]
 
 
-def _edges(node, other, sim) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(sim, pa.float32())], ["node", "other", "sim"]
-    )
+def _lists(lengths: np.ndarray, **values: np.ndarray) -> pa.ListArray:
+    """Lists of structs of ``values``, which lie in the order of the lists."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i4")
+    arrays = [pa.array(v, {"sim": pa.float32(), "fresh": pa.int32(), "visited": pa.int32()}.get(k, pa.int64())) for k, v in values.items()]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, list(values)))
+
+
+def _found(node: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of equal nodes."""
+    start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    lists = _lists(np.diff(np.append(start, len(node))), other=other, sim=sim)
+    return pa.RecordBatch.from_arrays([pa.array(node[start], pa.int64()), lists], ["node", "found"])
 
 
 # --- distinct vectors ---------------------------------------------------------------
@@ -120,6 +133,11 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return named.mapInArrow(_add_unit, "node long, ids array<long>, raw binary, unit binary")
 
 
+def _fewer_tasks(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` in at most so many partitions, or as many as there are cores. Rows of a former one stay together, in order."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, tasks))
+
+
 # --- the graph ------------------------------------------------------------------------
 
 
@@ -127,39 +145,72 @@ def _planes(size: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((size, 32)).astype("<f4")
 
 
-def _codes(seed: int):
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector once for each tree, with its code there."""
+    for batch in batches:
+        for tree in range(TREES if batch.num_rows else 0):
+            unit = _matrix(batch.column("unit"))
+            code = (unit @ _planes(unit.shape[1], tree) > 0) @ (np.int64(1) << np.arange(32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(code), tree), pa.int32()), pa.array(code, pa.int64())],
+                [*batch.schema.names, "tree", "code"],
+            )
+
+
+def _compare_blocks(degree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best pairs among about ``BLOCK`` consecutive vectors of a tree."""
         for batch in batches:
-            if batch.num_rows:
-                unit = _matrix(batch.column("unit"))
-                code = (unit @ _planes(unit.shape[1], seed) > 0) @ (np.int64(1) << np.arange(32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.int64())], [*batch.schema.names, "code"])
+            if not batch.num_rows:
+                continue
+            node, unit, tree = batch.column("node").to_numpy(), _matrix(batch.column("unit")), batch.column("tree").to_numpy()
+            cuts = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), len(node)]
+            for low, high in zip(cuts, cuts[1:]):
+                ends = np.linspace(low, high, max(1, round((high - low) / BLOCK)) + 1).astype(int)
+                for at, to in zip(ends, ends[1:]):
+                    own = node[at:to]
+                    sims = unit[at:to] @ unit[at:to].T
+                    np.fill_diagonal(sims, -2)
+                    most = min(degree, len(own) - 1)
+                    if most:
+                        top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+                        yield _found(np.repeat(own, most), own[top].ravel(), np.take_along_axis(sims, top, 1).ravel())
 
     return run
 
 
-def _compare_blocks(degree: int):
+def _keep_best(degree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best pairs among ``BLOCK`` consecutive vectors."""
+        """The best ``degree`` distinct edges of each node, best first; those that it had are not fresh."""
         for batch in batches:
-            node, unit = batch.column("node").to_numpy(), _matrix(batch.column("unit")) if batch.num_rows else None
-            for at in range(0, len(node), BLOCK):
-                own = node[at : at + BLOCK]
-                sims = unit[at : at + BLOCK] @ unit[at : at + BLOCK].T
-                np.fill_diagonal(sims, -2)
-                most = min(degree, len(own) - 1)
-                if most:
-                    top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-                    yield _edges(np.repeat(own, most), own[top].ravel(), np.take_along_axis(sims, top, 1).ravel())
+            if not batch.num_rows:
+                continue
+            lists = [batch.column(c) for c in ("edges", "found")]
+            had, new = (x.flatten() for x in lists)
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), x.value_lengths().fill_null(0).to_numpy()) for x in lists])
+            other, sim = (np.concatenate([had.field(k).to_numpy(), new.field(k).to_numpy()]) for k in ("other", "sim"))
+            fresh = np.repeat([0, 1], [len(had), len(new)])
+            order = np.lexsort((-sim, fresh, other, row))
+            first = np.ones(len(order), bool)
+            first[1:] = (row[order[1:]] != row[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+            order = order[first]
+            order = order[best(row[order], other[order], sim[order], degree)]
+            size = np.bincount(row[order], minlength=batch.num_rows)
+            worst = np.full(batch.num_rows, -2.0)
+            full = size >= degree
+            worst[full] = sim[order][np.cumsum(size)[full] - 1]
+            edges = _lists(size, other=other[order], sim=sim[order], fresh=fresh[order])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("unit"), edges, pa.array(worst, pa.float32())], ["node", "unit", "edges", "worst"]
+            )
 
     return run
 
 
-def _top(edges: DataFrame, degree: int) -> DataFrame:
-    """The best ``degree`` distinct edges of each node; ``fresh`` is false if any copy says so."""
-    once = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
-    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= degree).drop("place")
+def _merged(graph: DataFrame, found: DataFrame, degree: int, tasks: int) -> DataFrame:
+    lists = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("found"))
+    rows = graph.join(lists, "node", "left").select("node", "unit", "edges", "found")
+    return stage(_fewer_tasks(rows, tasks).mapInArrow(_keep_best(degree), GRAPH), "graph")
 
 
 def _compare_around(degree: int):
@@ -202,9 +253,8 @@ def _compare_around(degree: int):
             found.append((node[place[i, a]], node[place[i, b]], sims[i, a, b]))
         one, other, sim = (np.concatenate(x) for x in zip(*found))
         kept = best(one, other, sim, degree)
-        for at in range(0, len(kept), 100_000):
-            k = kept[at : at + 100_000]
-            yield _edges(one[k], other[k], sim[k])
+        if len(kept):
+            yield _found(one[kept], other[kept], sim[kept])
 
     return run
 
@@ -217,50 +267,52 @@ def effort(n: int) -> tuple[int, int]:
 
 def neighbour_graph(vectors: DataFrame, degree: int = DEGREE) -> DataFrame:
     """node, other, sim: about the ``degree`` nearest others of each vector (node, unit)."""
-    units = vectors.select("node", "unit")
-    start = None
-    for seed in range(TREES):
-        coded = units.mapInArrow(_codes(seed), "node long, unit binary, code long")
-        ordered = coded.repartitionByRange("code", "node").sortWithinPartitions("code", "node").drop("code")
-        found = ordered.mapInArrow(_compare_blocks(degree), EDGES)
-        start = found if start is None else start.union(found)
-    graph = stage(_top(start.withColumn("fresh", F.lit(1)), degree), "graph")
-    total = graph.count()
+    tasks = vectors.count() // LEAST_VECTORS
+    coded = vectors.select("node", "unit").mapInArrow(_codes, "node long, unit binary, tree int, code long")
+    ordered = coded.repartitionByRange("tree", "code", "node").sortWithinPartitions("tree", "code", "node").drop("code")
+    bare = vectors.select("node", "unit", F.array().cast("array<struct<other:long,sim:float,fresh:int>>").alias("edges"))
+    graph = _merged(bare, _fewer_tasks(ordered, tasks).mapInArrow(_compare_blocks(degree), FOUND), degree, tasks)
+    total = graph.agg(F.sum(F.size("edges"))).first()[0] or 0
     for number in count():  # ends, as edges only get better
-        worst = graph.groupBy("node").agg(
-            F.when(F.count(F.lit(1)) >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst")
-        )
-        known = units.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
-        forth = graph.select(F.col("node").alias("centre"), F.col("other").alias("node"), "fresh")
+        edges = graph.select("node", F.inline("edges"))
+        forth = edges.select(F.col("node").alias("centre"), F.col("other").alias("node"), "fresh", F.lit(0).alias("back"))
+        forth = forth.withColumn("drawn", F.lit(0).cast("long"))
         drawn = F.xxhash64("node", "other", F.lit(number))
-        back = graph.select(F.col("other").alias("centre"), "node", "fresh", drawn.alias("drawn"))
-        back = back.withColumn("salt", F.pmod("drawn", F.lit(SALTS)))
-        by_salt = Window.partitionBy("centre", "salt").orderBy(F.desc("fresh"), "drawn")
-        by_centre = Window.partitionBy("centre").orderBy(F.desc("fresh"), "drawn")
-        back = back.withColumn("place", F.row_number().over(by_salt)).where(F.col("place") <= max(REVERSE, degree))
-        back = back.withColumn("place", F.row_number().over(by_centre)).where(F.col("place") <= max(REVERSE, degree))
-        around = forth.union(back.select("centre", "node", "fresh"))
+        back = edges.select(F.col("other").alias("centre"), "node", "fresh", F.lit(1).alias("back"), drawn.alias("drawn"))
+        # All that lead from the centre, and enough of those that lead to it; each task sends no more than that on.
+        order = Window.partitionBy("centre").orderBy("back", F.desc("fresh"), "drawn")
+        around = forth.union(back).withColumn("place", F.row_number().over(order))
+        around = around.where(F.col("place") <= degree + max(REVERSE, degree))
         around = around.groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
-        rows = around.join(known, "node").select("centre", "node", "fresh", "worst", "unit")
-        rows = rows.repartition("centre").sortWithinPartitions("centre")
-        better = rows.mapInArrow(_compare_around(degree), EDGES).withColumn("fresh", F.lit(1))
-        graph = stage(_top(graph.withColumn("fresh", F.lit(0)).unionByName(better), degree), "graph")
-        changed = graph.agg(F.sum("fresh")).first()[0] or 0
+        rows = around.join(graph.select("node", "worst", "unit"), "node").select("centre", "node", "fresh", "worst", "unit")
+        rows = _fewer_tasks(rows.repartition("centre").sortWithinPartitions("centre"), tasks)
+        graph = _merged(graph, rows.mapInArrow(_compare_around(degree), FOUND), degree, tasks)
+        changed = graph.select(F.inline("edges")).agg(F.sum("fresh")).first()[0] or 0
         if changed <= FEW * total:
             break
-    return graph.drop("fresh")
+    return graph.select("node", F.inline("edges")).drop("fresh")
 
 
 # --- search -----------------------------------------------------------------------------
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sims = np.einsum("ij,ij->i", _matrix(batch.column("wanted")), _matrix(batch.column("unit")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("node"), pa.array(sims, pa.float32())], ["query", "node", "sim"]
-            )
+def _walk(beam: int):
+    def run(walk: pa.Table, offered: pa.Table) -> pa.Table:
+        """A walk after a turn: its best unvisited are visited, and what they led to is in the beam if it is good enough."""
+        held = walk["beam"].combine_chunks().flatten()
+        node, sim, visited = (held.field(k).to_numpy().copy() for k in ("node", "sim", "visited"))
+        visited[np.flatnonzero(visited == 0)[:EXPAND]] = 1  # best first
+        if offered.num_rows:
+            new = offered["node"].to_numpy()
+            sims = _matrix(offered["unit"]) @ _matrix(walk["wanted"])[0]
+            add = ~np.isin(new, node)
+            node, sim = np.concatenate([node, new[add]]), np.concatenate([sim, sims[add]])
+            visited = np.concatenate([visited, np.zeros(add.sum(), visited.dtype)])
+        order = np.lexsort((node, -sim))[:beam]
+        lists = _lists(np.array([len(order)]), node=node[order], sim=sim[order], visited=visited[order])
+        return pa.table({"query": walk["query"], "wanted": walk["wanted"], "beam": lists})
+
+    return run
 
 
 def greedy_search(
@@ -270,35 +322,24 @@ def greedy_search(
     units = vectors.select("node", "unit")
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim")
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
-    back = back.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)))
-    salted = Window.partitionBy("node", "salt").orderBy(F.desc("sim"), "other")
-    back = back.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= reverse)
-    back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reverse)
-    links = stage(graph.select("node", "other").union(back.select("node", "other")).distinct(), "links")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(queries.select("query", "wanted"), "query").join(units, "node")
-        return rows.select("query", "wanted", "node", "unit").mapInArrow(_score, "query long, node long, sim float")
-
-    begin = scored(queries.select("query", F.col("start").alias("node")))
-    found = stage(begin.withColumn("visited", F.lit(0)), "found")
+    back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reverse)  # each task sends no more on
+    links = graph.select("node", "other").union(back.select("node", "other"))
+    links = stage(links.groupBy("node").agg(F.collect_set("other").alias("links")), "links")
+
+    tasks = queries.count() // LEAST_WALKS
+    walks = queries.select("query", "wanted", F.array().cast("array<struct<node:long,sim:float,visited:int>>").alias("beam"))
+    offered = queries.select("query", F.col("start").alias("node"))
     while True:  # ends, as each turn visits vectors for good
-        by_query = Window.partitionBy("query", "visited").orderBy(F.desc("sim"), "node")
-        turn = found.withColumn("turn", (F.col("visited") == 0) & (F.row_number().over(by_query) <= EXPAND))
-        expanded = turn.where("turn").select("query", "node").join(links, "node")
-        new = expanded.select("query", F.col("other").alias("node")).distinct().join(
-            found.select("query", "node"), ["query", "node"], "left_anti"
-        )
-        now = turn.select("query", "node", "sim", F.when(F.col("turn"), 1).otherwise(F.col("visited")).alias("visited"))
-        now = now.unionByName(scored(new).withColumn("visited", F.lit(0)))
-        top = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-        # What falls out of the beam is remembered as visited, so that it is not scored again.
-        now = now.withColumn("visited", F.when(F.row_number().over(top) > beam, 1).otherwise(F.col("visited")))
-        found = stage(now, "found")
-        if found.where("visited = 0").isEmpty():
+        rows = offered.join(units, "node").select(F.col("query").alias("walk"), "node", "unit")
+        after = walks.groupBy("query").cogroup(rows.groupBy("walk")).applyInArrow(_walk(beam), WALKS)
+        walks = stage(_fewer_tasks(after, tasks), "walks")
+        if walks.where(F.exists("beam", lambda x: x["visited"] == 0)).isEmpty():
             break
-    top = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= beam).drop("place", "visited")
+        turn = F.slice(F.filter("beam", lambda x: x["visited"] == 0), 1, EXPAND)
+        expanded = walks.select("query", F.explode(turn["node"]).alias("node")).join(links, "node")
+        offered = expanded.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("nodes"))
+        offered = offered.select("query", F.explode("nodes").alias("node"))
+    return walks.select("query", F.inline("beam")).drop("visited")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
