@@ -173,6 +173,64 @@ def test_paraphrases_at_every_offset_are_found(spark):
     assert found == {(d, i) for d, i, _ in rows}
 
 
+def leaks(draw, items, offsets, shares):
+    """(item, text): an item at some offset in a text that holds words of other items too, some of its words changed."""
+    pool = [w for _, words in items for w in words]
+    for item, words in items:
+        for offset in offsets:
+            for share in shares:
+                changed = list(words)
+                free = len(words) - max(1, -(-len(words) // 4))  # the answer stays
+                for at in draw.sample(range(free), int((1 - share) * len(words))):
+                    changed[at] = f"c{at}"
+                host = [draw.choice(pool) if draw.random() < 0.2 else f"h{draw.randrange(9999)}" for _ in range(200)]
+                yield item, " ".join(host[: 64 + offset] + changed + host[64 + offset :])
+
+
+def test_projected_passages_retrieve_items(spark, monkeypatch):
+    draw = random.Random(7)
+    items = [(i, [f"i{i}x{k}" for k in range(n)]) for i, n in enumerate((64, 59, 40, 25) * 5)]
+    rows = list(leaks(draw, items, range(0, 64, 7), (0.66, 0.75, 1)))
+    docs = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    (block,) = decontaminate.blocks_of_items(bench)
+    model = decontaminate.fit(*decontaminate.with_terms(docs, block), block)
+    texts = decontaminate.numbered([t for _, t in rows], block)
+    found = lambda m: {(doc, item) for doc, item, *_ in decontaminate._search(m, texts)}
+    want = {(doc, item) for doc, (item, _) in enumerate(rows)}
+    blind = decontaminate.replace(model, project=0 * model.project, coordinates=0 * model.coordinates)
+    assert found(model) == found(blind) == want  # what the projection does not show is found by its words
+    monkeypatch.setattr(decontaminate, "_candidates", lambda *_: iter(()))
+    assert len(found(model) & want) >= 0.9 * len(want) and found(model) <= want
+    assert found(blind) == set()
+
+
+def test_shares_are_the_largest_of_all_regions(spark):
+    draw = random.Random(8)
+    items = [(i, [f"i{i}x{k}" for k in range(n)]) for i, n in enumerate((64, 40, 15))]
+    rows = [(d, i, t) for d, (i, t) in enumerate(leaks(draw, items, range(0, 64, 5), (0.7, 0.9, 1)))]
+    words = dict(items)
+    altered = [f"p{k}" for k in range(10)] + words[0][10:] + ["gap"] * 300
+    rows.append((len(rows), 0, " ".join(altered + words[0])))
+    docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.lcs_share, r.answer_share) for r in decontaminate.contaminated(docs, "doc_id", bench).collect()}
+    lcs, step, longest = decontaminate.longest_common_subsequence, decontaminate.STEP, 64
+    want = {}
+    for d, _, text in rows:
+        text = text.split()
+        for i, item in items:
+            answer = item[-len(item) // 4 :]
+            for own in range(0, len(text), step):
+                region = text[max(0, own - longest) : own + decontaminate.PASSAGE + longest]
+                pair = lcs(item, region) / len(item), lcs(answer, region) / len(answer)
+                if pair[0] >= decontaminate.COPY or pair[0] >= decontaminate.PARAPHRASE and pair[1] >= decontaminate.ANSWER:
+                    want[d, i] = tuple(map(max, want.get((d, i), pair), pair))
+    assert found == want
+    assert {(d, i) for d, i, _ in rows} <= want.keys()
+    assert decontaminate.drop_contaminated(docs, bench).count() == 0
+
+
 def test_clean_documents_stay(spark):
     words = [f"word{i}" for i in range(400)]
     draw = random.Random(4)

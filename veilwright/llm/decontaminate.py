@@ -7,15 +7,17 @@
 2. A randomised SVD of the passage matrix A, without building it: the tasks add up
    A'A times a random matrix, and then the Gram matrix of A times its orthonormal
    basis. Only matrices of (benchmark words x rank) and (rank x rank) are gathered.
-3. A candidate is a region of the text, the passage and an item's length on both
-   sides, that holds as many of the item's words as the verification asks for;
-   words that weigh nothing count as held. Only documents that hold as many as a
-   whole are looked at by region. Of a hit, the cosine of the projected passages in
-   the region with the projected item is given.
+3. Overlapping passages are projected and compared with the projected items; those
+   with a cosine of ``COSINE`` are retrieved. The projection keeps a part of each
+   passage only, so other passages are candidates too if their region, the passage
+   and an item's length on both sides, holds as many of the item's words as the
+   verification asks for; words that weigh nothing count as held. Documents that
+   hold fewer as a whole have no candidates.
 4. Candidates are verified on the words: the longest common subsequence with the
    item, in the text around the passage, and the same for the item's answer, its
    last sentence. A large common subsequence is a copy; a smaller one together
-   with the answer is a paraphrase.
+   with the answer is a paraphrase. All candidates of a document and an item are
+   verified, and the largest cosine and shares of those that hold are given.
 
 Texts are read once for a block of items and written as the numbers of the words
 that items hold; every later pass reads these numbers.
@@ -33,6 +35,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,7 @@ PASSAGE = 64
 STEP = PASSAGE // 2
 RANK, EXTRA = 128, 16
 SEED = 11
+COSINE = 0.3
 COMMON, RARE_WORDS = 0.1, 5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
 SHORTEST = 8
@@ -56,6 +60,7 @@ ROWS = 64  # terms in a row of a gathered matrix
 PIECE = 2048
 CELLS = 4_000_000  # pairs of region and item that are counted at once
 SLACK = 1e-9  # of a bound, for rounding
+NEAR = 1e-4  # of a cosine, for rounding
 
 HITS = "key long, item_id long, cosine double, lcs_share double, answer_share double"
 
@@ -337,14 +342,48 @@ def _able(row: np.ndarray, term: np.ndarray, rows: int, items: Items) -> Iterato
         yield able + low, which
 
 
-def _candidates(steps: Steps, items: Items, around: range) -> Iterator[tuple[int, int]]:
+def _holding(steps: Steps, items: Items) -> np.ndarray:
+    """Ascending document * items + item where the document as a whole holds enough of the item; no region holds more."""
+    n = len(items.terms)
+    pair, _ = _distinct(steps.step_doc[steps.step] * n + steps.term)
+    found = [doc * len(items.words) + which for doc, which in _able(pair // n, pair % n, len(steps.first), items)]
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _projected(model: Model, steps: Steps) -> np.ndarray:
+    """The latent vector of the passage that starts in each step."""
+    out = _sum_rows(model.project, steps.term, steps.step, steps.steps)
+    follows = steps.step_doc[1:] == steps.step_doc[:-1]
+    out[:-1][follows] += out[1:][follows].copy()
+    return out
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1; null vectors stay."""
+    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    return vectors / np.maximum(length, 1e-12)[:, None]
+
+
+def _retrieved(passages: np.ndarray, wanted: np.ndarray, steps: Steps, holding: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(step, item) where the passage is close to the item (rows of length 1), in documents that hold enough of it."""
+    count = len(wanted)
+    some = max(1, CELLS // count)
+    for low in range(0, steps.steps, some):
+        step, item = np.nonzero(passages[low : low + some] @ wanted.T >= COSINE)
+        step += low
+        pair = steps.step_doc[step] * count + item
+        at = np.searchsorted(holding, pair)
+        real = at < len(holding)
+        real[real] = holding[at[real]] == pair[real]
+        yield from zip(step[real].tolist(), item[real].tolist())
+
+
+def _candidates(steps: Steps, items: Items, around: range, holding: np.ndarray) -> Iterator[tuple[int, int]]:
     """(step, item) where the region of the steps ``around`` it may hold the item."""
     n = len(items.terms)
     doc = steps.step_doc[steps.step]
-    pair, _ = _distinct(doc * n + steps.term)
-    hopeful = np.zeros(len(steps.first), bool)  # no region holds more than its document
-    for able, _ in _able(pair // n, pair % n, len(hopeful), items):
-        hopeful[able] = True
+    hopeful = np.zeros(len(steps.first), bool)
+    hopeful[holding // len(items.words)] = True
     chosen = np.flatnonzero(hopeful[steps.step_doc])  # the steps looked at, numbered anew
     number = np.full(steps.steps, -1)
     number[chosen] = np.arange(len(chosen))
@@ -363,51 +402,44 @@ def _candidates(steps: Steps, items: Items, around: range) -> Iterator[tuple[int
         yield from zip(chosen[able].tolist(), which.tolist())
 
 
-def _cosine(model: Model, steps: Steps, low: int, high: int, item: int) -> float:
-    """The largest cosine of the item with a passage that starts in the steps from ``low`` to ``high``, all of one document."""
-    end = min(high + 1, steps.steps)
-    a, b = np.searchsorted(steps.step, [low, end])
-    passages = _sum_rows(model.project, steps.term[a:b], steps.step[a:b] - low, end - low)
-    follows = steps.step_doc[low + 1 : end] == steps.step_doc[low]
-    passages[:-1][follows] += passages[1:][follows].copy()
-    passages = passages[: high - low]
-    wanted = model.coordinates[item]
-    length = np.linalg.norm(passages, axis=1) * np.linalg.norm(wanted)
-    return float((passages @ wanted / np.maximum(length, 1e-12)).max())
-
-
 def _search(model: Model, texts: list[bytes]) -> Iterator[tuple[int, int | None, float, float, float]]:
-    """(text, item, cosine, LCS share, answer share) of every verified candidate; texts are ``numbered``."""
+    """(text, item, cosine, LCS share, answer share) of every text and item with a verified candidate; texts are ``numbered``."""
     items = model.items
     steps = Steps(texts, items)
     if not steps.steps:
         return
     longest = max(map(len, items.words))
     around = range(-longest // STEP, -(-(PASSAGE + longest) // STEP))
-    seen = set()
+    passages, wanted = _unit(_projected(model, steps)), _unit(model.coordinates)
+    holding = _holding(steps, items)
+    retrieved = _retrieved(passages, wanted, steps, holding)
+    others = (c for c in _candidates(steps, items, around, holding) if passages[c[0]] @ wanted[c[1]] < COSINE + NEAR)
+    begin, begin_step = steps.first[steps.step_doc], steps.step_of_doc[steps.step_doc]
+    own = begin + (np.arange(steps.steps) - begin_step) * STEP
+    starts = np.maximum(begin, own - longest).tolist()
+    ends = np.minimum(begin + steps.count[steps.step_doc], own + PASSAGE + longest).tolist()
+    all_words, lists, answers = steps.words.tolist(), items.lists, items.answer_lists
+    best: dict[tuple[int, int], tuple[float, ...]] = {}
     last, text, present = -1, [], frozenset()
-    for at, item in _candidates(steps, items, around):
-        doc = int(steps.step_doc[at])
-        if (doc, item) in seen:
-            continue
-        begin, begin_step = int(steps.first[doc]), int(steps.step_of_doc[doc])
-        end = begin + int(steps.count[doc])
+    for at, item in chain(retrieved, others):
         if at != last:
-            own = begin + (at - begin_step) * STEP
-            text = steps.words[max(begin, own - longest) : min(end, own + PASSAGE + longest)].tolist()
+            text = all_words[starts[at] : ends[at]]
             last, present = at, frozenset(text)
-        words = items.lists[item]
+        words = lists[item]
         if sum(map(present.__contains__, words)) < PARAPHRASE * len(words):  # no subsequence can be longer
             continue
         share = longest_common_subsequence(words, text) / len(words)
         if share < PARAPHRASE:
             continue
-        answer = items.answer_lists[item]
-        answered = longest_common_subsequence(answer, text) / len(answer)
+        answered = longest_common_subsequence(answers[item], text) / len(answers[item])
         if share >= COPY or answered >= ANSWER:
-            seen.add((doc, item))
-            low, high = max(begin_step, at + around[0]), min(begin_step - (-int(steps.count[doc]) // STEP), at + around[-1] + 1)
-            yield doc, items.ids[item], _cosine(model, steps, low, high, item), share, answered
+            doc = int(steps.step_doc[at])
+            end_step = begin_step[at] - (-steps.count[doc] // STEP)
+            region = passages[max(begin_step[at], at + around[0]) : min(end_step, at + around[-1] + 1)]
+            found = (float((region @ wanted[item]).max()), share, answered)
+            best[doc, item] = tuple(map(max, best.get((doc, item), found), found))
+    for (doc, item), found in best.items():
+        yield doc, items.ids[item], *found
 
 
 def blocks_of_items(benchmark: DataFrame) -> Iterator[Items]:
